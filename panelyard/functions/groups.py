@@ -103,13 +103,13 @@ def with_ranks(
     the ``minimum`` rank of a struct that ends in a tie-breaking key.
     """
     names = dict(minimum=minimum, average=average, dense=dense, size=size, distinct=distinct)
-    base = df.withColumn("__o", order)
+    base = df.withColumn("__rk_o", order)
     limit = split_rows if split_rows is not None else SPLIT_ROWS
     if fits(max_group, limit):
         return _rank_by_window(base, keys, names)
     base = materialize(base)
     hot = (
-        base.where(F.col("__o").isNotNull()).groupBy(*keys)
+        base.where(F.col("__rk_o").isNotNull()).groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
     )
     if hot.isEmpty():
@@ -119,10 +119,10 @@ def with_ranks(
 
 def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, str | None]) -> DataFrame:
     # Unranked rows get their own partition so that ranked counts stay plain counts.
-    ranked = F.col("__o").isNotNull()
+    ranked = F.col("__rk_o").isNotNull()
     group = W.partitionBy(*keys)
-    ordered = group.orderBy(F.col("__o").asc_nulls_last())
-    ties = W.partitionBy(*keys, "__o")
+    ordered = group.orderBy(F.col("__rk_o").asc_nulls_last())
+    ties = W.partitionBy(*keys, "__rk_o")
     out = {}
     if names["minimum"]:
         out[names["minimum"]] = F.when(ranked, F.rank().over(ordered))
@@ -132,15 +132,15 @@ def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, st
     if names["dense"]:
         out[names["dense"]] = F.when(ranked, F.dense_rank().over(ordered))
     if names["size"]:
-        out[names["size"]] = F.count("__o").over(group)
+        out[names["size"]] = F.count("__rk_o").over(group)
     base = base.withColumns(out)
     if names["distinct"]:
         dense = F.when(ranked, F.dense_rank().over(ordered))
-        base = base.withColumn("__d", dense).withColumn(names["distinct"], F.max("__d").over(group)).drop("__d")
-    return base.drop("__o")
+        base = base.withColumn("__rk_d", dense).withColumn(names["distinct"], F.max("__rk_d").over(group)).drop("__rk_d")
+    return base.drop("__rk_o")
 
 
-def _cut_position(cuts: Column, value: Column) -> Column:
+def lower_bound(cuts: Column, value: Column) -> Column:
     """Number of cuts below ``value``: binary search over a sorted array, log2 steps per row."""
     steps = F.array(*[F.lit(1 << s) for s in reversed(range(_SEARCH_STEPS))])
     return F.aggregate(
@@ -167,69 +167,69 @@ def _rank_by_ranges(
     values equal to a cut form a range of their own in which all rows tie, so it needs no
     sort and is salted over many tasks - a value held by a third of the rows is harmless.
     """
-    value = F.col("__o")
+    value = F.col("__rk_o")
     share = F.greatest(F.lit(1).cast("long"), F.expr(f"{limit} div 4"))
     pick = F.pmod(F.xxhash64(*keys, *row_id), share) == 0
     cuts = (
         base.where(value.isNotNull()).join(hot, list(keys), "left_semi").where(pick)
-        .groupBy(*keys).agg(F.array_sort(F.collect_set("__o")).alias("__cuts"))
+        .groupBy(*keys).agg(F.array_sort(F.collect_set("__rk_o")).alias("__rk_cuts"))
     )
     rows = attach(base, cuts, keys)
-    at = _cut_position(F.col("__cuts"), value)
-    rows = rows.withColumn("__at", F.when(value.isNull(), F.lit(-1)).when(F.col("__cuts").isNull(), F.lit(0)).otherwise(at))
-    on_cut = F.col("__cuts").isNotNull() & value.isNotNull() & F.coalesce(
-        F.get("__cuts", F.greatest(F.col("__at"), F.lit(0))) == value, F.lit(False)
+    at = lower_bound(F.col("__rk_cuts"), value)
+    rows = rows.withColumn("__rk_at", F.when(value.isNull(), F.lit(-1)).when(F.col("__rk_cuts").isNull(), F.lit(0)).otherwise(at))
+    on_cut = F.col("__rk_cuts").isNotNull() & value.isNotNull() & F.coalesce(
+        F.get("__rk_cuts", F.greatest(F.col("__rk_at"), F.lit(0))) == value, F.lit(False)
     )
     salt = F.pmod(F.xxhash64(*row_id), F.lit(_SALTS))
     rows = (
-        rows.withColumn("__tied", on_cut)
-        .withColumn("__code", F.when(F.col("__at") < 0, F.lit(-1)).otherwise(F.col("__at") * 2 + F.col("__tied").cast("int")))
-        .withColumn("__salt", F.when(F.col("__tied") | value.isNull(), salt).otherwise(F.lit(0).cast("long")))
-        .drop("__cuts", "__at")
+        rows.withColumn("__rk_tied", on_cut)
+        .withColumn("__rk_code", F.when(F.col("__rk_at") < 0, F.lit(-1)).otherwise(F.col("__rk_at") * 2 + F.col("__rk_tied").cast("int")))
+        .withColumn("__rk_salt", F.when(F.col("__rk_tied") | value.isNull(), salt).otherwise(F.lit(0).cast("long")))
+        .drop("__rk_cuts", "__rk_at")
     )
     need_distinct = bool(names["dense"] or names["distinct"])
-    counts = [F.count(F.lit(1)).alias("__c")]
+    counts = [F.count(F.lit(1)).alias("__rk_c")]
     if need_distinct:
-        counts.append(F.count_distinct("__o").alias("__u"))
-    ranges = rows.where(value.isNotNull()).groupBy(*keys, "__code").agg(*counts)
+        counts.append(F.count_distinct("__rk_o").alias("__rk_u"))
+    ranges = rows.where(value.isNotNull()).groupBy(*keys, "__rk_code").agg(*counts)
     # One row per range: the cumulative window below sees ranges, not rows.
-    below = W.partitionBy(*keys).orderBy("__code").rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy(*keys).orderBy("__rk_code").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     ranges = ranges.withColumns(
-        {"__below": F.coalesce(F.sum("__c").over(below), F.lit(0)), "__size": F.sum("__c").over(whole)}
+        {"__rk_below": F.coalesce(F.sum("__rk_c").over(below), F.lit(0)), "__rk_size": F.sum("__rk_c").over(whole)}
     )
     if need_distinct:
         ranges = ranges.withColumns(
-            {"__ubelow": F.coalesce(F.sum("__u").over(below), F.lit(0)), "__usize": F.sum("__u").over(whole)}
+            {"__rk_ubelow": F.coalesce(F.sum("__rk_u").over(below), F.lit(0)), "__rk_usize": F.sum("__rk_u").over(whole)}
         )
-    rows = rows.join(ranges, [*keys, "__code"], "left")
-    inside = W.partitionBy(*keys, "__code", "__salt")
-    ordered = inside.orderBy("__o")
-    ties = W.partitionBy(*keys, "__code", "__salt", "__o")
-    ranked, tied = value.isNotNull(), F.col("__tied")
+    rows = rows.join(ranges, [*keys, "__rk_code"], "left")
+    inside = W.partitionBy(*keys, "__rk_code", "__rk_salt")
+    ordered = inside.orderBy("__rk_o")
+    ties = W.partitionBy(*keys, "__rk_code", "__rk_salt", "__rk_o")
+    ranked, tied = value.isNotNull(), F.col("__rk_tied")
     out = {}
-    first = F.when(tied, F.col("__below") + 1).otherwise(F.col("__below") + F.rank().over(ordered))
+    first = F.when(tied, F.col("__rk_below") + 1).otherwise(F.col("__rk_below") + F.rank().over(ordered))
     if names["minimum"]:
         out[names["minimum"]] = F.when(ranked, first)
     if names["average"]:
-        same = F.when(tied, F.col("__c")).otherwise(F.count(F.lit(1)).over(ties))
+        same = F.when(tied, F.col("__rk_c")).otherwise(F.count(F.lit(1)).over(ties))
         out[names["average"]] = F.when(ranked, first + (same - 1) / F.lit(2.0))
     if names["dense"]:
         step = F.when(tied, F.lit(1)).otherwise(F.dense_rank().over(ordered))
-        out[names["dense"]] = F.when(ranked, F.col("__ubelow") + step)
+        out[names["dense"]] = F.when(ranked, F.col("__rk_ubelow") + step)
     rows = rows.withColumns(out)
     totals = {}
     if names["size"]:
-        totals[names["size"]] = F.max("__size")
+        totals[names["size"]] = F.max("__rk_size")
     if names["distinct"]:
-        totals[names["distinct"]] = F.max("__usize")
+        totals[names["distinct"]] = F.max("__rk_usize")
     if totals:
         # Unranked rows of a group carry the group totals too.
         side = ranges.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
         rows = attach(rows, side, keys)
         if names["size"]:
             rows = rows.withColumn(names["size"], F.coalesce(F.col(names["size"]), F.lit(0)))
-    return rows.drop("__o", "__code", "__salt", "__tied", "__c", "__u", "__below", "__ubelow", "__size", "__usize")
+    return rows.drop("__rk_o", "__rk_code", "__rk_salt", "__rk_tied", "__rk_c", "__rk_u", "__rk_below", "__rk_ubelow", "__rk_size", "__rk_usize")
 
 
 def group_quantiles(
