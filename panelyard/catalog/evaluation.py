@@ -198,16 +198,17 @@ def _(spark, d):
     return rounded(ev.signal_decay_profile(signals(spark, d), px(spark, d), max_group=assets_per_date(spark, d)))
 
 
+FADING = (1, 2, 5)
 cte(
     "halflife", "decay",
     """SELECT factor, CASE WHEN n >= 2 AND l > 0 THEN ln(cast(2 as double)) / l END AS half_life_periods FROM (
-    SELECT factor, count(*) AS n, -regr_slope(ln(abs(mean_rank_ic)), cast(horizon as double)) AS l FROM decay WHERE mean_rank_ic <> 0 GROUP BY factor)""",
+    SELECT factor, count(*) AS n, -regr_slope(ln(abs(mean_rank_ic)), cast(horizon as double)) AS l FROM decay WHERE mean_rank_ic <> 0 AND horizon <= 5 GROUP BY factor)""",
 )
 
 
 @query("signal_half_life", sql_with("halflife", "SELECT factor, round(half_life_periods, 6) AS half_life_periods FROM halflife"))
 def _(spark, d):
-    return rounded(ev.estimate_half_life(ev.signal_decay_profile(signals(spark, d), px(spark, d), max_group=assets_per_date(spark, d))), 6)
+    return rounded(ev.estimate_half_life(ev.signal_decay_profile(signals(spark, d), px(spark, d), horizons=FADING, max_group=assets_per_date(spark, d))), 6)
 
 
 cte(
@@ -261,5 +262,5 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    report = ev.build_factor_report(px(spark, d), signals(spark, d), horizon=1, max_group=assets_per_date(spark, d))
+    report = ev.build_factor_report(px(spark, d), signals(spark, d), horizon=1, decay_horizons=FADING, max_group=assets_per_date(spark, d))
     return rounded(report["ic_summary"].join(report["half_life"], "factor", "left"), 8, ic_ir=7, t_stat=6, half_life_periods=6)

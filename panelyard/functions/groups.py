@@ -74,7 +74,7 @@ def date_axis(df: DataFrame) -> DataFrame:
 def with_group_stats(
     df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], *, max_group: int | None = None
 ) -> DataFrame:
-    """Add per-group aggregates to every row."""
+    """Add per-group aggregates to every row; ``stats`` are bare aggregate calls."""
     if fits(max_group):
         w = W.partitionBy(*keys)
         return df.withColumns({name: expr.over(w) for name, expr in stats.items()})

@@ -45,7 +45,7 @@ def _leg_weights(legs: DataFrame, method: str, keys: Sequence[str], max_group: i
         ranked = with_ranks(legs, group, F.col("__v"), average="__r", size="__n", max_group=max_group)
         # Average ranks of n rows always add up to n (n + 1) / 2.
         return ranked.withColumn("__w", F.col("__r") / (F.col("__n") * (F.col("__n") + 1) / F.lit(2.0)))
-    stats = {"__n": F.count(F.lit(1)).cast("double"), "__lo": F.min("__v"), "__sum": F.sum("__v")}
+    stats = {"__n": F.count(F.lit(1)), "__lo": F.min("__v")}
     out = with_group_stats(legs, group, stats, max_group=max_group)
     even = F.lit(1.0) / F.col("__n")
     if method == "equal":

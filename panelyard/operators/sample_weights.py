@@ -19,12 +19,13 @@ from panelyard.operators.splits import prepare_intervals
 from panelyard.sources.contracts import require_columns
 
 
-def _normalized(df: DataFrame, column: str) -> DataFrame:
-    w = F.greatest(F.coalesce(clean(column), F.lit(0.0)), F.lit(0.0))
-    total = df.agg(F.struct(F.sum(w).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))).scalar()
+def _normalized(df: DataFrame, *columns: str) -> DataFrame:
+    """Scale columns to sum 1; one aggregate finds the totals of all of them."""
+    size = {c: F.greatest(F.coalesce(clean(c), F.lit(0.0)), F.lit(0.0)) for c in columns}
+    totals = df.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(w).alias(c) for c, w in size.items()])).scalar()
     t = F.col("__t")
-    return df.withColumn("__t", total).withColumn(
-        column, F.when(t["s"] > 0, F.try_divide(w, t["s"])).otherwise(F.lit(1.0) / t["n"])
+    return df.withColumn("__t", totals).withColumns(
+        {c: F.when(t[c] > 0, F.try_divide(w, t[c])).otherwise(F.lit(1.0) / t["n"]) for c, w in size.items()}
     ).drop("__t")
 
 
@@ -72,7 +73,12 @@ def uniqueness_weights(
     events: DataFrame, *, start_col: str = "event_start", end_col: str = "event_end", calendar: DataFrame | None = None,
     output_col: str = "weight_uniqueness",
 ) -> DataFrame:
-    """Mean of 1/concurrency over an event's active calendar dates (0 without one), normalized.
+    out = _uniqueness(events, start_col=start_col, end_col=end_col, calendar=calendar, output_col=output_col)
+    return _normalized(out, output_col)
+
+
+def _uniqueness(events: DataFrame, *, start_col: str, end_col: str, calendar: DataFrame | None, output_col: str) -> DataFrame:
+    """Mean of 1/concurrency over an event's active calendar dates (0 without one).
 
     Prefix sums over days turn the mean into two look-ups per event.
     """
@@ -89,31 +95,40 @@ def uniqueness_weights(
     days = F.col("__k1") - F.coalesce("__k0", F.lit(0))
     mean = F.try_divide(F.col("__p1") - F.coalesce("__p0", F.lit(0.0)), days.cast("double"))
     out = joined.withColumn(output_col, F.coalesce(F.when(days > 0, mean), F.lit(0.0)))
-    return _normalized(out.select(*events.columns, output_col), output_col)
+    return out.select(*events.columns, output_col)
 
 
 def return_magnitude_weights(
     df: DataFrame, *, return_col: str, row_id: Sequence[str] = ("sample_id",), clip_quantile: float = 0.99,
     output_col: str = "weight_return_magnitude", max_group: int | None = None,
+) -> DataFrame:
+    """Absolute return clipped at a quantile of the whole column; a missing return weighs 0."""
+    return _normalized(_return_magnitude(df, return_col, row_id, clip_quantile, output_col, max_group), output_col)
+
+
+def _return_magnitude(
+    df: DataFrame, return_col: str, row_id: Sequence[str], clip_quantile: float, output_col: str, max_group: int | None, source: DataFrame | None = None
 ) -> DataFrame:
     if not 0 < clip_quantile <= 1:
         raise ValueError("clip_quantile must be in (0, 1]")
     size = F.abs(clean(return_col))
     cap = group_quantiles(
-        df.withColumn("__all", F.lit(1)), ["__all"], size, (clip_quantile,), ("q",), row_id=row_id, max_group=max_group
+        (df if source is None else source).withColumn("__all", F.lit(1)), ["__all"], size, (clip_quantile,), ("q",), row_id=row_id, max_group=max_group
     ).select("q").scalar()
-    out = df.withColumn("__q", cap).withColumn(
-        output_col, F.coalesce(F.when(F.col("__q") > 0, F.least(size, F.col("__q"))).otherwise(size), F.lit(0.0))
-    )
-    # least() skips NULL, so a missing return must be reset to 0.
-    out = out.withColumn(output_col, F.when(size.isNull(), F.lit(0.0)).otherwise(F.col(output_col))).drop("__q")
-    return _normalized(out, output_col)
+    clipped = F.when(F.col("__q") > 0, F.least(size, F.col("__q"))).otherwise(size)
+    # least() skips NULL, so a missing return is set to 0 first.
+    weight = F.when(size.isNull(), F.lit(0.0)).otherwise(clipped)
+    return df.withColumn("__q", cap).withColumn(output_col, weight).drop("__q")
 
 
 def time_decay_weights(
     df: DataFrame, *, date_col: str = "date", half_life_periods: float, reference_date: str | None = None, output_col: str = "weight_time_decay"
 ) -> DataFrame:
     """2^(-age / half-life), age counted in distinct dates back from the last (or reference) one."""
+    return _normalized(_time_decay(df, date_col, half_life_periods, reference_date, output_col), output_col)
+
+
+def _time_decay(df: DataFrame, date_col: str, half_life_periods: float, reference_date: str | None, output_col: str) -> DataFrame:
     if half_life_periods <= 0:
         raise ValueError("half_life_periods must be > 0")
     dates = df.select(date_col).distinct().withColumn("__k", F.row_number().over(W.orderBy(date_col)) - 1)
@@ -124,28 +139,31 @@ def time_decay_weights(
     dates = dates.withColumn("__top", dates.agg(top).scalar())
     age = F.greatest(F.col("__top") - F.col("__k"), F.lit(0)).cast("double")
     weight = F.pow(F.lit(2.0), -age / F.lit(float(half_life_periods)))
-    out = df.join(F.broadcast(dates.select(date_col, weight.alias(output_col))), date_col)
-    return _normalized(out, output_col)
+    return df.join(F.broadcast(dates.select(date_col, weight.alias(output_col))), date_col)
 
 
 def confidence_weights(
     df: DataFrame, *, confidence_col: str, min_weight: float = 0.1, max_weight: float = 1.0, output_col: str = "weight_confidence"
 ) -> DataFrame:
     """Confidence scaled to [min_weight, max_weight]; a constant column scales to 1, NULL to the minimum."""
+    return _normalized(_confidence(df, confidence_col, min_weight, max_weight, output_col), output_col)
+
+
+def _confidence(
+    df: DataFrame, confidence_col: str, min_weight: float, max_weight: float, output_col: str, source: DataFrame | None = None
+) -> DataFrame:
     if min_weight < 0:
         raise ValueError("min_weight must be >= 0")
     if max_weight <= min_weight:
         raise ValueError("max_weight must be > min_weight")
     c = clean(confidence_col)
-    ends = df.agg(F.struct(F.coalesce(F.min(c), F.lit(0.0)).alias("lo"), F.coalesce(F.max(c), F.lit(0.0)).alias("hi"))).scalar()
+    ends = (df if source is None else source).agg(F.struct(F.coalesce(F.min(c), F.lit(0.0)).alias("lo"), F.coalesce(F.max(c), F.lit(0.0)).alias("hi"))).scalar()
     lo, hi = F.col("__e.lo"), F.col("__e.hi")
     # Absolute and relative tolerance of "constant".
     constant = hi - lo <= F.lit(1e-8) + F.lit(1e-5) * F.abs(lo)
     scaled = F.when(constant, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(c - lo, hi - lo), F.lit(0.0)))
-    out = df.withColumn("__e", ends).withColumn(
-        output_col, F.lit(float(min_weight)) + F.lit(float(max_weight - min_weight)) * scaled
-    ).drop("__e")
-    return _normalized(out, output_col)
+    weight = F.lit(float(min_weight)) + F.lit(float(max_weight - min_weight)) * scaled
+    return df.withColumn("__e", ends).withColumn(output_col, weight).drop("__e")
 
 
 def combine_weight_components(df: DataFrame, components: Sequence[str], *, normalize: bool = True, output_col: str = "sample_weight") -> DataFrame:
@@ -166,25 +184,26 @@ def build_sample_weights(
 ) -> DataFrame:
     """All requested components and their normalized product, one row per sample.
 
-    The events are written once: every component's totals read them again.
+    Events and raw components are each written once: the totals read them again.
     """
     require_columns(events, (sample_id_col,), "events")
     frame = prepare_intervals(events, decision_col=decision_col, start_col=start_col, end_col=end_col)
     kept = [c for c in (return_col, confidence_col) if c]
-    frame = materialize(frame.select(sample_id_col, "decision_date", "event_start", "event_end", *kept))
-    out = uniqueness_weights(frame, calendar=calendar)
+    base = [sample_id_col, "decision_date", "event_start", "event_end"]
+    frame = materialize(frame.select(*base, *kept))
+    out = _uniqueness(frame, start_col="event_start", end_col="event_end", calendar=calendar, output_col="weight_uniqueness")
     parts = ["weight_uniqueness"]
     if return_col is not None:
-        out = return_magnitude_weights(out, return_col=return_col, row_id=(sample_id_col,), max_group=max_group)
         parts.append("weight_return_magnitude")
+        out = _return_magnitude(out, return_col, (sample_id_col,), 0.99, parts[-1], max_group, source=frame)
     if confidence_col is not None:
-        out = confidence_weights(out, confidence_col=confidence_col)
         parts.append("weight_confidence")
+        out = _confidence(out, confidence_col, 0.1, 1.0, parts[-1], source=frame)
     if half_life_periods is not None:
-        out = time_decay_weights(out, date_col="decision_date", half_life_periods=half_life_periods)
         parts.append("weight_time_decay")
-    out = combine_weight_components(out, parts)
-    return out.select(sample_id_col, "decision_date", "event_start", "event_end", *parts, "sample_weight")
+        out = _time_decay(out, "decision_date", half_life_periods, None, parts[-1])
+    raw = materialize(out.select(*base, *parts))
+    return combine_weight_components(_normalized(raw, *parts), parts).select(*base, *parts, "sample_weight")
 
 
 def attach_sample_weights(keys: DataFrame, sample_weights: DataFrame) -> DataFrame:

@@ -78,13 +78,14 @@ def _raw(df: DataFrame, pc: Construction, max_group: int | None) -> DataFrame:
     run = F.col("is_executable")
     df = _selected(df, pc, max_group)
     if pc.intent_method != "zscore_proportional":
-        stats = {"__nl": F.count_if("__long").cast("double"), "__ns": F.count_if("__short").cast("double")}
+        stats = {"__nl": F.count_if("__long"), "__ns": F.count_if("__short")}
         df = with_group_stats(df, DATE, stats, max_group=max_group)
         weight = F.when(F.col("__long"), F.lit(1.0) / F.col("__nl")).when(F.col("__short"), F.lit(-1.0) / F.col("__ns")).otherwise(F.lit(0.0))
         return df.withColumns({"__w": weight, "__flat": F.lit(False)})
     s = F.when(run, F.col("signal_value"))
-    stats = {"__mu": F.avg(s), "__sd": F.stddev_pop(s), "__vary": F.coalesce(F.min(s) < F.max(s), F.lit(False))}
+    stats = {"__mu": F.avg(s), "__sd": F.stddev_pop(s), "__lo": F.min(s), "__hi": F.max(s)}
     df = with_group_stats(df, DATE, stats, max_group=max_group)
+    df = df.withColumn("__vary", F.coalesce(F.col("__lo") < F.col("__hi"), F.lit(False)))
     z = F.when(run & F.col("__vary"), F.try_divide(s - F.col("__mu"), F.col("__sd")))
     if pc.construction_method == "top_bottom_k":
         z = F.when(F.col("__long") | F.col("__short"), z)
