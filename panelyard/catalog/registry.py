@@ -11,8 +11,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = (  # noqa
-    "sources", "signals", "transforms", "evaluation", "validation", "weighting", "screening", "portfolio", "frictions",
-    "execution", "research",
+    "signals", "transforms", "evaluation", "validation", "weighting", "screening", "portfolio", "frictions",
+    "execution", "sources", "research",
 )
 
 

@@ -75,10 +75,9 @@ def run_factor_experiment(
         (F.count_distinct("date") - F.count_distinct(F.when(F.col("y").isNotNull(), F.col("date")))).alias("n_label_missing_dates"),
     )
     if strategy is not None:
-        keyed = evaluated.join(evaluated.select("factor").distinct(), "factor")
         one_day = forward_return(prices, horizon=1).select("date", "asset", "value")
         one_day = one_day.join(evaluated.select("factor", "date").distinct(), "date").select("factor", "date", "asset", "value")
-        block = pf.portfolio_block(keyed, one_day, strategy, cost_rate=portfolio_cost_rate, keys=("factor",), max_group=max_group)
+        block = pf.portfolio_block(evaluated, one_day, strategy, cost_rate=portfolio_cost_rate, keys=("factor",), max_group=max_group)
         out.update({f"portfolio_{k}": v for k, v in block.items()})
         out["portfolio_summary"] = pf.summarise_portfolio(block, ("factor",))
     if generate_factor_report:
