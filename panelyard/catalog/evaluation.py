@@ -17,6 +17,11 @@ def pair_ctes(prefix: str, factors: str, labels: str) -> None:
         f"{prefix}_pairs", f"{factors} {labels}",
         f"SELECT f.date, f.asset, f.factor, y.factor AS label, f.value AS x, y.value AS y FROM {factors} f JOIN {labels} y ON f.date = y.date AND f.asset = y.asset",
     )
+    metric_ctes(prefix)
+
+
+def metric_ctes(prefix: str) -> None:
+    """The metrics of an existing <prefix>_pairs CTE."""
     cte(
         f"{prefix}_ic", f"{prefix}_pairs",
         f"""SELECT d.date, d.factor, d.label, ic, rank_ic FROM (SELECT DISTINCT date, factor, label FROM {prefix}_pairs) d LEFT JOIN (

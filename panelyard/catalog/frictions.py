@@ -19,13 +19,23 @@ def trades(spark, d):
     return plan(spark, d).where("adv_dollar is not null and daily_volatility is not null")
 
 
-cte("trades", "plan", "SELECT * FROM plan WHERE adv_dollar IS NOT NULL AND daily_volatility IS NOT NULL")
-cte(
-    "tcost", "trades",
-    """SELECT *, f + s + i AS total, CASE WHEN abs(trade_dollar) > 0 AND isfinite((f + s + i) / abs(trade_dollar)) THEN (f + s + i) / abs(trade_dollar) * 10000 END AS bps FROM (
-    SELECT *, abs(trade_dollar) * cast(1.5 as double) * cast(1e-4 as double) AS f, abs(trade_dollar) * cast(6 as double) * cast(1e-4 as double) * cast(0.5 as double) AS s,
-    CASE WHEN adv_dollar <= 0 THEN cast('inf' as double) ELSE abs(trade_dollar) * cast(0.12 as double) * daily_volatility * sqrt(abs(trade_dollar) / adv_dollar) END AS i FROM trades)""",
-)
+def cost_ctes(suffix: str, plan_name: str) -> None:
+    """CTEs trades<suffix>, tcost<suffix>, pen<suffix> and stress<suffix>."""
+    cte(f"trades{suffix}", plan_name, f"SELECT * FROM {plan_name} WHERE adv_dollar IS NOT NULL AND daily_volatility IS NOT NULL")
+    cte(
+        f"tcost{suffix}", f"trades{suffix}",
+        f"""SELECT *, f + s + i AS total, CASE WHEN abs(trade_dollar) > 0 AND isfinite((f + s + i) / abs(trade_dollar)) THEN (f + s + i) / abs(trade_dollar) * 10000 END AS bps FROM (
+        SELECT *, abs(trade_dollar) * cast(1.5 as double) * cast(1e-4 as double) AS f, abs(trade_dollar) * cast(6 as double) * cast(1e-4 as double) * cast(0.5 as double) AS s,
+        CASE WHEN adv_dollar <= 0 THEN cast('inf' as double) ELSE abs(trade_dollar) * cast(0.12 as double) * daily_volatility * sqrt(abs(trade_dollar) / adv_dollar) END AS i FROM trades{suffix})""",
+    )
+    cte(f"pen{suffix}", f"trades{suffix}", f"SELECT *, coalesce(abs(trade_dollar) / nullif(adv_dollar, 0), cast('inf' as double)) AS adv_participation FROM trades{suffix}")
+    cte(
+        f"stress{suffix}", f"pen{suffix}",
+        f"""SELECT *, g / cast(1000000 as double) AS turnover, g / cast(1000000 as double) * m AS txl FROM (SELECT date, sum(abs(trade_dollar)) AS g, avg(adv_participation) AS m, quantile_cont(adv_participation, 0.95) AS p95 FROM pen{suffix} GROUP BY date)""",
+    )
+
+
+cost_ctes("", "plan")
 
 
 @query(
@@ -54,7 +64,6 @@ def _(spark, d):
     return rounded(fr.cost_summary(fr.cost_per_trade(trades(spark, d), **OPTS)), 6, total_cost_dollar=3)
 
 
-cte("pen", "trades", "SELECT *, coalesce(abs(trade_dollar) / nullif(adv_dollar, 0), cast('inf' as double)) AS adv_participation FROM trades")
 LIMIT, WEIGHT, VALUE = 0.05, 0.09, 1000000.0
 
 
@@ -64,12 +73,6 @@ def _(spark, d):
     return rounded(out.select("date", "asset", "adv_participation", "adv_limit_flag"))
 
 
-cte(
-    "stress", "pen",
-    """SELECT *, g / cast(1000000 as double) AS turnover, g / cast(1000000 as double) * m AS txl FROM (SELECT date, sum(abs(trade_dollar)) AS g, avg(adv_participation) AS m, quantile_cont(adv_participation, 0.95) AS p95 FROM pen GROUP BY date)""",
-)
-
-
 @query(
     "turnover_liquidity_stress",
     sql_with("stress", "SELECT date, round(g, 4) AS gross_trade_dollar, round(m, 8) AS mean_adv_participation, round(p95, 8) AS p95_adv_participation, round(turnover, 8) AS turnover, round(txl, 8) AS turnover_x_liquidity FROM stress"),
@@ -105,12 +108,16 @@ def _(spark, d):
     return rounded(out["warnings"])
 
 
-cte("wx", "w_rank expo", "SELECT w.date, w.asset, weight, size_exposure, beta_exposure, industry FROM w_rank w LEFT JOIN expo e ON w.date = e.date AND w.asset = e.asset")
-cte("ind_x", "wx", "SELECT date, industry, coalesce(sum(weight), 0) AS net_weight FROM wx WHERE industry IS NOT NULL GROUP BY 1, 2")
-cte(
-    "sty_x", "wx",
-    "SELECT date, 'beta_exposure' AS exposure_name, sum(weight * beta_exposure) AS weighted_exposure FROM wx GROUP BY date UNION ALL SELECT date, 'size_exposure', sum(weight * size_exposure) FROM wx GROUP BY date",
-)
+def exposure_ctes(suffix: str, weights: str) -> None:
+    cte(f"wx{suffix}", f"{weights} expo", f"SELECT w.date, w.asset, weight, size_exposure, beta_exposure, industry FROM {weights} w LEFT JOIN expo e ON w.date = e.date AND w.asset = e.asset")
+    cte(f"ind_x{suffix}", f"wx{suffix}", f"SELECT date, industry, coalesce(sum(weight), 0) AS net_weight FROM wx{suffix} WHERE industry IS NOT NULL GROUP BY 1, 2")
+    cte(
+        f"sty_x{suffix}", f"wx{suffix}",
+        f"SELECT date, 'beta_exposure' AS exposure_name, sum(weight * beta_exposure) AS weighted_exposure FROM wx{suffix} GROUP BY date UNION ALL SELECT date, 'size_exposure', sum(weight * size_exposure) FROM wx{suffix} GROUP BY date",
+    )
+
+
+exposure_ctes("", "w_rank")
 
 
 def audit(spark, d):

@@ -12,25 +12,33 @@ from panelyard.operators import portfolio as pf
 from panelyard.operators import target_weights as tw
 from panelyard.operators.evaluation import apply_linear_cost
 
-cte("pf_valid", "mom3", "SELECT date, asset, value, count(*) OVER (PARTITION BY date) AS n FROM mom3 WHERE value IS NOT NULL")
+def valid_cte(name: str, source: str) -> None:
+    cte(name, source, f"SELECT date, asset, value, count(*) OVER (PARTITION BY date) AS n FROM {source} WHERE value IS NOT NULL")
 
 
-def legs_cte(name: str, top: int, bottom: int | None) -> None:
+valid_cte("pf_valid", "mom3")
+
+
+def legs_cte(name: str, top: int, bottom: int | None, valid: str = "pf_valid") -> None:
     shorts = (
-        f""" UNION ALL SELECT date, asset, -value AS v, -1 AS leg FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value, asset DESC) AS k FROM pf_valid WHERE n >= 2) WHERE k <= least({bottom}, n - least({top}, n))"""
+        f""" UNION ALL SELECT date, asset, -value AS v, -1 AS leg FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value, asset DESC) AS k FROM {valid} WHERE n >= 2) WHERE k <= least({bottom}, n - least({top}, n))"""
         if bottom
         else ""
     )
     cte(
-        name, "pf_valid",
-        f"SELECT date, asset, value AS v, 1 AS leg FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value DESC, asset) AS k FROM pf_valid WHERE n >= 2) WHERE k <= {top}{shorts}",
+        name, valid,
+        f"SELECT date, asset, value AS v, 1 AS leg FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY value DESC, asset) AS k FROM {valid} WHERE n >= 2) WHERE k <= {top}{shorts}",
     )
 
 
 EQUAL = "1 / cast(count(*) OVER (PARTITION BY date, leg) as double)"
 legs_cte("legs", 15, 10)
 cte("w_equal", "legs", f"SELECT date, asset, leg * {EQUAL} AS weight FROM legs")
-cte("w_rank", "legs", f"SELECT date, asset, leg * r / sum(r) OVER (PARTITION BY date, leg) AS weight FROM (SELECT *, {avg_rank_sql('date, leg', 'v')} AS r FROM legs)")
+def rank_weights_cte(name: str, legs: str) -> None:
+    cte(name, legs, f"SELECT date, asset, leg * r / sum(r) OVER (PARTITION BY date, leg) AS weight FROM (SELECT *, {avg_rank_sql('date, leg', 'v')} AS r FROM {legs})")
+
+
+rank_weights_cte("w_rank", "legs")
 cte(
     "w_score", "legs",
     f"SELECT date, asset, leg * CASE WHEN sum(x) OVER (PARTITION BY date, leg) > 0 THEN x / sum(x) OVER (PARTITION BY date, leg) ELSE {EQUAL} END AS weight FROM (SELECT *, v - min(v) OVER (PARTITION BY date, leg) AS x FROM legs)",
@@ -140,14 +148,18 @@ def _(spark, d):
     return rounded(pf.summarise_portfolio(pf.portfolio_block(mom3(spark, d), fwd1(spark, d), SPEC, cost_rate=0.002)))
 
 
-cte(
-    "plan", "w_rank px",
-    """SELECT t.date, t.asset, trade_weight, trade_weight * cast(1000000 as double) AS trade_dollar, target_weight, dollar_volume AS adv_dollar, daily_volatility FROM (
-    SELECT *, target_weight - coalesce(lag(target_weight) OVER (PARTITION BY asset ORDER BY date), 0) AS trade_weight FROM (
-    SELECT d.date, a.asset, coalesce(w.weight, 0) AS target_weight FROM (SELECT DISTINCT date FROM w_rank) d CROSS JOIN (SELECT DISTINCT asset FROM w_rank) a LEFT JOIN w_rank w ON w.date = d.date AND w.asset = a.asset)) t
-    LEFT JOIN (SELECT date, asset, dollar_volume, CASE WHEN count(r) OVER f >= 2 THEN stddev_pop(r) OVER f END AS daily_volatility FROM (
-    SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM px) WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) p ON p.date = t.date AND p.asset = t.asset""",
-)
+def plan_cte(name: str, weights: str) -> None:
+    cte(
+        name, f"{weights} px",
+        f"""SELECT t.date, t.asset, trade_weight, trade_weight * cast(1000000 as double) AS trade_dollar, target_weight, dollar_volume AS adv_dollar, daily_volatility FROM (
+        SELECT *, target_weight - coalesce(lag(target_weight) OVER (PARTITION BY asset ORDER BY date), 0) AS trade_weight FROM (
+        SELECT d.date, a.asset, coalesce(w.weight, 0) AS target_weight FROM (SELECT DISTINCT date FROM {weights}) d CROSS JOIN (SELECT DISTINCT asset FROM {weights}) a LEFT JOIN {weights} w ON w.date = d.date AND w.asset = a.asset)) t
+        LEFT JOIN (SELECT date, asset, dollar_volume, CASE WHEN count(r) OVER f >= 2 THEN stddev_pop(r) OVER f END AS daily_volatility FROM (
+        SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM px) WINDOW f AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) p ON p.date = t.date AND p.asset = t.asset""",
+    )
+
+
+plan_cte("plan", "w_rank")
 
 
 def plan(spark, d):

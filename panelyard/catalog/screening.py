@@ -10,6 +10,7 @@ from panelyard.catalog.evaluation import _R, pair_ctes
 from panelyard.catalog.panels import assets_per_date, avg_rank_sql, corr_sql, cte, fwd1, low_vol_sql, momentum_sql, px, signals, sql_with
 from panelyard.catalog.registry import query
 from panelyard.functions.columns import rounded
+from panelyard.functions.storage import materialize
 from panelyard.operators import composite as cp
 from panelyard.operators import evaluation as ev
 from panelyard.operators import importance as imp
@@ -32,14 +33,15 @@ pair_ctes("pool", "pool", "fwd1")
 
 
 def pool(spark, d):
-    prices = px(spark, d)
+    prices = materialize(px(spark, d))
     out = None
     for _, _, fn in _POOL:
         out = fn(prices) if out is None else out.unionByName(fn(prices))
-    return out
+    # Screening reads the pool several times.
+    return materialize(out)
 
 
-def mono_ctes(prefix: str, n: int = 5) -> None:
+def mono_ctes(prefix: str, source: str, n: int = 5) -> None:
     cte(
         f"{prefix}_fq", f"{prefix}_pairs",
         f"""SELECT factor, q, avg(y) AS m FROM (SELECT factor, y, greatest(1, ((k - 1) * least({n}, n) + n - 2) // (n - 1)) AS q FROM (
@@ -52,15 +54,15 @@ def mono_ctes(prefix: str, n: int = 5) -> None:
         SELECT factor, q, m, cast(q as double) AS qd, {avg_rank_sql('factor', 'm')} AS r FROM {prefix}_fq) GROUP BY factor""",
     )
     cte(
-        f"{prefix}_uni", f"{prefix} {prefix}_ic {prefix}_mono" if prefix == "pool" else f"signals {prefix}_ic {prefix}_mono",
+        f"{prefix}_uni", f"{source} {prefix}_ic {prefix}_mono",
         f"""SELECT c.factor, coverage, mean AS rank_ic_mean, std AS rank_ic_std, mean / std AS rank_ic_ir, mean / std * sqrt(cast(n as double)) AS rank_ic_t_stat, monotonicity_corr,
-        abs(monotonicity_corr) AS abs_monotonicity, long_short_spread FROM (SELECT factor, avg(cast(value IS NOT NULL as double)) AS coverage FROM {'pool' if prefix == 'pool' else 'signals'} GROUP BY 1) c
+        abs(monotonicity_corr) AS abs_monotonicity, long_short_spread FROM (SELECT factor, avg(cast(value IS NOT NULL as double)) AS coverage FROM {source} GROUP BY 1) c
         JOIN (SELECT factor, avg(rank_ic) AS mean, nullif(stddev_samp(rank_ic), 0) AS std, count(rank_ic) AS n FROM {prefix}_ic GROUP BY 1) i ON c.factor = i.factor LEFT JOIN {prefix}_mono m ON m.factor = c.factor""",
     )
 
 
-mono_ctes("pool")
-mono_ctes("sig")
+mono_ctes("pool", "pool")
+mono_ctes("sig", "signals")
 _UNI = """round(coverage, 8) AS coverage, round(rank_ic_mean, 7) AS rank_ic_mean, round(rank_ic_std, 7) AS rank_ic_std, round(rank_ic_ir, 6) AS rank_ic_ir, round(rank_ic_t_stat, 5) AS rank_ic_t_stat,
  round(monotonicity_corr, 8) AS monotonicity_corr, round(abs_monotonicity, 8) AS abs_monotonicity, round(long_short_spread, 8) AS long_short_spread"""
 _UNI_DIGITS = dict(rank_ic_mean=7, rank_ic_std=7, rank_ic_ir=6, rank_ic_t_stat=5)
@@ -229,13 +231,13 @@ def _(spark, d):
     return rounded(cp.ic_history(signals(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d)))
 
 
-def weight_ctes(name: str, score: str) -> None:
+def weight_ctes(name: str, score: str, source: str = "signals", ic: str = "sig_ic") -> None:
     cte(
-        f"{name}_s", "signals sig_ic",
+        f"{name}_s", f"{source} {ic}",
         f"""SELECT date, factor, CASE WHEN s IS NOT NULL THEN greatest(s, 0) END AS s FROM (SELECT g.date, g.factor, CASE WHEN count(h.date) >= 5 THEN {score} END AS s FROM (
-        SELECT d.date, f.factor FROM (SELECT DISTINCT date FROM signals) d CROSS JOIN (SELECT DISTINCT factor FROM signals) f) g
-        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date) AS k FROM sig_ic) h ON h.factor = g.factor AND h.date < g.date
-        AND h.k > (SELECT count(*) FROM sig_ic b WHERE b.factor = g.factor AND b.date < g.date) - 12 GROUP BY 1, 2)""",
+        SELECT d.date, f.factor FROM (SELECT DISTINCT date FROM {source}) d CROSS JOIN (SELECT DISTINCT factor FROM {source}) f) g
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date) AS k FROM {ic}) h ON h.factor = g.factor AND h.date < g.date
+        AND h.k > (SELECT count(*) FROM {ic} b WHERE b.factor = g.factor AND b.date < g.date) - 12 GROUP BY 1, 2)""",
     )
     cte(
         name, f"{name}_s",
@@ -260,15 +262,21 @@ def _(spark, d):
     return rounded(out, 7)
 
 
-cte("cz", "signals", "SELECT *, count(value) OVER w AS n, min(value) OVER w = max(value) OVER w AS flat, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM signals WINDOW w AS (PARTITION BY date, factor)")
-cte("cpart", "cz cw_icir", "SELECT z.date, z.asset, z.factor, z * weight AS part, weight FROM cz z JOIN cw_icir w ON z.date = w.date AND z.factor = w.factor WHERE n >= 2 AND NOT flat AND value IS NOT NULL")
-cte("cflat", "cz cw_icir", "SELECT z.date, z.factor, any_value(weight) AS weight FROM cz z JOIN cw_icir w ON z.date = w.date AND z.factor = w.factor WHERE n >= 2 AND flat GROUP BY 1, 2")
-cte(
-    "composite", "cpart cflat signals",
-    """SELECT a.date, a.asset, 'composite_signal' AS factor, coalesce(s, 0) / nullif(coalesce(w, 0) + coalesce(c, 0), 0) AS value FROM (SELECT DISTINCT date, asset FROM signals) a
-    LEFT JOIN (SELECT date, asset, sum(part) AS s, sum(abs(weight)) AS w FROM cpart GROUP BY 1, 2) p ON p.date = a.date AND p.asset = a.asset
-    LEFT JOIN (SELECT date, sum(abs(weight)) AS c FROM cflat GROUP BY 1) f ON f.date = a.date WHERE w IS NOT NULL OR c IS NOT NULL""",
-)
+def compose_ctes(prefix: str, source: str, weights: str) -> None:
+    """CTEs <prefix>part, <prefix>flat and <prefix>omposite of z-scores times weights."""
+    z, part, flat = f"{prefix}z", f"{prefix}part", f"{prefix}flat"
+    cte(z, source, f"SELECT *, count(value) OVER w AS n, min(value) OVER w = max(value) OVER w AS flat, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM {source} WINDOW w AS (PARTITION BY date, factor)")
+    cte(part, f"{z} {weights}", f"SELECT z.date, z.asset, z.factor, z * weight AS part, weight FROM {z} z JOIN {weights} w ON z.date = w.date AND z.factor = w.factor WHERE n >= 2 AND NOT flat AND value IS NOT NULL")
+    cte(flat, f"{z} {weights}", f"SELECT z.date, z.factor, any_value(weight) AS weight FROM {z} z JOIN {weights} w ON z.date = w.date AND z.factor = w.factor WHERE n >= 2 AND flat GROUP BY 1, 2")
+    cte(
+        f"{prefix}omposite", f"{part} {flat} {source}",
+        f"""SELECT a.date, a.asset, 'composite_signal' AS factor, coalesce(s, 0) / nullif(coalesce(w, 0) + coalesce(c, 0), 0) AS value FROM (SELECT DISTINCT date, asset FROM {source}) a
+        LEFT JOIN (SELECT date, asset, sum(part) AS s, sum(abs(weight)) AS w FROM {part} GROUP BY 1, 2) p ON p.date = a.date AND p.asset = a.asset
+        LEFT JOIN (SELECT date, sum(abs(weight)) AS c FROM {flat} GROUP BY 1) f ON f.date = a.date WHERE w IS NOT NULL OR c IS NOT NULL""",
+    )
+
+
+compose_ctes("c", "signals", "cw_icir")
 
 
 def composed(spark, d):
@@ -297,15 +305,19 @@ def _(spark, d):
 
 
 # Alpha pool.
-cte(
-    "apanel", "pool_ls",
-    """SELECT d.date, f.factor, coalesce(l.long_short_return, 0) AS value FROM (SELECT date FROM pool_ls GROUP BY 1 HAVING count(long_short_return) > 0) d CROSS JOIN (SELECT DISTINCT factor FROM pool_ls) f
-    LEFT JOIN pool_ls l ON l.date = d.date AND l.factor = f.factor""",
-)
-cte(
-    "acorr", "apanel",
-    f"SELECT p.factor AS alpha_a, q.factor AS alpha_b, {corr_sql('p.value', 'q.value')} AS corr FROM apanel p JOIN apanel q ON p.date = q.date AND p.factor < q.factor GROUP BY 1, 2",
-)
+def alpha_ctes(panel: str, corr: str, ls: str) -> None:
+    cte(
+        panel, ls,
+        f"""SELECT d.date, f.factor, coalesce(l.long_short_return, 0) AS value FROM (SELECT date FROM {ls} GROUP BY 1 HAVING count(long_short_return) > 0) d CROSS JOIN (SELECT DISTINCT factor FROM {ls}) f
+        LEFT JOIN {ls} l ON l.date = d.date AND l.factor = f.factor""",
+    )
+    cte(
+        corr, panel,
+        f"SELECT p.factor AS alpha_a, q.factor AS alpha_b, {corr_sql('p.value', 'q.value')} AS corr FROM {panel} p JOIN {panel} q ON p.date = q.date AND p.factor < q.factor GROUP BY 1, 2",
+    )
+
+
+alpha_ctes("apanel", "acorr", "pool_ls")
 
 
 def alpha_panel(spark, d):
@@ -376,7 +388,7 @@ FEATURES = ["low_volatility_4d", "reversal_2d", "value_book_to_price_proxy"]
 def learning_table(spark, d):
     wide = signals(spark, d).groupBy("date", "asset").pivot("factor", FEATURES).agg(F.first("value"))
     label = fwd1(spark, d).select("date", "asset", F.col("value").alias("label"))
-    return imp.contiguous_folds(wide.join(label, ["date", "asset"]).dropna(), order=["date", "asset"])
+    return materialize(imp.contiguous_folds(wide.join(label, ["date", "asset"]).dropna(), order=["date", "asset"]))
 
 
 @query("mdi_importance")
