@@ -1,6 +1,6 @@
 """Panels derived from the driver tables.
 
-Money columns are summed as decimals, so every derived price is the same double whatever
+Money columns are summed as whole cents, so every derived price is the same double whatever
 the order of the sum. Each panel groups the whole source table by its key first; the group
 is a partial aggregate, so a supplier or a month that holds a third of all lines costs no
 more to the reducers than any other.
@@ -21,8 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(column: str) -> Column:
+    return F.rint(F.col(column) * F.lit(100.0)).cast("long")
+
+
 def exact_sum(column: str) -> Column:
-    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+    """Sum of a two-decimal column in whole cents: exact, order-free and inside code generation."""
+    return F.sum(cents(column)) / F.lit(100.0)
 
 
 def month(c: str) -> Column:
@@ -84,14 +89,14 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines are pre-aggregated per (order, month, supplier) before the join with orders.
     """
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("total"))
     lines = table(spark, sf_dir, "lineitem").groupBy(
         "l_orderkey", month("l_shipdate").alias("date"), F.col("l_suppkey").cast("string").alias("asset")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(cents("l_quantity")).alias("qty"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    total = F.sum((F.col("total") * F.col("n")).cast("decimal(28,2)")).cast("double")
+    total = F.sum(F.col("total") * F.col("n")) / F.lit(100.0)
     return joined.groupBy("date", "asset").agg(
-        (total / F.sum("n").cast("double") / F.sum("qty").cast("double")).alias("pb"), total.alias("total_mv_yuan")
+        (total / F.sum("n").cast("double") / (F.sum("qty") / F.lit(100.0))).alias("pb"), total.alias("total_mv_yuan")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,32 +147,44 @@ def trend_scanning_labels(
     rows = prices.select("date", "asset", y.alias("__y")).withColumn(
         "__path", F.collect_list(F.struct(F.col("date").alias("d"), F.col("__y").alias("y"))).over(own.rowsBetween(0, max_horizon))
     )
-    null = F.lit(None).cast("double")
+    null, none = F.lit(None).cast("double"), F.lit(None).cast("int")
     start = F.struct(
         F.lit(0).alias("m"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sxy"), F.lit(0.0).alias("ssr"), F.lit(0.0).alias("syy"),
-        null.alias("t"), F.lit(None).cast("int").alias("h"),
+        null.alias("t"), none.alias("h"),
     )
 
+    def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+        """Evaluate ``value`` once and use it several times in ``body``."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
     def extend(acc: Column, p: Column) -> Column:
         m = acc["m"].cast("double")
-        dy = p["y"] - acc["mean"]
-        dx = (m + 1) / F.lit(2.0)
-        sxx = m * (m * m - 1) / F.lit(12.0)
-        miss = dy - F.when(sxx > 0, acc["sxy"] / sxx).otherwise(F.lit(0.0)) * dx
-        leverage = F.lit(1.0) / m + dx * dx / sxx
-        ssr = F.when(m >= 2, acc["ssr"] + miss * miss / (F.lit(1.0) + leverage)).otherwise(F.lit(0.0))
-        sxy = acc["sxy"] + dx * dy * m / (m + 1)
-        syy = acc["syy"] + dy * dy * m / (m + 1)
         n = m + 1
-        sxx_n = n * (n * n - 1) / F.lit(12.0)
-        # n - 2 observations are free; a residual at rounding level counts as a perfect fit.
-        t = F.when((m >= 2) & (ssr > syy * F.lit(1e-28)), (sxy / sxx_n) / F.sqrt(ssr / (n - 2) / sxx_n))
-        scanned = acc["m"] >= min_horizon
-        better = scanned & (acc["h"].isNull() | F.coalesce(F.abs(t) > F.abs(acc["t"]), F.lit(False)))
-        return F.struct(
-            (acc["m"] + 1).alias("m"), (acc["mean"] + dy / (m + 1)).alias("mean"), sxy.alias("sxy"), ssr.alias("ssr"), syy.alias("syy"),
-            F.when(better, t).otherwise(acc["t"]).alias("t"), F.when(better, acc["m"]).otherwise(acc["h"]).alias("h"),
-        )
+        dx = n / F.lit(2.0)
+        sxx, sxx_n = m * (m * m - 1) / F.lit(12.0), n * (n * n - 1) / F.lit(12.0)
+        leverage = F.lit(1.0) / m + dx * dx / sxx
+
+        def moments(dy: Column) -> Column:
+            miss = dy - acc["sxy"] / sxx * dx
+            ssr = F.when(m >= 2, acc["ssr"] + F.pow(miss, F.lit(2.0)) / (F.lit(1.0) + leverage)).otherwise(F.lit(0.0))
+            gain = dy * m / n
+            return F.struct((acc["mean"] + dy / n).alias("mean"), (acc["sxy"] + dx * gain).alias("sxy"), ssr.alias("ssr"), (acc["syy"] + dy * gain).alias("syy"))
+
+        def tested(s: Column) -> Column:
+            # A residual at rounding level counts as a perfect fit.
+            t = F.when((m >= 2) & (s["ssr"] > s["syy"] * F.lit(1e-28)), (s["sxy"] / sxx_n) / F.sqrt(s["ssr"] / (n - 2) / sxx_n))
+            return F.struct(s.alias("s"), t.alias("t"))
+
+        def kept(r: Column) -> Column:
+            better = (acc["m"] >= min_horizon) & (acc["h"].isNull() | F.coalesce(F.abs(r["t"]) > F.abs(acc["t"]), F.lit(False)))
+            s = r["s"]
+            return F.struct(
+                (acc["m"] + 1).alias("m"), s["mean"].alias("mean"), s["sxy"].alias("sxy"), s["ssr"].alias("ssr"), s["syy"].alias("syy"),
+                F.when(better, r["t"]).otherwise(acc["t"]).alias("t"), F.when(better, acc["m"]).otherwise(acc["h"]).alias("h"),
+            )
+
+        first = F.struct(F.lit(1).alias("m"), p["y"].alias("mean"), *[F.lit(0.0).alias(c) for c in ("sxy", "ssr", "syy")], null.alias("t"), none.alias("h"))
+        return F.when(acc["m"] == 0, first).otherwise(bind(bind(bind(p["y"] - acc["mean"], moments), tested), kept))
 
     rows = rows.withColumn("__b", F.aggregate("__path", start, extend))
     found = F.col("__b.h").isNotNull()
