@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelyard.catalog.panels import assets_per_date, avg_rank_sql, corr_sql, cte, fwd1, fwd_sql, mom3, px, signals, sql_with
+from panelyard.catalog.panels import assets_per_date, avg_rank_sql, corr_sql, cte, fwd1, fwd_sql, mom3, px, signals, sql_with, stored_signals
 from panelyard.catalog.registry import query
 from panelyard.functions.columns import rounded
 from panelyard.operators import evaluation as ev
@@ -99,7 +99,7 @@ _R = "round(mean, 8) AS mean, round(std, 8) AS std, round(ic_ir, 7) AS ic_ir, ro
 @query("ic_summary", sql_with("sig_ics", f"SELECT factor, metric, {_R} FROM sig_ics"))
 def _(spark, d):
     n = assets_per_date(spark, d)
-    pairs = ev.align(signals(spark, d), fwd1(spark, d))
+    pairs = ev.align(stored_signals(spark, d), fwd1(spark, d))
     keys = ["date", "factor", "label"]
     ic = ev.compute_ic_summary(ev.ic_of_pairs(pairs, keys), value_col="ic", by=("factor",))
     rank = ev.compute_ic_summary(ev.rank_ic_of_pairs(pairs, keys, max_group=n), value_col="rank_ic", by=("factor",))
@@ -228,7 +228,7 @@ cte(
 )
 def _(spark, d):
     n = assets_per_date(spark, d)
-    f, y = signals(spark, d), fwd1(spark, d)
+    f, y = stored_signals(spark, d), fwd1(spark, d)
     ls = ev.long_short_return(ev.quantile_returns(f, y, max_group=n))
     to = ev.long_short_turnover(ev.quantile_turnover(ev.quantile_assignments(f, max_group=n)))
     return rounded(ev.cost_adjusted_long_short(ls, to, 0.001))
@@ -252,7 +252,7 @@ SUMMARY_ROUND = """round(mean_ic, 7) AS mean_ic, round(mean_rank_ic, 7) AS mean_
 @query("experiment_summary", sql_with("sig_summary", f"SELECT factor, {SUMMARY_ROUND} FROM sig_summary"))
 def _(spark, d):
     n = assets_per_date(spark, d)
-    f, y = signals(spark, d), fwd1(spark, d)
+    f, y = stored_signals(spark, d), fwd1(spark, d)
     returns = ev.quantile_returns(f, y, max_group=n)
     turnover = ev.long_short_turnover(ev.quantile_turnover(ev.quantile_assignments(f, max_group=n)))
     ic, rank = ev.compute_ic(f, y), ev.compute_rank_ic(f, y, max_group=n)
@@ -267,5 +267,5 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    report = ev.build_factor_report(px(spark, d), signals(spark, d), horizon=1, decay_horizons=FADING, max_group=assets_per_date(spark, d))
+    report = ev.build_factor_report(px(spark, d), stored_signals(spark, d), horizon=1, decay_horizons=FADING, max_group=assets_per_date(spark, d))
     return rounded(report["ic_summary"].join(report["half_life"], "factor", "left"), 8, ic_ir=7, t_stat=6, half_life_periods=6)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelyard.functions.storage import materialize
 from panelyard.operators.factors import low_volatility, momentum, reversal
 from panelyard.operators.labels import forward_return
 from panelyard.sources.research_inputs import book_to_price
@@ -85,19 +86,13 @@ def mkt_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pb per (month, supplier), and a market value in the vendor's currency unit.
-
-    Lines are pre-aggregated per (order, month, supplier) before the join with orders.
-    """
+    """pb per (month, supplier), and a market value in the vendor's currency unit."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("total"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(
-        "l_orderkey", month("l_shipdate").alias("date"), F.col("l_suppkey").cast("string").alias("asset")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum(cents("l_quantity")).alias("qty"))
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    total = F.sum(F.col("total") * F.col("n")) / F.lit(100.0)
-    return joined.groupBy("date", "asset").agg(
-        (total / F.sum("n").cast("double") / (F.sum("qty") / F.lit(100.0))).alias("pb"), total.alias("total_mv_yuan")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_suppkey", "l_quantity")
+    total = F.sum("total") / F.lit(100.0)
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        month("l_shipdate").alias("date"), F.col("l_suppkey").cast("string").alias("asset")
+    ).agg((total / F.count(F.lit(1)).cast("double") / exact_sum("l_quantity")).alias("pb"), total.alias("total_mv_yuan"))
 
 
 def fin_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +140,11 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal table written once, for queries that read it from several branches."""
+    return materialize(signals(spark, sf_dir))
+
+
 # The same panels for the SQL engine of the correctness check.
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelyard.catalog.evaluation import SUMMARY_ROUND, bucket_cte, metric_ctes, pair_ctes, summary_cte, turnover_ctes
 from panelyard.catalog.frictions import OPTS, cost_ctes, exposure_ctes
 from panelyard.catalog.panels import (
-    asset_meta, assets_per_date, cte, fundamentals, fwd1, mkt_state, mom3, px, signals, sql_with,
+    asset_meta, assets_per_date, cte, fundamentals, fwd1, mkt_state, mom3, px, signals, sql_with, stored_signals,
 )
 from panelyard.catalog.portfolio import SPEC, legs_cte, plan_cte, rank_weights_cte, returns_cte, turnover_cte, valid_cte
 from panelyard.catalog.registry import query
@@ -154,7 +154,7 @@ def _(spark, d):
 # Registries: entries are the factors of the signal table.
 def _summary(spark, d):
     n = assets_per_date(spark, d)
-    f, y = signals(spark, d), fwd1(spark, d)
+    f, y = stored_signals(spark, d), fwd1(spark, d)
     returns = ev.quantile_returns(f, y, max_group=n)
     turnover = ev.long_short_turnover(ev.quantile_turnover(ev.quantile_assignments(f, max_group=n)))
     return ev.summarise(ev.compute_ic(f, y), ev.compute_rank_ic(f, y, max_group=n), ev.long_short_return(returns), turnover)
@@ -385,15 +385,21 @@ def _(spark, d):
 
 
 # Composite workflow, followed step by step in SQL (without the VIF gate).
-pair_ctes("q10", "prep_gate", "fwd1")
-mono_ctes("q10", "prep_gate")
+# No winsorizing here: clipped values tie, and ties of a weighted sum are decided by float noise.
+cte(
+    "q10_prep", "masked",
+    """SELECT * FROM (SELECT date, asset, factor, CASE WHEN count(value) OVER w >= 5 THEN CASE WHEN min(value) OVER w = max(value) OVER w THEN cast(0 as double) ELSE (value - avg(value) OVER w) / stddev_pop(value) OVER w END END AS value
+    FROM masked WINDOW w AS (PARTITION BY date, factor)) QUALIFY count(value) OVER (PARTITION BY date, factor) / cast(count(*) OVER (PARTITION BY date, factor) as double) >= 0.2""",
+)
+pair_ctes("q10", "q10_prep", "fwd1")
+mono_ctes("q10", "q10_prep")
 cte(
     "q10_dec", "q10_uni",
     "SELECT *, CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.2 OR abs_monotonicity < 0.1 THEN 'weak_factor' ELSE 'candidate_factor' END AS decision FROM q10_uni",
 )
 cte(
-    "q10_sel", "q10_dec prep_gate",
-    """SELECT p.* FROM prep_gate p SEMI JOIN (SELECT factor FROM (SELECT *, count(*) FILTER (decision = 'candidate_factor') OVER () AS n, row_number() OVER (ORDER BY rank_ic_mean DESC NULLS LAST, coverage DESC, factor) AS k FROM q10_dec)
+    "q10_sel", "q10_dec q10_prep",
+    """SELECT p.* FROM q10_prep p SEMI JOIN (SELECT factor FROM (SELECT *, count(*) FILTER (decision = 'candidate_factor') OVER () AS n, row_number() OVER (ORDER BY rank_ic_mean DESC NULLS LAST, coverage DESC, factor) AS k FROM q10_dec)
     WHERE CASE WHEN n >= 2 THEN decision = 'candidate_factor' ELSE k <= 2 END) c ON p.factor = c.factor""",
 )
 pair_ctes("q10s", "q10_sel", "fwd1")
@@ -423,7 +429,7 @@ _Q10 = dict(mean_rank_ic=6, ic_ir=5, effective_breadth=6, avg_abs_corr=6, adv_fl
 )
 def _(spark, d):
     spec = wk.CompositeSpec(
-        universe_rules=RULES, preprocess=PREP, screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=1.0, max_vif=1e12),
+        universe_rules=RULES, preprocess=dict(winsorize=False, min_group_size=5, min_coverage=0.2), screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=1.0, max_vif=1e12),
         composite_lookback=12, composite_min_history=5, portfolio=wk.pf.Strategy(long_top_k=15, short_bottom_k=10, weighting_method="rank"),
         portfolio_value=1000000.0, adv_window=6, costs=OPTS,
     )

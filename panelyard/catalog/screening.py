@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from panelyard.catalog.evaluation import _R, pair_ctes
-from panelyard.catalog.panels import assets_per_date, avg_rank_sql, corr_sql, cte, fwd1, low_vol_sql, momentum_sql, px, signals, sql_with
+from panelyard.catalog.panels import assets_per_date, avg_rank_sql, corr_sql, cte, fwd1, low_vol_sql, momentum_sql, px, signals, sql_with, stored_signals
 from panelyard.catalog.registry import query
 from panelyard.functions.columns import rounded
 from panelyard.functions.storage import materialize
@@ -114,7 +114,7 @@ def _(spark, d):
 
 @query("variance_inflation_many_factors")
 def _(spark, d):
-    return rounded(sc.vif_diagnostics(signals(spark, d).unionByName(momentum(px(spark, d), window=6))), 5)
+    return rounded(sc.vif_diagnostics(stored_signals(spark, d).unionByName(momentum(px(spark, d), window=6))), 5)
 
 
 cte("mz", "signals", "SELECT *, min(value) OVER w < max(value) OVER w AS ok, CASE WHEN min(value) OVER w < max(value) OVER w THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS z FROM signals WINDOW w AS (PARTITION BY date, factor)")
@@ -141,7 +141,7 @@ cte("mcm", "mc_ic", "SELECT factor, avg(rank_ic) AS m FROM mc_ic GROUP BY 1")
     ),
 )
 def _(spark, d):
-    return rounded(sc.marginal_ic_contribution(signals(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d)), 6)
+    return rounded(sc.marginal_ic_contribution(stored_signals(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d)), 6)
 
 
 GATES = dict(min_coverage=0.8, min_abs_monotonicity=0.5, max_pairwise_corr=0.9, max_vif=1e12)
@@ -252,13 +252,13 @@ COMPOSE = dict(lookback=12, min_history=5)
 
 @query("composite_weights_ic", sql_with("cw_ic", "SELECT date, factor, round(weight, 7) AS weight FROM cw_ic"))
 def _(spark, d):
-    out = cp.composite_weights(signals(spark, d), method="ic", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
+    out = cp.composite_weights(stored_signals(spark, d), method="ic", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
     return rounded(out, 7)
 
 
 @query("composite_weights_icir", sql_with("cw_icir", "SELECT date, factor, round(weight, 7) AS weight FROM cw_icir"))
 def _(spark, d):
-    out = cp.composite_weights(signals(spark, d), method="icir", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
+    out = cp.composite_weights(stored_signals(spark, d), method="icir", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
     return rounded(out, 7)
 
 
@@ -280,7 +280,7 @@ compose_ctes("c", "signals", "cw_icir")
 
 
 def composed(spark, d):
-    return cp.compose_signals(signals(spark, d), method="icir", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
+    return cp.compose_signals(stored_signals(spark, d), method="icir", labels=fwd1(spark, d), max_group=assets_per_date(spark, d), **COMPOSE)
 
 
 @query("composite_signal", sql_with("composite", "SELECT date, asset, factor, round(value, 6) AS value FROM composite"))
@@ -386,7 +386,7 @@ FEATURES = ["low_volatility_4d", "reversal_2d", "value_book_to_price_proxy"]
 
 
 def learning_table(spark, d):
-    wide = signals(spark, d).groupBy("date", "asset").pivot("factor", FEATURES).agg(F.first("value"))
+    wide = stored_signals(spark, d).groupBy("date", "asset").pivot("factor", FEATURES).agg(F.first("value"))
     label = fwd1(spark, d).select("date", "asset", F.col("value").alias("label"))
     return materialize(imp.contiguous_folds(wide.join(label, ["date", "asset"]).dropna(), order=["date", "asset"]))
 

@@ -118,26 +118,34 @@ def with_ranks(
 
 
 def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, str | None]) -> DataFrame:
-    # Unranked rows get their own partition so that ranked counts stay plain counts.
+    # Unranked rows sort first, by the default null ordering, and their number is subtracted:
+    # ranks, ties and sizes then share one exchange on the keys and one sort by (keys, order).
     ranked = F.col("__rk_o").isNotNull()
     group = W.partitionBy(*keys)
-    ordered = group.orderBy(F.col("__rk_o").asc_nulls_last())
+    ordered = group.orderBy("__rk_o")
     ties = W.partitionBy(*keys, "__rk_o")
-    out = {}
+    out = {"__rk_n": F.count("__rk_o").over(group), "__rk_all": F.count(F.lit(1)).over(group)}
+    if names["minimum"] or names["average"]:
+        out["__rk_r"] = F.rank().over(ordered)
+    if names["average"]:
+        out["__rk_t"] = F.count(F.lit(1)).over(ties)
+    if names["dense"] or names["distinct"]:
+        out["__rk_d"] = F.dense_rank().over(ordered)
+    base = base.withColumns(out)
+    skipped = F.col("__rk_all") - F.col("__rk_n")
+    final = {}
     if names["minimum"]:
-        out[names["minimum"]] = F.when(ranked, F.rank().over(ordered))
+        final[names["minimum"]] = F.when(ranked, F.col("__rk_r") - skipped)
     if names["average"]:
-        tied = F.count(F.lit(1)).over(ties)
-        out[names["average"]] = F.when(ranked, F.rank().over(ordered) + (tied - 1) / F.lit(2.0))
+        final[names["average"]] = F.when(ranked, F.col("__rk_r") - skipped + (F.col("__rk_t") - 1) / F.lit(2.0))
+    dense = F.when(ranked, F.col("__rk_d") - F.least(skipped, F.lit(1)))
     if names["dense"]:
-        out[names["dense"]] = F.when(ranked, F.dense_rank().over(ordered))
-    if names["size"]:
-        out[names["size"]] = F.count("__rk_o").over(group)
-    base = base.withColumns(out)
+        final[names["dense"]] = dense
     if names["distinct"]:
-        dense = F.when(ranked, F.dense_rank().over(ordered))
-        base = base.withColumn("__rk_d", dense).withColumn(names["distinct"], F.max("__rk_d").over(group)).drop("__rk_d")
-    return base.drop("__rk_o")
+        final[names["distinct"]] = F.max(dense).over(group)
+    if names["size"]:
+        final[names["size"]] = F.col("__rk_n")
+    return base.withColumns(final).drop("__rk_o", "__rk_n", "__rk_all", "__rk_r", "__rk_t", "__rk_d")
 
 
 def lower_bound(cuts: Column, value: Column) -> Column:

@@ -71,7 +71,7 @@ def run_walk_forward_experiment(
         "mean_cost_adjusted_return", "mean_portfolio_return", "portfolio_hit_rate", "mean_portfolio_turnover", "mean_cost_adjusted_portfolio_return",
     )
     out["fold_summary"] = named
-    out["aggregate"] = aggregate(materialize(named), out)
+    out["aggregate"] = aggregate(named, out)
     return out
 
 

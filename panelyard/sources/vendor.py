@@ -32,11 +32,14 @@ def normalize_asset(c: Column | str) -> Column:
 
 
 def normalize_date(c: Column | str) -> Column:
-    """``yyyyMMdd`` first, any ISO-like text second, NULL otherwise."""
-    text = F.trim(as_col(c).cast("string"))
-    return F.coalesce(
-        F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))), F.to_date(F.try_to_timestamp(text)), text.try_cast("date")
-    )
+    """``yyyyMMdd`` or an ISO-like date (``-`` or ``/``, any time part dropped), NULL otherwise.
+
+    Eight digits are rewritten to ISO and cast: a formatter would raise and catch an exception
+    for every row in the other format.
+    """
+    text = F.translate(F.trim(as_col(c).cast("string")), "/", "-")
+    compact = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    return F.when(text.rlike("^[0-9]{8}$"), compact).otherwise(text).try_cast("date")
 
 
 def raw_violations(df: DataFrame, *, asset: str | None = None, dates: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
