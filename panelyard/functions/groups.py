@@ -118,26 +118,26 @@ def with_ranks(
 
 
 def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, str | None]) -> DataFrame:
-    # Unranked rows sort first, by the default null ordering, and their number is subtracted:
-    # ranks, ties and sizes then share one exchange on the keys and one sort by (keys, order).
+    # Unranked rows sort first, by the default null ordering, and their number is subtracted.
+    # The last rank of a tie is a running count with peers, so ranks, ties and sizes share one
+    # exchange on the keys and one sort by (keys, order); ordered windows come first.
     ranked = F.col("__rk_o").isNotNull()
     group = W.partitionBy(*keys)
     ordered = group.orderBy("__rk_o")
-    ties = W.partitionBy(*keys, "__rk_o")
-    out = {"__rk_n": F.count("__rk_o").over(group), "__rk_all": F.count(F.lit(1)).over(group)}
+    out = {}
     if names["minimum"] or names["average"]:
         out["__rk_r"] = F.rank().over(ordered)
     if names["average"]:
-        out["__rk_t"] = F.count(F.lit(1)).over(ties)
+        out["__rk_l"] = F.count(F.lit(1)).over(ordered.rangeBetween(W.unboundedPreceding, W.currentRow))
     if names["dense"] or names["distinct"]:
         out["__rk_d"] = F.dense_rank().over(ordered)
-    base = base.withColumns(out)
+    base = base.withColumns(out).withColumns({"__rk_n": F.count("__rk_o").over(group), "__rk_all": F.count(F.lit(1)).over(group)})
     skipped = F.col("__rk_all") - F.col("__rk_n")
     final = {}
     if names["minimum"]:
         final[names["minimum"]] = F.when(ranked, F.col("__rk_r") - skipped)
     if names["average"]:
-        final[names["average"]] = F.when(ranked, F.col("__rk_r") - skipped + (F.col("__rk_t") - 1) / F.lit(2.0))
+        final[names["average"]] = F.when(ranked, (F.col("__rk_r") + F.col("__rk_l")) / F.lit(2.0) - skipped)
     dense = F.when(ranked, F.col("__rk_d") - F.least(skipped, F.lit(1)))
     if names["dense"]:
         final[names["dense"]] = dense
@@ -145,7 +145,7 @@ def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, st
         final[names["distinct"]] = F.max(dense).over(group)
     if names["size"]:
         final[names["size"]] = F.col("__rk_n")
-    return base.withColumns(final).drop("__rk_o", "__rk_n", "__rk_all", "__rk_r", "__rk_t", "__rk_d")
+    return base.withColumns(final).drop("__rk_o", "__rk_n", "__rk_all", "__rk_r", "__rk_l", "__rk_d")
 
 
 def lower_bound(cuts: Column, value: Column) -> Column:
