@@ -188,7 +188,7 @@ def build_sample_weights(
     """
     require_columns(events, (sample_id_col,), "events")
     frame = prepare_intervals(events, decision_col=decision_col, start_col=start_col, end_col=end_col)
-    kept = [c for c in (return_col, confidence_col) if c]
+    kept = list(dict.fromkeys(c for c in (return_col, confidence_col) if c))
     base = [sample_id_col, "decision_date", "event_start", "event_end"]
     frame = materialize(frame.select(*base, *kept))
     out = _uniqueness(frame, start_col="event_start", end_col="event_end", calendar=calendar, output_col="weight_uniqueness")
