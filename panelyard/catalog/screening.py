@@ -144,11 +144,12 @@ def _(spark, d):
     return rounded(sc.marginal_ic_contribution(stored_signals(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d)), 6)
 
 
-GATES = dict(min_coverage=0.8, min_abs_monotonicity=0.5, max_pairwise_corr=0.9, max_vif=1e12)
+# 0.45 lies between attainable rank correlations of five buckets; 0.5 is one of them, and float noise would decide it.
+GATES = dict(min_coverage=0.8, min_abs_monotonicity=0.45, max_pairwise_corr=0.9, max_vif=1e12)
 cte(
     "pool_dec", "pool_uni pool_max",
-    """SELECT u.factor, coverage >= 0.8 AS coverage_pass, coalesce(abs_monotonicity >= 0.5, false) AS monotonicity_pass, coalesce(max_abs_corr, 0) <= 0.9 AS corr_pass,
-    CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.8 OR abs_monotonicity < 0.5 THEN 'weak_factor' WHEN max_abs_corr > 0.9 THEN 'redundant_factor' ELSE 'candidate_factor' END AS decision,
+    """SELECT u.factor, coverage >= 0.8 AS coverage_pass, coalesce(abs_monotonicity >= 0.45, false) AS monotonicity_pass, coalesce(max_abs_corr, 0) <= 0.9 AS corr_pass,
+    CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.8 OR abs_monotonicity < 0.45 THEN 'weak_factor' WHEN max_abs_corr > 0.9 THEN 'redundant_factor' ELSE 'candidate_factor' END AS decision,
     rank_ic_mean, coverage FROM pool_uni u LEFT JOIN pool_max m ON u.factor = m.factor""",
 )
 
