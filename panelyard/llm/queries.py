@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, sharding
-from panelyard.llm.common import table
+from panelyard.llm import decontaminate, pieces, sharding, simhash, tokenfile, toxicity
+from panelyard.llm.common import remainder_of_id, table
 
 
 def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,17 @@ def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_perfect_hash_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    written = tokenfile.TokenFiles(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return written.read(tokenfile.keys_of(docs)).select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -26,7 +38,23 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_sort_shards, op6_benchmark_decontamination)}
+def op7_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op8_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder_of_id(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_histogram_sort_shards, op3_simhash_pigeonring, op5_perfect_hash_token_files, op6_benchmark_decontamination,
+        op7_prefix_table_pieces, op8_recurrent_toxicity,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": r"""
