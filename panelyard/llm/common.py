@@ -8,8 +8,10 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions.storage import scratch_dir
 
@@ -66,6 +68,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with a function of this package."""
+    """mapInArrow with a function of this package; every column may hold nulls."""
     ship(df.sparkSession)
+    if isinstance(schema, T.StructType):
+        schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, mask) -> DataFrame:
+    """Rows of ``docs``, all columns, for which ``mask`` (texts -> booleans, built once in a task by the call mask()) holds; nothing is exchanged.
+
+    The text column is called ``text``.
+    """
+
+    def run(batches):
+        judge = mask()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                yield batch.filter(pa.array(judge(batch.column(batch.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -108,8 +108,21 @@ def is_contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents of ``docs``, all columns, that aren't contaminated; null-safe on ids, repeated rows stay."""
-    bad = find_contamination(docs, items).where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id", "mark").distinct()
-    keep = docs.withColumn("__mark", F.xxhash64("text"))
-    return keep.join(bad.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id and __mark = mark"), "left_anti").drop("__mark")
+def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_windows: int = 100_000) -> DataFrame:
+    """Documents of ``docs``, all columns, that aren't contaminated; the scan is a filter, so texts stay where they are."""
+    windows = materialize(benchmark_windows(items, size=size))
+    n = windows.count()
+    if n == 0:
+        return docs
+    if n <= max_windows:
+        texts = [r[0] for r in windows.select("window").distinct().orderBy("window").collect()]  # at most max_windows
+
+        def clean(found: Column) -> Column:
+            places = F.flatten(F.transform(found["hits"], lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1)))
+            return ~is_contaminated(found["n_words"], F.size(F.array_distinct(places)))
+
+        return docs.where(F.element_at(F.transform(F.array(_scan(word_array(docs["text"]), texts)), clean), 1))
+    found = find_contamination(docs, items, size, max_windows)
+    bad = found.where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    return marked.join(bad, F.expr("doc_id <=> __id and __mark = __bad"), "left_anti").drop("__mark")

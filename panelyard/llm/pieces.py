@@ -235,9 +235,9 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return map_arrow(docs, run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows."""
+def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows, and the columns of them to keep."""
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), *keep,
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, pieces, sharding, simhash, tokenfile, toxicity
+from panelyard.llm import decontaminate, language, licenses, media, pieces, sharding, simhash, tokenfile, toxicity, warc
 from panelyard.llm.common import remainder_of_id, table
 
 
@@ -18,11 +18,21 @@ def op1_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(remainder_of_id(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_perfect_hash_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     written = tokenfile.TokenFiles(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
@@ -48,11 +58,25 @@ def op8_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = media.pack(table(spark, sf_dir, "documents"))
+    items = media.resolve(media.sequences(packed, "id", "html"), media.media_features(packed))
+    return items.where("kind = 'media'").select(
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        F.col("position").alias("media_position"), "caption",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_histogram_sort_shards, op3_simhash_pigeonring, op5_perfect_hash_token_files, op6_benchmark_decontamination,
-        op7_prefix_table_pieces, op8_recurrent_toxicity,
+        op1_histogram_sort_shards, op2_zip_packaged_warc, op3_simhash_pigeonring, op4_cross_parsing_language,
+        op5_perfect_hash_token_files, op6_benchmark_decontamination, op7_prefix_table_pieces, op8_recurrent_toxicity,
+        op9_license_set_join, op10_interleaved_media,
     )
 }
 

@@ -253,13 +253,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest id of the component), a row per row."""
+    """doc_id, fp, component_id (smallest id of the component), root (the component's smallest fingerprint), a row per row."""
     prints = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = materialize(components(links(distinct)))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    by_print = materialize(rooted.join(named, "root").select("fp", "component_id", "root"))  # a written side lets a hot fingerprint be split
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: Column) -> Column:
@@ -267,7 +268,23 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents of ``docs``, all columns, one row of each component: that of its smallest id."""
-    heads = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(heads, F.expr("doc_id <=> __id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])  # already dealt by doc_id; drops repeated rows of one id
+    """Documents of ``docs``, all columns, one row of each component: that of its smallest id.
+
+    Of components without any id one row stays. Texts move once, dealt by id.
+    """
+    found = materialize(near_duplicates(docs))
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where("doc_id is not null").join(heads, F.expr("doc_id = __id"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where("component_id is null").select("fp", "root").distinct()
+    if nameless.isEmpty():
+        return named
+    schema = docs.select("*", F.lit(0).cast("long").alias("__fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            fps = np.array([fingerprint(None if t is None else t.encode()) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "__fp"])
+
+    rest = map_arrow(docs.where("doc_id is null"), run, schema).join(nameless.select(F.col("fp").alias("__fp"), F.col("root").alias("__root")), "__fp")
+    return named.unionByName(rest.dropDuplicates(["__root"]).select(*docs.columns))

@@ -32,6 +32,8 @@ from panelyard.llm.common import id_and_text, map_arrow, scratch_path, ship
 REMEMBER = 400_000
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 KEYS_PER_PART = 100_000
+#: payload that one task reads back
+READ_BYTES = 32 << 20
 
 
 class Encoder:
@@ -215,7 +217,9 @@ class TokenFiles:
     def __init__(self, docs: DataFrame, tokenizer_path: str, end: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None):
         self.folder = folder or scratch_path(docs.sparkSession, "tokens")
         self.entries = write_payload(id_and_text(docs, id_col, text_col), tokenizer_path, end, self.folder)
-        self.parts = max(1, -(-self.entries.count() // KEYS_PER_PART))
+        rows, ids = self.entries.agg(F.count("*"), F.sum("n")).first()
+        self.parts = max(1, -(-rows // KEYS_PER_PART))
+        self.reads = max(1, -(-4 * (ids or 0) // READ_BYTES))
         self.index = write_index(self.entries, self.folder, self.parts)
 
     def payloads(self) -> DataFrame:
@@ -243,7 +247,7 @@ class TokenFiles:
 
         found = look_up(keys, self.index, self.parts)
         placed = found.join(F.broadcast(self.payloads()), "part")  # a row for each writing task
-        near = placed.select("doc_id", "occ", (F.col("first") + F.col("offset")).alias("start"), "n", "path", "offset").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+        near = placed.select("doc_id", "occ", (F.col("first") + F.col("offset")).alias("start"), "n", "path", "offset").repartitionByRange(self.reads, "path", "offset").sortWithinPartitions("path", "offset")
         return map_arrow(near, run, "doc_id long, occ long, start long, n long, ids_crc32 long")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import network as net
-from panelyard.llm.common import id_and_text, map_arrow, remainder_of_id
+from panelyard.llm.common import id_and_text, keep_rows, map_arrow, remainder_of_id
 
 WINDOW, STEP, LONGEST = 16, 8, 24
 CHARS, CHAR_INPUT, CHAR_HIDDEN, WORD_INPUT, WORD_HIDDEN = 192, 8, 10, 4, 8
@@ -37,7 +37,9 @@ _WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words of a text; one that is repeated at once is read once."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words[:1] + [b for a, b in zip(words, words[1:], strict=False) if a != b]
 
 
 def _char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def _windows_of(rows: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(rows, n)[np.append(np.arange(0, len(rows) - n, STEP), len(rows) - n)]
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 200, rounds: int = 4, word_steps: int = 150, vocabulary: int = 20_000) -> Model | None:
+def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 300, rounds: int = 6, word_steps: int = 150, vocabulary: int = 20_000) -> Model | None:
     """A model of labelled texts; None if one label is missing.
 
     A toxic document needs one toxic window only, so in each round the word net learns from the worst window of each
@@ -224,13 +226,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     return [(r["text"], r["label"]) for r in chosen.select("doc_id", F.substring("text", 1, max_chars).alias("text"), "label").distinct().orderBy("doc_id", "text").limit(max_toxic + max_clean).collect()]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 3000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 3000) -> DataFrame:
     """doc_id, score, a row per row."""
     docs = id_and_text(docs, id_col, text_col)
     rows = training_rows(docs, labels, max_toxic, max_clean, max_chars)
     return apply_model(docs, train([t for t, _ in rows], [y for _, y in rows]))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 3000) -> DataFrame:
+    """Rows of ``docs``, all columns, that score under ``threshold``, by a model of their own labelled rows."""
+    rows = training_rows(id_and_text(docs), labels, max_toxic, max_clean, max_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(_parts(train([t for t, _ in rows], [y for _, y in rows])))
+
+    def judge():
+        held = _model_of(shared)
+        return lambda texts: [True] * len(texts) if held is None else held.score(texts) < threshold
+
+    return keep_rows(docs, judge)
+
+
 def _parts(model: Model | None):
     return None if model is None else (model.chars, model.words, model.vocabulary)
 
