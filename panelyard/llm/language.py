@@ -89,10 +89,9 @@ class Model:
         self.codes[common] = np.arange(1, len(common) + 1)
         self.codes[32] = 0
         self.tables = [automaton(self.symbols(self.samples[lang]).tolist(), SYMBOLS) for lang in self.languages]
-        for t in self.tables:
-            t *= SYMBOLS  # states as offsets of their rows
-            t[t < 0] = -1
-        self.tables = [t.ravel() for t in self.tables]
+        # states become offsets of their rows; a last row without moves is the end of a phrase that a foreign symbol made
+        self.ends = [len(t) * SYMBOLS for t in self.tables]
+        self.tables = [np.concatenate([np.where(t < 0, -1, t * SYMBOLS), np.full((1, SYMBOLS), -1, np.int32)]).astype(np.int32).ravel() for t in self.tables]
         self.cost = np.array([np.log2(max(2, len(self.samples[lang]))) for lang in self.languages])
 
     def symbols(self, text: str) -> np.ndarray:
@@ -123,7 +122,7 @@ class Model:
                     if step:
                         phrases[k, over] += 1
                     again = table[c[over]]
-                    to[over] = np.maximum(again, 0)
+                    to[over] = np.where(again < 0, self.ends[k], again)
                 state[:n] = to
         total = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):

@@ -189,9 +189,9 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: marks become spaces, the leading one goes, bytes that aren't UTF-8 become U+FFFD each."""
-        raw = self.raw
-        joined = b"".join([raw[i] for i in ids.tolist()])
-        if self.prefix and joined.startswith(b" "):
+        raw, ids = self.raw, ids.tolist()
+        joined = b"".join([raw[i] for i in ids])
+        if self.prefix and joined.startswith(b" ") and self.texts[next(i for i in ids if raw[i])].startswith(MARK):
             joined = joined[1:]
         try:
             return joined.decode()

@@ -160,8 +160,8 @@ def _bucket_edges(bounds: np.ndarray, fps: np.ndarray, keys: np.ndarray, chained
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _pair_up(coarse: bool):
-    """mapInArrow over rows sorted by bucket: rows (kind, a, b) are edges (-1), or members of a bucket that is too large (its key, the fingerprint)."""
+def _pair_up(most: int | None):
+    """mapInArrow over rows sorted by bucket: rows (kind, a, b) are edges (-1), or members of a bucket of more than ``most`` (its key, the fingerprint); without ``most`` buckets have finer keys and none is too large."""
 
     def rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
@@ -170,7 +170,7 @@ def _pair_up(coarse: bool):
         if not len(fps):
             return
         bounds = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))))
-        a, b = _bucket_edges(bounds, fps, keys, coarse)
+        a, b = _bucket_edges(bounds, fps, keys, most is not None)
         if len(a):
             yield rows(np.full(len(a), -1), a, b)
 
@@ -193,8 +193,8 @@ def _pair_up(coarse: bool):
                 last = int(np.argmax((keys == keys[-1]) & (parts == parts[-1])))  # first row of the last bucket
                 starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))))
                 sizes = np.diff(np.append(starts, len(fps)))
-                if coarse and (sizes > BUCKET).any():
-                    s, n = next((s, n) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n > BUCKET)
+                if most is not None and (sizes > most).any():
+                    s, n = next((s, n) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n > most)
                     yield from settle(keys[:s], parts[:s], fps[:s])
                     large = (int(keys[s]), int(parts[s]))
                     keys, parts, fps = keys[s:], parts[s:], fps[s:]
@@ -211,17 +211,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect just what fingerprints ``fp`` within LIMIT bits of each other connect."""
     schema = "kind int, a long, b long"
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, (_, m) in enumerate(_COARSE)])).alias("k"))
-    first = materialize(map_arrow(_dealt(keyed.select("k.key", "k.part", "fp")), _pair_up(True), schema))
+    first = materialize(map_arrow(_dealt(keyed.select("k.key", "k.part", "fp")), _pair_up(bucket), schema))
     finer = F.lit(None).cast("array<struct<key:int,part:bigint>>")
     for k, (_, m) in enumerate(_COARSE):
         fine = _keys_of(_nibbles(m))
         finer = F.when(F.col("kind") == k, F.array(*[F.struct(F.lit(100 * k + j).alias("key"), F.col("b").bitwiseAND(F.lit(_signed(m | s))).alias("part")) for j, (_, s) in enumerate(fine)])).otherwise(finer)
     again = first.where("kind >= 0").select(F.col("b").alias("fp"), F.explode(finer).alias("k"))
-    second = map_arrow(_dealt(again.select("k.key", "k.part", "fp")), _pair_up(False), schema)
+    second = map_arrow(_dealt(again.select("k.key", "k.part", "fp")), _pair_up(None), schema)
     return first.where("kind < 0").unionByName(second).select("a", "b").distinct()
 
 
