@@ -29,34 +29,71 @@ from panelyard.functions.storage import materialize
 from panelyard.llm import files
 from panelyard.llm.common import id_and_text, map_arrow, scratch_path, ship
 
-REMEMBER = 400_000
+#: chunks and pre-tokens that a task remembers
+REMEMBER = 500_000
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 KEYS_PER_PART = 100_000
 #: payload that one task reads back
 READ_BYTES = 32 << 20
 
 
+#: chunks that normalisation only lower-cases and pre-tokenisation cuts into one word and marks behind it
+_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable, else the next from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Encodes by chunks between ASCII white space, which the tokenizer drops and never looks across; distinct chunks once."""
+    """Encodes by chunks between ASCII white space, which the tokenizer drops and never looks across; distinct chunks once.
+
+    A simple chunk (Latin letters, then ASCII marks) goes to the tokenizer's model as its lower-cased word and its
+    marks, which is what the normaliser and the pre-tokenizer make of it; any other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        found = self.parts.get(part)
+        if found is None:
+            spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+        return found
+
+    def learn(self, chunks: list[str]) -> None:
+        known, others = self.known, []
+        for c in chunks:
+            if m := _SIMPLE.fullmatch(c):
+                word, marks = m.groups()
+                known[c] = self.part(word.lower()) + (self.part(marks) if marks else b"")
+            else:
+                others.append(c)
+        for at in range(0, len(others), 10_000):
+            some = others[at:at + 10_000]
+            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                known[chunk] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         split = [_CHUNK.findall(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
+        if len(self.known) + len(self.parts) > REMEMBER:
             self.known.clear()
+            self.parts.clear()
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, self.dtype).tobytes()
+        self.learn(list({c for chunks in split for c in chunks if c not in known}))
         stop = np.array([end], self.dtype).tobytes()
         return [b"".join([known[c] for c in chunks]) + stop for chunks in split]
 
