@@ -83,6 +83,30 @@ def _(spark, d):
     return rounded(out, 8, gross_trade_dollar=4)
 
 
+# Some assets have no volume, so quantiles meet infinite participations; a tiny range splits every date.
+cte(
+    "dry", "trades",
+    "SELECT date, CASE WHEN cast(asset AS varchar) LIKE '%7' THEN cast('inf' as double) ELSE coalesce(abs(trade_dollar) / nullif(adv_dollar, 0), cast('inf' as double)) END AS p FROM trades",
+)
+
+
+@query(
+    "turnover_liquidity_stress_range_split",
+    sql_with(
+        "dry",
+        """SELECT date, round(CASE WHEN l[lo + 1] = l[hi + 1] THEN l[lo + 1] ELSE (hi - spot) * l[lo + 1] + (spot - lo) * l[hi + 1] END, 8) AS p95_adv_participation, n_dry FROM (
+        SELECT *, cast(floor(spot) as integer) AS lo, cast(ceil(spot) as integer) AS hi FROM (
+        SELECT date, list_sort(list(p)) AS l, (count(*) - 1) * cast(0.95 as double) AS spot, count(*) FILTER (p = 'inf') AS n_dry FROM dry GROUP BY date))""",
+    ),
+)
+def _(spark, d):
+    no_volume = F.when(F.col("asset").cast("string").like("%7"), F.lit(0.0)).otherwise(F.col("adv_dollar"))
+    pen = fr.adv_penetration_table(trades(spark, d).withColumn("adv_dollar", no_volume), max_adv_participation=LIMIT)
+    stress = fr.turnover_liquidity_stress(pen, portfolio_value=VALUE, split_rows=4)
+    dry = pen.groupBy("date").agg(F.count_if(F.col("adv_participation") == fr.INF).alias("n_dry"))
+    return rounded(stress.select("date", "p95_adv_participation")).join(dry, "date")
+
+
 @query(
     "concentration_liquidity_flags",
     sql_with("pen", "SELECT date, asset, round(target_weight, 8) AS target_weight, round(adv_participation, 8) AS adv_participation FROM pen WHERE abs(target_weight) >= cast(0.09 as double) AND adv_participation > cast(0.05 as double)"),

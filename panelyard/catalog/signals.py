@@ -130,10 +130,9 @@ def _barrier_sql(horizon: int, mult: str, lookback: int) -> str:
     CASE WHEN NOT ok THEN 'insufficient_forward_window' WHEN j IS NULL THEN 'vertical_barrier' WHEN up THEN 'upper_barrier' ELSE 'lower_barrier' END AS trigger,
     CASE WHEN ok THEN cast(coalesce(j, {horizon}) as double) END AS realized_horizon,
     CASE WHEN ok THEN round(abs(e.close / k.close - 1) / greatest(k.s, cast(1e-12 as double)), 6) END AS confidence
-    FROM (SELECT b.date, b.asset, b.close, b.rn, b.s, coalesce(b.ahead >= {horizon} AND b.s > 0, false) AS ok,
-      min(f.rn - b.rn) FILTER (f.close >= b.hi OR f.close <= b.lo) AS j, arg_min(f.close >= b.hi, f.rn) FILTER (f.close >= b.hi OR f.close <= b.lo) AS up
-      FROM tb b LEFT JOIN tb f ON f.asset = b.asset AND f.rn > b.rn AND f.rn <= b.rn + {horizon} GROUP BY ALL) k
-    LEFT JOIN tb e ON e.asset = k.asset AND e.rn = k.rn + coalesce(k.j, {horizon})"""
+    FROM (SELECT *, coalesce(ahead >= {horizon} AND s > 0, false) AS ok, cl[j] >= hi AS up, {{'date': dl[coalesce(j, {horizon})], 'close': cl[coalesce(j, {horizon})]}} AS e FROM (
+      SELECT *, nullif(list_position(list_transform(cl, lambda x: coalesce(x >= hi OR x <= lo, false)), true), 0) AS j FROM (
+        SELECT *, list(close) OVER f AS cl, list(date) OVER f AS dl FROM tb WINDOW f AS (PARTITION BY asset ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {horizon} FOLLOWING)))) k"""
 
 
 cte(

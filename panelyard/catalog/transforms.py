@@ -273,6 +273,21 @@ def _(spark, d):
     return rounded(out["data"].select("date", "asset", "value_neutralized"), 7)
 
 
+@query(
+    "size_neutralization_ridge",
+    sql_with(
+        "nin",
+        """SELECT i.date, i.asset, round(value - a - b * size_exposure, 7) AS value_neutralized FROM nin i LEFT JOIN (
+        SELECT date, (sy * (sxx + 25) - sx * sxy) / ((n + 25) * (sxx + 25) - sx * sx) AS a, ((n + 25) * sxy - sx * sy) / ((n + 25) * (sxx + 25) - sx * sx) AS b FROM (
+        SELECT date, count(*) AS n, sum(size_exposure) AS sx, sum(size_exposure * size_exposure) AS sxx, sum(value) AS sy, sum(size_exposure * value) AS sxy FROM nin
+        WHERE value IS NOT NULL AND size_exposure IS NOT NULL GROUP BY date HAVING count(*) >= 20)) f ON i.date = f.date""",
+    ),
+)
+def _(spark, d):
+    out = neutralization.neutralize_size(neutralization_input(spark, d), size_col="size_exposure", ridge=25.0)
+    return rounded(out["data"].select("date", "asset", "value_neutralized"), 7)
+
+
 cte(
     "nlong", "nres",
     """SELECT date, value AS b, value_neutralized AS a, 'size_exposure' AS exposure, size_exposure AS x FROM nres UNION ALL SELECT date, value, value_neutralized, 'beta_exposure', beta_exposure FROM nres

@@ -72,12 +72,11 @@ def _(spark, d):
 
 _MERGE = """SELECT {k} min(event_start) AS event_start, max(event_end) AS event_end FROM (SELECT *, sum(new) OVER (PARTITION BY {p} ORDER BY event_start, event_end, sample_id ROWS UNBOUNDED PRECEDING) AS island FROM (
  SELECT *, CASE WHEN event_start <= max(event_end) OVER (PARTITION BY {p} ORDER BY event_start, event_end, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {s})) GROUP BY {k} island"""
-cte("iv_asset", "iv", "SELECT * FROM iv WHERE month(event_start) IN (1, 7)")
 
 
-@query("merged_intervals", sql_with("iv_asset", "SELECT asset, event_start, event_end FROM (" + _MERGE.format(k="asset,", p="asset", s="iv_asset") + ")"))
+@query("merged_intervals", sql_with("iv", "SELECT asset, event_start, event_end FROM (" + _MERGE.format(k="asset,", p="asset", s="iv") + ")"))
 def _(spark, d):
-    return splits.merge_intervals(intervals(spark, d).where(F.month("event_start").isin(1, 7)), ["asset"])
+    return splits.merge_intervals(intervals(spark, d), ["asset"])
 
 
 @query(

@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from panelyard.functions.storage import materialize
 
 SPLIT_ROWS = 2_000_000
-_SEARCH_STEPS = 24
+#: rows of a measured side table, or cut values of all groups, up to which it is broadcast
+BROADCAST_ROWS = 500_000
 _SALTS = 64
 
 
@@ -43,10 +44,14 @@ def fits(max_group: int | None, split_rows: int | None = None) -> bool:
 
 
 def _row_id(df: DataFrame, keys: Sequence[str], row_id: Sequence[str] | None) -> list[str]:
-    """Columns that tell the rows of a group apart."""
-    if row_id is not None:
+    """Columns that tell the rows of a group apart; without the usual ids, all columns but the keys.
+
+    They only place the cuts and the salts, so rows that they don't tell apart are ranked right as well.
+    """
+    if row_id:
         return list(row_id)
-    return [c for c in ("date", "asset", "factor") if c in df.columns and c not in keys]
+    ids = [c for c in ("date", "asset", "factor") if c in df.columns and c not in keys]
+    return ids or [c for c in df.columns if c not in keys] or list(keys)
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -60,11 +65,23 @@ def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left
     return df.join(F.broadcast(side) if calendar else side, list(keys), how)
 
 
+def attach_small(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table with a row per date and bounded key (factor, fold) to a panel, without moving the panel on hot keys.
+
+    The side is written and counted; up to ``BROADCAST_ROWS`` rows it is broadcast. Beyond, the join is adaptive: the
+    written side lets a skewed key of the panel be split.
+    """
+    side = materialize(side)
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, list(keys), how)
+
+
 def date_axis(df: DataFrame) -> DataFrame:
     """The distinct dates of a panel numbered from 1: columns date, t.
 
-    Only the calendar (at most one row per day) passes through the single-task window.
+    Only the calendar (at most one row per day) passes through the single-task window, so the column must be a DATE.
     """
+    if not isinstance(df.schema["date"].dataType, T.DateType):
+        raise ValueError("date must be a DATE column")
     return (
         df.select("date").where(F.col("date").isNotNull()).distinct()
         .withColumn("t", F.row_number().over(W.orderBy("date")))
@@ -149,13 +166,16 @@ def _rank_by_window(base: DataFrame, keys: Sequence[str], names: Mapping[str, st
 
 
 def lower_bound(cuts: Column, value: Column) -> Column:
-    """Number of cuts below ``value``: binary search over a sorted array, log2 steps per row."""
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(_SEARCH_STEPS))])
+    """Number of cuts below ``value``: binary search over a sorted array, as many steps as its size asks for."""
+    size = F.greatest(F.size(cuts), F.lit(0))
+    powers = F.sequence(F.floor(F.log2(size + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
     return F.aggregate(
-        steps,
+        powers,
         F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) < value), at + step
+        lambda at, power: F.when(
+            (at + F.call_function("shiftleft", F.lit(1), power) <= F.size(cuts))
+            & (F.get(cuts, at + F.call_function("shiftleft", F.lit(1), power) - 1) < value),
+            at + F.call_function("shiftleft", F.lit(1), power),
         ).otherwise(at),
     )
 
@@ -182,7 +202,9 @@ def _rank_by_ranges(
         base.where(value.isNotNull()).join(hot, list(keys), "left_semi").where(pick)
         .groupBy(*keys).agg(F.array_sort(F.collect_set("__rk_o")).alias("__rk_cuts"))
     )
-    rows = attach(base, cuts, keys)
+    cuts = materialize(cuts)
+    held = cuts.agg(F.sum(F.size("__rk_cuts"))).first()[0] or 0
+    rows = base.join(F.broadcast(cuts) if held <= BROADCAST_ROWS else cuts, list(keys), "left")
     at = lower_bound(F.col("__rk_cuts"), value)
     rows = rows.withColumn("__rk_at", F.when(value.isNull(), F.lit(-1)).when(F.col("__rk_cuts").isNull(), F.lit(0)).otherwise(at))
     on_cut = F.col("__rk_cuts").isNotNull() & value.isNotNull() & F.coalesce(
@@ -251,28 +273,31 @@ def group_quantiles(
     max_group: int | None = None,
     split_rows: int | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one row per group."""
+    """Exact linearly interpolated quantiles per group, one row per group; the same on either path.
+
+    NaN counts as missing. Between equal neighbours, infinite ones too, the value is theirs; between -inf and +inf it
+    is NULL.
+    """
+    value = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+
+    def known(q: Column) -> Column:
+        return F.when(~F.isnan(q), q)
+
     if fits(max_group, split_rows):
         return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(n) for p, n in zip(probs, names, strict=True)]
+            *[known(F.percentile(value, F.lit(float(p)))).alias(n) for p, n in zip(probs, names, strict=True)]
         )
-    row_id = _row_id(df, keys, row_id)
-    ids = [F.col(c) for c in row_id]
-    base = df.select(*keys, *row_id, value.alias("__v"))
-    order = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v"), *ids))
+    ids = [c for c in _row_id(df, keys, row_id) if c not in keys]
+    base = df.select(*keys, *ids, value.alias("__v"))
     ranked = with_ranks(
-        base, keys, order, minimum="__r", size="__m", row_id=row_id, max_group=max_group, split_rows=split_rows
+        base, keys, F.col("__v"), minimum="__r", size="__m", row_id=[*ids, "__v"], max_group=max_group, split_rows=split_rows
     )
-    # Only the two rows around each quantile position reach the final aggregate.
-    spots = [(F.col("__m") - 1) * F.lit(float(p)) for p in probs]
-    keep = None
-    for s in spots:
-        hit = (F.col("__r") - 1 == F.floor(s)) | (F.col("__r") - 1 == F.ceil(s))
-        keep = hit if keep is None else keep | hit
+    # The value at a position is the largest whose first rank isn't beyond it, so ties need no tie-breaker.
     aggs = []
-    for s, n in zip(spots, names, strict=True):
-        low = F.max(F.when(F.col("__r") - 1 == F.floor(s), F.col("__v")))
-        high = F.max(F.when(F.col("__r") - 1 == F.ceil(s), F.col("__v")))
-        part = F.max(s - F.floor(s))
-        aggs.append((low + (high - low) * part).alias(n))
-    return ranked.where(keep).groupBy(*keys).agg(*aggs)
+    for p, n in zip(probs, names, strict=True):
+        spot = (F.col("__m") - 1) * F.lit(float(p))
+        low = F.max(F.when(F.col("__r") - 1 <= F.floor(spot), F.col("__v")))
+        high = F.max(F.when(F.col("__r") - 1 <= F.ceil(spot), F.col("__v")))
+        rest, part = F.max(F.ceil(spot) - spot), F.max(spot - F.floor(spot))
+        aggs.append(known(F.when(low == high, low).otherwise(rest * low + part * high)).alias(n))
+    return ranked.groupBy(*keys).agg(*aggs)

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean, gated
+from panelyard.functions.groups import attach, attach_small
 from panelyard.functions.storage import materialize
 from panelyard.operators.evaluation import compute_rank_ic, long_short_return, quantile_returns
-from panelyard.operators.screening import effective_count, pairwise_correlation, series_names
+from panelyard.operators.screening import MAX_SERIES, effective_count, pairwise_correlation, series_names
 
 METHODS = ("equal", "ic", "icir")
 
 
-def ic_history(signals: DataFrame, labels: DataFrame, *, max_group: int | None = None) -> DataFrame:
-    return compute_rank_ic(signals, labels, max_group=max_group).select("date", "factor", "rank_ic")
+def ic_history(signals: DataFrame, labels: DataFrame, *, max_group: int | None = None, validate: bool = True) -> DataFrame:
+    return compute_rank_ic(signals, labels, max_group=max_group, validate=validate).select("date", "factor", "rank_ic")
 
 
 def composite_weights(
     signals: DataFrame, *, method: str = "equal", labels: DataFrame | None = None, lookback: int = 63, min_history: int = 5,
-    label_lag: int = 0, max_group: int | None = None,
+    label_lag: int = 0, max_group: int | None = None, validate: bool = True,
 ) -> DataFrame:
     """Weight per (date, factor): equal, or by the IC (IR) of the last ``lookback`` IC rows before the date.
 
@@ -39,7 +42,7 @@ def composite_weights(
         return grid.select("date", "factor", even.alias("weight"))
     if labels is None:
         raise ValueError(f"labels is required when method={method!r}")
-    history = ic_history(signals, labels, max_group=max_group).withColumn("__has", F.lit(1))
+    history = ic_history(signals, labels, max_group=max_group, validate=validate).withColumn("__has", F.lit(1))
     before = W.partitionBy("factor").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     rows = grid.join(history, ["date", "factor"], "left").withColumn("__i", F.coalesce(F.count("__has").over(before), F.lit(0)))
     # Position among IC rows: rows between position - lookback and position - 1.
@@ -60,7 +63,7 @@ def composite_weights(
 
 def compose_signals(
     signals: DataFrame, *, method: str = "equal", labels: DataFrame | None = None, lookback: int = 63, min_history: int = 5,
-    output_factor: str = "composite_signal", label_lag: int = 0, max_group: int | None = None,
+    output_factor: str = "composite_signal", label_lag: int = 0, max_group: int | None = None, validate: bool = True,
 ) -> dict[str, DataFrame]:
     """Weighted mean of per-date z-scores over the factors an asset has.
 
@@ -68,7 +71,8 @@ def compose_signals(
     for every asset of the date, so its weight counts in every denominator.
     """
     weights = composite_weights(
-        signals, method=method, labels=labels, lookback=lookback, min_history=min_history, label_lag=label_lag, max_group=max_group
+        signals, method=method, labels=labels, lookback=lookback, min_history=min_history, label_lag=label_lag, max_group=max_group,
+        validate=validate,
     )
     keys = ["date", "factor"]
     v = clean("value")
@@ -78,14 +82,14 @@ def compose_signals(
     side = stats.join(weights, keys)
     constant = side.where("flat").groupBy("date").agg(F.sum(F.abs("weight")).alias("__c"))
     varying = side.where("not flat").select(*keys, "mu", "sd", "weight")
-    rows = signals.select(*keys, "asset", v.alias("v")).join(varying, keys, "left")
+    rows = attach_small(signals.select(*keys, "asset", v.alias("v")), varying, keys)
     part = F.try_divide(F.col("v") - F.col("mu"), F.col("sd")) * F.col("weight")
     rows = rows.withColumn("__part", part)
-    per_asset = rows.groupBy("date", "asset").agg(
+    per_asset = attach(rows.groupBy("date", "asset").agg(
         F.coalesce(F.sum("__part"), F.lit(0.0)).alias("__sum"),
         F.coalesce(F.sum(F.when(F.col("__part").isNotNull(), F.abs("weight"))), F.lit(0.0)).alias("__abs"),
         F.count("__part").alias("__n"),
-    ).join(constant, "date", "left")
+    ), constant, ["date"])
     composite = per_asset.where((F.col("__n") > 0) | F.col("__c").isNotNull()).select(
         "date", "asset", F.lit(output_factor).alias("factor"),
         F.try_divide(F.col("__sum"), F.nullif(F.col("__abs") + F.coalesce("__c", F.lit(0.0)), F.lit(0.0))).alias("value"),
@@ -104,9 +108,9 @@ def compose_signals(
     }
 
 
-def alpha_return_panel(signals: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None) -> DataFrame:
+def alpha_return_panel(signals: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None, validate: bool = True) -> DataFrame:
     """Long-short return per (date, factor); dates without any value are dropped, gaps are 0."""
-    ls = long_short_return(quantile_returns(signals, labels, n_quantiles, max_group=max_group))
+    ls = long_short_return(quantile_returns(signals, labels, n_quantiles, max_group=max_group, validate=validate))
     used = ls.groupBy("date").agg(F.max(F.col("long_short_return").isNotNull()).alias("any")).where("any").select("date")
     grid = used.withColumn("__names", series_names(ls).scalar()).select("date", F.explode("__names").alias("factor"))
     return grid.join(ls, ["date", "factor"], "left").select(
@@ -114,30 +118,46 @@ def alpha_return_panel(signals: DataFrame, labels: DataFrame, *, n_quantiles: in
     )
 
 
+def panel_names(panel: DataFrame) -> list[str]:
+    """Names of a pool of alphas; more than ``MAX_SERIES`` raise."""
+    names = [r[0] for r in panel.select("factor").distinct().orderBy("factor").limit(MAX_SERIES + 1).collect()]
+    if len(names) > MAX_SERIES:
+        raise ValueError(f"more than {MAX_SERIES} alphas in a pool")
+    return names
+
+
 def alpha_correlations(panel: DataFrame) -> DataFrame:
     """Correlation of every two alphas over dates."""
     pairs = pairwise_correlation(panel, keys=("date",))
     return pairs.select(F.col("a").alias("alpha_a"), F.col("b").alias("alpha_b"), "corr", F.abs("corr").alias("abs_corr"))
 
 
-def breadth_summary(pairs: DataFrame) -> DataFrame:
-    eff = effective_count(pairs, name_cols=("alpha_a", "alpha_b"))
+def breadth_summary(pairs: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Breadth of the alphas in ``names``, or else of those that occur in a pair; a pool of one has no pair."""
+    eff = effective_count(pairs, name_cols=("alpha_a", "alpha_b"), names=names)
     return eff.select(
         F.col("n").alias("n_alphas"), F.coalesce("avg_abs_corr", F.lit(0.0)).alias("avg_abs_corr"), F.col("effective_n").alias("effective_breadth"),
         F.try_divide(F.col("effective_n"), F.col("n").cast("double")).alias("breadth_ratio"), F.sqrt("effective_n").alias("ir_multiplier_bound"),
     )
 
 
-def correlation_clusters(pairs: DataFrame, *, threshold: float = 0.8, name_cols: tuple[str, str] = ("alpha_a", "alpha_b")) -> DataFrame:
+def correlation_clusters(
+    pairs: DataFrame, *, threshold: float = 0.8, name_cols: tuple[str, str] = ("alpha_a", "alpha_b"), names: Sequence[str] | None = None
+) -> DataFrame:
     """Connected components of |correlation| >= threshold: name, cluster_id (in order of the first member).
 
+    ``names`` adds series that occur in no pair, each a cluster of its own.
+
     Labels start as the own name and repeatedly take the smallest label of the neighbours, then
     of the label's own label, until nothing changes. Every round is written to shared storage.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     a, b = name_cols
-    names = pairs.select(F.explode(F.array(a, b)).alias("name")).distinct()
+    known = pairs.select(F.explode(F.array(a, b)).alias("name"))
+    if names is not None:
+        known = known.unionByName(pairs.sparkSession.createDataFrame([(n,) for n in names], "name string"))
+    names = known.distinct()
     linked = pairs.where(F.abs("corr") >= threshold)
     edges = materialize(linked.select(F.inline(F.array(
         F.struct(F.col(a).alias("name"), F.col(b).alias("other")), F.struct(F.col(b).alias("name"), F.col(a).alias("other"))
@@ -163,9 +183,10 @@ def cluster_summary(clusters: DataFrame) -> DataFrame:
 
 
 def alpha_pool_diagnostics(panel: DataFrame, *, cluster_threshold: float = 0.8) -> dict[str, DataFrame]:
+    names = panel_names(panel)
     pairs = materialize(alpha_correlations(panel))
     return {
         "pairwise": pairs,
-        "breadth_summary": breadth_summary(pairs),
-        "clusters": cluster_summary(correlation_clusters(pairs, threshold=cluster_threshold)),
+        "breadth_summary": breadth_summary(pairs, names),
+        "clusters": cluster_summary(correlation_clusters(pairs, threshold=cluster_threshold, names=names)),
     }

@@ -13,14 +13,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean, gated, pair_corr, ratio
-from panelyard.functions.groups import with_ranks
+from panelyard.functions.groups import attach_small, with_ranks
 from panelyard.operators.factors import positive_close
+from panelyard.sources.contracts import require_unique
 
 DECAY_HORIZONS = (1, 2, 5, 10, 20)
 
 
-def align(factors: DataFrame, labels: DataFrame) -> DataFrame:
-    """Inner join on (date, asset): columns date, asset, factor, label, x, y."""
+def align(factors: DataFrame, labels: DataFrame, *, validate: bool = True) -> DataFrame:
+    """Inner join on (date, asset): columns date, asset, factor, label, x, y.
+
+    A repeated key would multiply pairs, so it raises, unless the caller has checked and turns ``validate`` off.
+    """
+    if validate:
+        require_unique(factors, ("date", "asset", "factor"), "factors")
+        require_unique(labels, ("date", "asset", "factor"), "labels")
     left = factors.select("date", "asset", "factor", clean("value").alias("x"))
     right = labels.select("date", "asset", F.col("factor").alias("label"), clean("value").alias("y"))
     return left.join(right, ["date", "asset"])
@@ -41,13 +48,13 @@ def rank_ic_of_pairs(
     return ranked.groupBy(*keys).agg(pair_corr(F.col("rx"), F.col("ry")).alias("rank_ic"))
 
 
-def compute_ic(factors: DataFrame, labels: DataFrame) -> DataFrame:
+def compute_ic(factors: DataFrame, labels: DataFrame, *, validate: bool = True) -> DataFrame:
     """Pearson correlation per date; dates without a usable pair appear with NULL."""
-    return ic_of_pairs(align(factors, labels), ["date", "factor", "label"])
+    return ic_of_pairs(align(factors, labels, validate=validate), ["date", "factor", "label"])
 
 
-def compute_rank_ic(factors: DataFrame, labels: DataFrame, *, max_group: int | None = None, split_rows: int | None = None) -> DataFrame:
-    return rank_ic_of_pairs(align(factors, labels), ["date", "factor", "label"], max_group=max_group, split_rows=split_rows)
+def compute_rank_ic(factors: DataFrame, labels: DataFrame, *, max_group: int | None = None, split_rows: int | None = None, validate: bool = True) -> DataFrame:
+    return rank_ic_of_pairs(align(factors, labels, validate=validate), ["date", "factor", "label"], max_group=max_group, split_rows=split_rows)
 
 
 def compute_ic_summary(ic: DataFrame, *, value_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -113,9 +120,9 @@ def quantile_returns_of_pairs(pairs: DataFrame, n_quantiles: int, keys: Sequence
     return out.groupBy(*keys, "quantile").agg(F.avg("y").alias("mean_return"))
 
 
-def quantile_returns(factors: DataFrame, labels: DataFrame, n_quantiles: int = 5, *, max_group: int | None = None, split_rows: int | None = None) -> DataFrame:
+def quantile_returns(factors: DataFrame, labels: DataFrame, n_quantiles: int = 5, *, max_group: int | None = None, split_rows: int | None = None, validate: bool = True) -> DataFrame:
     """Mean label per bucket; buckets are assigned on complete pairs only."""
-    return quantile_returns_of_pairs(align(factors, labels), n_quantiles, ["date", "factor"], max_group=max_group, split_rows=split_rows)
+    return quantile_returns_of_pairs(align(factors, labels, validate=validate), n_quantiles, ["date", "factor"], max_group=max_group, split_rows=split_rows)
 
 
 def long_short_return(quantile_ret: DataFrame, keys: Sequence[str] = ("date", "factor")) -> DataFrame:
@@ -150,7 +157,7 @@ def quantile_turnover(assignments: DataFrame, keys: Sequence[str] = ("factor",))
     own = W.partitionBy(*keys, "asset").orderBy("date")
     seen = assignments.withColumns({"__d": F.lag("date").over(own), "__q": F.lag("quantile").over(own)})
     stayed = (F.col("__d") == F.col("__prev")) & (F.col("__q") == F.col("quantile"))
-    return seen.join(panel, [*keys, "date"]).groupBy("date", *keys, "quantile").agg(
+    return attach_small(seen, panel, [*keys, "date"], "inner").groupBy("date", *keys, "quantile").agg(
         F.when(F.max("__prev").isNotNull(), ratio(F.count(F.lit(1)) - F.count_if(stayed), F.count(F.lit(1)))).alias("turnover")
     )
 
@@ -234,8 +241,8 @@ def build_factor_report(
 
     labels = forward_return(prices, horizon=horizon)
     ic = compute_ic(factors, labels)
-    rank_ic = compute_rank_ic(factors, labels, max_group=max_group)
-    returns = quantile_returns(factors, labels, n_quantiles, max_group=max_group)
+    rank_ic = compute_rank_ic(factors, labels, max_group=max_group, validate=False)
+    returns = quantile_returns(factors, labels, n_quantiles, max_group=max_group, validate=False)
     assigned = quantile_assignments(factors, n_quantiles, max_group=max_group)
     turnover = quantile_turnover(assigned)
     decay = signal_decay_profile(factors, prices, horizons=decay_horizons, max_group=max_group)

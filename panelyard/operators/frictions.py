@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean, ratio
 from panelyard.functions.groups import attach, group_quantiles
+from panelyard.sources.contracts import require_rules
 
 BPS = 1e-4
 INF = float("inf")
@@ -35,10 +36,24 @@ def sqrt_impact_cost(trade: Column, *, adv_dollar: Column, daily_volatility: Col
     return F.when(adv_dollar <= 0, F.lit(INF)).otherwise(F.abs(trade) * rate)
 
 
+def cost_rules(trade_col: str = "trade_dollar", adv_col: str = "adv_dollar", vol_col: str = "daily_volatility") -> dict[str, Column]:
+    """What makes a trade's cost unknown or meaningless."""
+    return {
+        "missing_trade": clean(trade_col).isNull(),
+        "missing_adv": clean(adv_col).isNull(),
+        "negative_adv": clean(adv_col) < 0,
+        "missing_volatility": clean(vol_col).isNull(),
+        "negative_volatility": clean(vol_col) < 0,
+    }
+
+
 def cost_per_trade(
     trades: DataFrame, *, flat_fee_bps: float = 1.0, spread_bps: float = 5.0, impact_eta: float = 0.1,
-    trade_col: str = "trade_dollar", adv_col: str = "adv_dollar", vol_col: str = "daily_volatility",
+    trade_col: str = "trade_dollar", adv_col: str = "adv_dollar", vol_col: str = "daily_volatility", validate: bool = True,
 ) -> DataFrame:
+    """Costs of each trade. Missing inputs, negative volume or volatility raise unless ``validate`` is off."""
+    if validate:
+        require_rules(trades, cost_rules(trade_col, adv_col, vol_col), "trades")
     trade = clean(trade_col)
     out = trades.withColumns(
         {
@@ -87,13 +102,13 @@ def adv_penetration_table(trades: DataFrame, *, max_adv_participation: float = 0
     )
 
 
-def turnover_liquidity_stress(penetration: DataFrame, *, portfolio_value: float, max_group: int | None = None) -> DataFrame:
+def turnover_liquidity_stress(penetration: DataFrame, *, portfolio_value: float, max_group: int | None = None, split_rows: int | None = None) -> DataFrame:
     if portfolio_value <= 0:
         raise ValueError("portfolio_value must be > 0")
     totals = penetration.groupBy("date").agg(
         F.sum(F.abs("trade_dollar")).alias("gross_trade_dollar"), F.avg("adv_participation").alias("mean_adv_participation")
     )
-    p95 = group_quantiles(penetration, ["date"], F.col("adv_participation"), (0.95,), ("p95_adv_participation",), max_group=max_group)
+    p95 = group_quantiles(penetration, ["date"], F.col("adv_participation"), (0.95,), ("p95_adv_participation",), max_group=max_group, split_rows=split_rows)
     turnover = F.col("gross_trade_dollar") / F.lit(float(portfolio_value))
     return attach(totals, p95, ["date"]).withColumn("turnover", turnover).withColumn(
         "turnover_x_liquidity", F.col("turnover") * F.col("mean_adv_participation")

@@ -19,6 +19,7 @@ from panelyard.functions.groups import attach
 
 BY = ("date",)
 _BASE = "__base"
+CLOSED_FORM_RIDGE = 1e-8
 
 
 def _rows(df: DataFrame, value_col: str, size_col: str | None, beta_col: str | None, industry_col: str | None) -> DataFrame:
@@ -99,13 +100,14 @@ def _ridge_solver(by: Sequence[str], ridge: float, use_size: bool, use_beta: boo
 
 def neutralize_signal(
     df: DataFrame, *, value_col: str = "value", by: Sequence[str] = BY, size_col: str | None = None, industry_col: str | None = None,
-    beta_col: str | None = None, min_obs: int = 20, ridge: float = 1e-8, output_col: str = "value_neutralized", solver: str = "closed_form",
+    beta_col: str | None = None, min_obs: int = 20, ridge: float = 1e-8, output_col: str = "value_neutralized", solver: str = "auto",
 ) -> dict[str, DataFrame]:
     """Residual of the per-group regression, its coefficients and exposure diagnostics.
 
-    ``solver="closed_form"`` ignores the ridge (1e-8 by default, far below the noise of the
-    data); ``solver="ridge"`` solves the penalized normal equations for any ridge in a
-    grouped map over moment rows, never over data rows.
+    ``solver="auto"`` takes the closed form for a ridge up to ``CLOSED_FORM_RIDGE`` (1e-8, far
+    below the noise of the data), and for any larger one the penalized normal equations, which
+    a grouped map solves over moment rows, never over data rows. Either can be asked for by
+    name; the closed form refuses a ridge that it would ignore.
     """
     if min_obs <= 0:
         raise ValueError("min_obs must be > 0")
@@ -113,8 +115,12 @@ def neutralize_signal(
         raise ValueError("ridge must be >= 0")
     if not (size_col or industry_col or beta_col):
         raise ValueError("at least one exposure is required for neutralization")
-    if solver not in ("closed_form", "ridge"):
+    if solver not in ("auto", "closed_form", "ridge"):
         raise ValueError(f"unknown solver {solver!r}")
+    if solver == "auto":
+        solver = "closed_form" if ridge <= CLOSED_FORM_RIDGE else "ridge"
+    if solver == "closed_form" and ridge > CLOSED_FORM_RIDGE:
+        raise ValueError(f"the closed form doesn't apply a ridge above {CLOSED_FORM_RIDGE}")
     rows = _rows(df, value_col, size_col, beta_col, industry_col)
     complete = F.col("__y").isNotNull() & F.col("__s").isNotNull() & F.col("__b").isNotNull()
     moments = _moments(rows.where(complete), by)

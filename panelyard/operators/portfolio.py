@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean, gated, ratio
-from panelyard.functions.groups import with_group_stats, with_ranks
+from panelyard.functions.groups import attach_small, with_group_stats, with_ranks
 from panelyard.sources.contracts import require_columns
 
 WEIGHT_METHODS = ("equal", "rank", "score")
@@ -122,9 +122,11 @@ def simulate_portfolio_returns(
         *keys, "date", F.explode(F.sequence(F.greatest(F.lit(0), F.col("__last") - (holding_period - 1)), F.col("__last"))).alias("__i")
     )
     held = held.join(active.select(*keys, "__i", F.col("date").alias("__start")), [*keys, "__i"])
+    # Positions are repeated for the dates they are held, never the returns, which are the larger table.
     positions = weights.select(*keys, F.col("date").alias("__start"), "asset", "weight")
-    rows = returns.select(*keys, "date", "asset", clean("value").alias("__r")).join(held.select(*keys, "date", "__start"), [*keys, "date"])
-    per_position = rows.join(positions, [*keys, "__start", "asset"]).groupBy(*keys, "date", "__start").agg(
+    positions = attach_small(positions, held.select(*keys, "date", "__start"), [*keys, "__start"], "inner")
+    rows = returns.select(*keys, "date", "asset", clean("value").alias("__r"))
+    per_position = rows.join(positions, [*keys, "date", "asset"]).groupBy(*keys, "date", "__start").agg(
         F.coalesce(F.sum(F.col("weight") * F.col("__r")), F.lit(0.0)).alias("__p")
     )
     return per_position.groupBy(*keys, "date").agg(F.avg("__p").alias("portfolio_return"))
@@ -141,7 +143,8 @@ def weight_changes(weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     own = W.partitionBy(*keys, "asset").orderBy("date")
     rows = weights.select(*keys, "date", "asset", clean("weight").alias("__w")).withColumns(
         {"__ld": F.lag("date").over(own), "__lw": F.lag("__w").over(own), "__nd": F.lead("date").over(own)}
-    ).join(panel, [*keys, "date"])
+    )
+    rows = attach_small(rows, panel, [*keys, "date"], "inner")
     stays = F.coalesce(F.col("__ld") == F.col("__prev"), F.lit(False))
     change = F.abs(F.col("__w") - F.when(stays, F.col("__lw")).otherwise(F.lit(0.0)))
     leaves = F.col("__next").isNotNull() & F.coalesce(F.col("__nd") != F.col("__next"), F.lit(True))

@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions.columns import clean
 from panelyard.functions.groups import group_quantiles
 from panelyard.functions.storage import materialize
-from panelyard.operators.splits import prepare_intervals
-from panelyard.sources.contracts import require_columns
+from panelyard.operators.splits import interval_rules, prepare_intervals
+from panelyard.sources.contracts import require_columns, require_rules
 
 
 def _normalized(df: DataFrame, *columns: str) -> DataFrame:
@@ -131,6 +132,8 @@ def time_decay_weights(
 def _time_decay(df: DataFrame, date_col: str, half_life_periods: float, reference_date: str | None, output_col: str) -> DataFrame:
     if half_life_periods <= 0:
         raise ValueError("half_life_periods must be > 0")
+    if not isinstance(df.schema[date_col].dataType, T.DateType):
+        raise ValueError(f"{date_col} must be a DATE column")  # the calendar bounds the broadcast below
     dates = df.select(date_col).distinct().withColumn("__k", F.row_number().over(W.orderBy(date_col)) - 1)
     if reference_date is None:
         top = F.max("__k")
@@ -166,10 +169,14 @@ def _confidence(
     return df.withColumn("__e", ends).withColumn(output_col, weight).drop("__e")
 
 
-def combine_weight_components(df: DataFrame, components: Sequence[str], *, normalize: bool = True, output_col: str = "sample_weight") -> DataFrame:
-    """Product of the components; a missing component counts as 1."""
+def combine_weight_components(
+    df: DataFrame, components: Sequence[str], *, normalize: bool = True, output_col: str = "sample_weight", validate: bool = True
+) -> DataFrame:
+    """Product of the components; a missing component counts as 1, a negative one raises unless ``validate`` is off."""
     if not components:
         raise ValueError("components must be non-empty")
+    if validate:
+        require_rules(df, {f"negative_{c}": clean(c) < 0 for c in components}, "weight components")
     product: Column = F.lit(1.0)
     for c in components:
         product = product * F.coalesce(clean(c), F.lit(1.0))
@@ -180,17 +187,19 @@ def combine_weight_components(df: DataFrame, components: Sequence[str], *, norma
 def build_sample_weights(
     events: DataFrame, *, sample_id_col: str = "sample_id", decision_col: str = "date", start_col: str = "event_start", end_col: str = "event_end",
     return_col: str | None = None, confidence_col: str | None = None, half_life_periods: float | None = None, calendar: DataFrame | None = None,
-    max_group: int | None = None,
+    max_group: int | None = None, validate: bool = True,
 ) -> DataFrame:
     """All requested components and their normalized product, one row per sample.
 
-    Events and raw components are each written once: the totals read them again.
+    Missing or inverted intervals and repeated sample ids raise, unless ``validate`` is off. Events and raw components are each written once: the totals read them again.
     """
     require_columns(events, (sample_id_col,), "events")
     frame = prepare_intervals(events, decision_col=decision_col, start_col=start_col, end_col=end_col)
     kept = list(dict.fromkeys(c for c in (return_col, confidence_col) if c))
     base = [sample_id_col, "decision_date", "event_start", "event_end"]
     frame = materialize(frame.select(*base, *kept))
+    if validate:
+        require_rules(frame, interval_rules(), "events", (sample_id_col,))
     out = _uniqueness(frame, start_col="event_start", end_col="event_end", calendar=calendar, output_col="weight_uniqueness")
     parts = ["weight_uniqueness"]
     if return_col is not None:
@@ -203,7 +212,7 @@ def build_sample_weights(
         parts.append("weight_time_decay")
         out = _time_decay(out, "decision_date", half_life_periods, None, parts[-1])
     raw = materialize(out.select(*base, *parts))
-    return combine_weight_components(_normalized(raw, *parts), parts).select(*base, *parts, "sample_weight")
+    return combine_weight_components(_normalized(raw, *parts), parts, validate=False).select(*base, *parts, "sample_weight")
 
 
 def attach_sample_weights(keys: DataFrame, sample_weights: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def monotonicity_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: in
 
 def univariate_factor_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None) -> DataFrame:
     coverage = factors.groupBy("factor").agg(F.avg(clean("value").isNotNull().cast("double")).alias("coverage"))
-    ic = compute_ic_summary(compute_rank_ic(factors, labels, max_group=max_group), value_col="rank_ic", by=("factor",)).select(
+    ic = compute_ic_summary(compute_rank_ic(factors, labels, max_group=max_group, validate=False), value_col="rank_ic", by=("factor",)).select(
         "factor", F.col("mean").alias("rank_ic_mean"), F.col("std").alias("rank_ic_std"), F.col("ic_ir").alias("rank_ic_ir"),
         F.col("t_stat").alias("rank_ic_t_stat"),
     )
@@ -169,7 +169,7 @@ def marginal_ic_contribution(factors: DataFrame, labels: DataFrame, *, max_group
     gone = F.when(F.col("out").isNull(), 0).when(is_regular, own.isNotNull().cast("int")).otherwise(1)
     n = F.col("p") + F.col("flat") - gone
     composite = rows.select("date", "asset", F.coalesce("out", F.lit("\u0000full")).alias("factor"), ratio(total, n).alias("value"))
-    ic = rank_ic_of_pairs(align(composite, labels), ["date", "factor"], max_group=max_group)
+    ic = rank_ic_of_pairs(align(composite, labels, validate=False), ["date", "factor"], max_group=max_group)
     means = ic.groupBy("factor").agg(F.avg("rank_ic").alias("m"))
     full = means.where(F.col("factor") == "\u0000full").select("m").scalar()
     out = means.where(F.col("factor") != "\u0000full").withColumn("pool_rank_ic_full", full)
@@ -233,6 +233,8 @@ def select_signals(candidate: DataFrame, decisions: DataFrame) -> DataFrame:
     n = decisions.agg(F.count_if(F.col("decision") == "candidate_factor")).scalar()
     best = F.struct(F.coalesce("rank_ic_mean", F.lit(float("-inf"))).alias("ic"), F.coalesce("coverage", F.lit(float("-inf"))).alias("c"))
     order = F.struct((-best["ic"]).alias("ic"), (-best["c"]).alias("c"), F.col("factor"))
+    if decisions.limit(2).count() < 2:
+        raise ValueError("fewer than two factors to choose from")
     # One row per factor.
     ranked = with_ranks(decisions.withColumn("__all", F.lit(1)), ["__all"], order, minimum="__k", max_group=100_000)
     chosen = ranked.withColumn("__n", n).where(
@@ -280,19 +282,38 @@ def adjust_pvalues(
 apply_multiple_testing_to_trial_log = adjust_pvalues
 
 
-def effective_count(pairs: DataFrame, corr_col: str = "corr", name_cols: tuple[str, str] = ("a", "b")) -> DataFrame:
+#: series whose correlation matrix may go to the driver (at most MAX_SERIES^2 / 2 pairs)
+MAX_SERIES = 1_000
+
+
+def effective_count(
+    pairs: DataFrame, corr_col: str = "corr", name_cols: tuple[str, str] = ("a", "b"), names: Sequence[str] | None = None
+) -> DataFrame:
     """One row: series, mean |correlation|, and effective number of independent series.
 
-    (sum of eigenvalues)^2 / sum of squared eigenvalues equals k^2 over the squared Frobenius
-    norm of a correlation matrix, which is a plain aggregate over the pair table.
+    (sum of eigenvalues)^2 / sum of squared eigenvalues of the correlation matrix, negative ones
+    set to 0: pairwise-complete correlations need not make a proper matrix. The k x k matrix is
+    solved on the driver, so k is bounded by ``MAX_SERIES``. ``names`` adds series without a
+    pair. A missing or repeated correlation raises.
     """
-    names = pairs.select(F.explode(F.array(*name_cols)).alias("n")).agg(F.count_distinct("n").alias("k"))
-    r = F.col(corr_col)
-    sums = pairs.agg(F.coalesce(F.sum(r * r), F.lit(0.0)).alias("s"), F.avg(F.abs(r)).alias("avg_abs_corr"))
-    out = sums.withColumn("k", names.scalar())
-    k = F.col("k").cast("double")
-    eff = F.greatest(F.least(F.try_divide(k * k, k + F.lit(2.0) * F.col("s")), k), F.lit(1.0))
-    return out.select(F.col("k").alias("n"), "avg_abs_corr", eff.alias("effective_n"))
+    a, b = name_cols
+    rows = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(corr_col).cast("double").alias("r")).limit(MAX_SERIES * (MAX_SERIES - 1) // 2 + 1).collect()
+    found = sorted({r["a"] for r in rows} | {r["b"] for r in rows} | set(names or ()))
+    k = len(found)
+    if k > MAX_SERIES:
+        raise ValueError(f"more than {MAX_SERIES} series")
+    if any(r["r"] is None or np.isnan(r["r"]) for r in rows):
+        raise ValueError("correlations must not be missing")
+    if len(rows) != k * (k - 1) // 2:
+        raise ValueError(f"{k} series need {k * (k - 1) // 2} pairs, got {len(rows)}")
+    at = {n: i for i, n in enumerate(found)}
+    matrix = np.eye(k)
+    for r in rows:
+        matrix[at[r["a"]], at[r["b"]]] = matrix[at[r["b"]], at[r["a"]]] = r["r"]
+    values = np.clip(np.linalg.eigvalsh(matrix), 0.0, None) if k else np.zeros(0)
+    effective = float(np.clip(values.sum() ** 2 / (values**2).sum(), 1.0, k)) if k else None
+    mean = float(np.mean([abs(r["r"]) for r in rows])) if rows else None
+    return pairs.sparkSession.createDataFrame([(k, mean, effective)], "n long, avg_abs_corr double, effective_n double")
 
 
 def effective_trial_count(pairs: DataFrame, **columns) -> DataFrame:

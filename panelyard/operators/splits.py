@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.functions.groups import attach, date_axis, lower_bound
-from panelyard.sources.contracts import require_columns, rule_counts
+from panelyard.sources.contracts import require_columns, require_rules, rule_counts
 
 
 def time_split(df: DataFrame, *, train_end: str, test_start: str, val_start: str | None = None) -> DataFrame:
@@ -82,15 +82,16 @@ def prepare_intervals(samples: DataFrame, *, decision_col: str = "date", start_c
     return out
 
 
+def interval_rules() -> dict[str, Column]:
+    return {
+        "invalid_decision_date": F.col("decision_date").isNull(),
+        "invalid_interval": F.col("event_start").isNull() | F.col("event_end").isNull(),
+        "end_before_start": F.col("event_end") < F.col("event_start"),
+    }
+
+
 def interval_violations(prepared: DataFrame) -> DataFrame:
-    return rule_counts(
-        prepared,
-        {
-            "invalid_decision_date": F.col("decision_date").isNull(),
-            "invalid_interval": F.col("event_start").isNull() | F.col("event_end").isNull(),
-            "end_before_start": F.col("event_end") < F.col("event_start"),
-        },
-    )
+    return rule_counts(prepared, interval_rules())
 
 
 def merge_intervals(intervals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -130,11 +131,16 @@ def overlapping(samples: DataFrame, test_samples: DataFrame) -> DataFrame:
     return out.where(F.col("__m").isNotNull() & _overlaps(F.col("__m.starts"), F.col("__m.ends"))).drop("__m")
 
 
-def _purged(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, embargo_periods: int, interval_cols: dict) -> DataFrame:
+def _purged(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, embargo_periods: int, validate: bool, interval_cols: dict) -> DataFrame:
     if embargo_periods < 0:
         raise ValueError("embargo_periods must be >= 0")
     frame = prepare_intervals(samples, **interval_cols)
     axis = date_axis(frame.select(F.col("decision_date").alias("date")))
+    if validate:
+        require_rules(frame, interval_rules(), "samples")
+        dates = axis.count()
+        if dates < n_groups:
+            raise ValueError(f"{n_groups} folds need as many decision dates, got {dates}")
     n = axis.agg(F.max("t")).scalar()
     # Contiguous blocks as even as possible: the first n % k blocks hold one date more.
     axis = axis.withColumns({"__p": F.col("t") - 1, "__n": n}).withColumns(
@@ -165,20 +171,23 @@ def _purged(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int
     return out.select(F.col("__f.fold_id").alias("fold_id"), *frame.columns, role.alias("role"))
 
 
-def purged_kfold_split(samples: DataFrame, *, n_splits: int, embargo_periods: int = 0, **interval_cols) -> DataFrame:
-    """Every (fold, sample) with its role: test, purged, embargoed or train."""
+def purged_kfold_split(samples: DataFrame, *, n_splits: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
+    """Every (fold, sample) with its role: test, purged, embargoed or train.
+
+    Missing or inverted intervals and fewer dates than folds raise, unless ``validate`` is off.
+    """
     if n_splits < 2:
         raise ValueError("n_splits must be >= 2")
-    return _purged(samples, [(g,) for g in range(n_splits)], n_splits, embargo_periods, interval_cols)
+    return _purged(samples, [(g,) for g in range(n_splits)], n_splits, embargo_periods, validate, interval_cols)
 
 
-def combinatorial_purged_split(samples: DataFrame, *, n_groups: int, n_test_groups: int, embargo_periods: int = 0, **interval_cols) -> DataFrame:
+def combinatorial_purged_split(samples: DataFrame, *, n_groups: int, n_test_groups: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
     """As the purged K-fold, one fold per combination of test blocks; the embargo follows the last test date."""
     if n_groups < 2:
         raise ValueError("n_groups must be >= 2")
     if not 0 < n_test_groups < n_groups:
         raise ValueError("n_test_groups must be in [1, n_groups - 1]")
-    return _purged(samples, list(combinations(range(n_groups), n_test_groups)), n_groups, embargo_periods, interval_cols)
+    return _purged(samples, list(combinations(range(n_groups), n_test_groups)), n_groups, embargo_periods, validate, interval_cols)
 
 
 def purged_fold_summary(splits: DataFrame) -> DataFrame:
@@ -198,9 +207,9 @@ def purged_validation_summary(samples: DataFrame, *, n_splits: int, embargo_peri
     return purged_fold_summary(purged_kfold_split(samples, n_splits=n_splits, embargo_periods=embargo_periods, **interval_cols))
 
 
-def with_fold(df: DataFrame, folds: DataFrame, role: str = "test") -> DataFrame:
-    """Rows of a panel repeated for each fold whose ``role`` dates contain them.
+def with_fold(df: DataFrame, folds: DataFrame, role: str = "test", carry: Sequence[str] = ()) -> DataFrame:
+    """Rows of a panel repeated for each fold whose ``role`` dates contain them, with columns of the fold table to carry.
 
     The fold table has one row per date and fold that overlaps it.
     """
-    return attach(df, folds.where(F.col("role") == role).select("date", "fold_id"), ["date"], "inner")
+    return attach(df, folds.where(F.col("role") == role).select("date", "fold_id", *carry), ["date"], "inner")

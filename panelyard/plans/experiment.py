@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean
+from panelyard.functions.groups import attach_small
 from panelyard.functions.storage import materialize
 from panelyard.operators import evaluation as ev
 from panelyard.operators import portfolio as pf
@@ -76,7 +77,7 @@ def run_factor_experiment(
     )
     if strategy is not None:
         one_day = forward_return(prices, horizon=1).select("date", "asset", "value")
-        one_day = one_day.join(evaluated.select("factor", "date").distinct(), "date").select("factor", "date", "asset", "value")
+        one_day = attach_small(one_day, evaluated.select("factor", "date").distinct(), ["date"], "inner").select("factor", "date", "asset", "value")
         block = pf.portfolio_block(evaluated, one_day, strategy, cost_rate=portfolio_cost_rate, keys=("factor",), max_group=max_group)
         out.update({f"portfolio_{k}": v for k, v in block.items()})
         out["portfolio_summary"] = pf.summarise_portfolio(block, ("factor",))

@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelyard.sources import vendor
+from panelyard.sources.contracts import raise_on
 from panelyard.sources.research_inputs import candidate_signals, neutralization_exposures
 from panelyard.sources.tables import read_standard_tables, write_sorted
 
 
-def standardize_raw_tables(raw: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
-    """Canonical tables from raw ones; adj_factor, suspend_d, stk_limit and the indicators may be absent."""
+def validate_raw_tables(raw: dict[str, DataFrame | None]) -> None:
+    """Raise on blank assets, unreadable dates or closes that aren't numbers, with the counts of each table."""
+    checks = {
+        "daily": dict(asset="ts_code", dates=("trade_date",), numbers=("close",)),
+        "daily_basic": dict(asset="ts_code", dates=("trade_date",)),
+        "stock_basic": dict(asset="ts_code"),
+    }
+    for name, rules in checks.items():
+        raise_on(vendor.raw_violations(raw[name], **rules).where("rule <> 'empty_table'"), name)
+
+
+def standardize_raw_tables(raw: dict[str, DataFrame | None], *, validate: bool = True) -> dict[str, DataFrame]:
+    """Canonical tables from raw ones; adj_factor, suspend_d, stk_limit and the indicators may be absent.
+
+    Raw tables that break their contract raise, unless ``validate`` is off.
+    """
+    if validate:
+        validate_raw_tables(raw)
     prices = vendor.standardize_prices(raw["daily"], raw["daily_basic"], raw.get("adj_factor"))
     meta = vendor.standardize_asset_metadata(raw["stock_basic"])
     out = {

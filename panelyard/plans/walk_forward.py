@@ -37,7 +37,8 @@ def run_walk_forward_experiment(
     factors = factor_fn(prices).select("date", "asset", "factor", clean("value").alias("value"))
     # At most one row per fold.
     ends = windows.select("fold_id", F.col("test_end").alias("__end"))
-    rows = with_fold(factors, folds).join(ends, "fold_id").join(_fold_labels(prices, horizon), ["date", "asset"], "left")
+    dated = materialize(folds.join(ends, "fold_id"))  # the end travels with (date, fold), so the panel isn't moved on fold_id
+    rows = with_fold(factors, dated, carry=("__end",)).join(_fold_labels(prices, horizon), ["date", "asset"], "left")
     rows = materialize(rows.withColumn("y", F.when(F.col("event_end") <= F.col("__end"), F.col("y"))).drop("event_end", "__end"))
     evaluated = rows.select("fold_id", "date", "asset", "factor", "value")
     pairs = rows.select("fold_id", "date", "asset", "factor", F.col("value").alias("x"), "y")
@@ -51,7 +52,7 @@ def run_walk_forward_experiment(
     out = {"folds": folds, "fold_windows": windows, "pooled_ic": parts["ic"].select("fold_id", "date", "ic"), **parts}
     portfolio_cols = ("mean_portfolio_return", "portfolio_hit_rate", "mean_portfolio_turnover", "mean_cost_adjusted_return")
     if strategy is not None:
-        daily = _fold_labels(prices, 1).join(folds.where("role = 'test'").select("date", "fold_id"), "date").join(ends, "fold_id")
+        daily = with_fold(_fold_labels(prices, 1), dated, carry=("__end",))
         daily = daily.select("fold_id", "date", "asset", F.when(F.col("event_end") <= F.col("__end"), F.col("y")).alias("value"))
         block = pf.portfolio_block(evaluated, daily, strategy, cost_rate=portfolio_cost_rate, keys=KEY, max_group=max_group)
         out.update({"pooled_portfolio_returns": block["returns"], "pooled_portfolio_turnover": block["turnover"]})

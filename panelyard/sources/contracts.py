@@ -63,6 +63,16 @@ def raise_on(violations: DataFrame, table: str) -> None:
         raise ValueError(f"{table} breaks its contract: {listed}")
 
 
+def require_rules(df: DataFrame, rules: Mapping[str, Column], table: str, key: Sequence[str] = ()) -> None:
+    """Raise when a row breaks a rule or repeats a key: one aggregate pass. An empty table breaks none."""
+    raise_on(rule_counts(df, rules, key).where("rule <> 'empty_table'"), table)
+
+
+def require_unique(df: DataFrame, key: Sequence[str], table: str) -> None:
+    """Raise when two rows share a key."""
+    require_rules(df, {}, table, key)
+
+
 def price_violations(df: DataFrame) -> DataFrame:
     require_columns(df, ("date", "asset", "close"), "prices")
     rules = {

@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 from panelyard.functions.columns import number
 from panelyard.sources.contracts import require_columns
 
+#: standard tables that a vendor may not offer
+OPTIONAL_TABLES = ("financial_indicators",)
 # Column lists of the canonical tables and sort keys of the raw tables.
 TABLE_SCHEMAS: dict[str, str] = {
     "prices": "date DATE, asset STRING, close DOUBLE, open DOUBLE, high DOUBLE, low DOUBLE, pre_close DOUBLE, "
@@ -64,7 +66,16 @@ def read_standard_table(spark: SparkSession, directory: str, name: str, fmt: str
 
 
 def read_standard_tables(spark: SparkSession, directory: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    return {name: read_standard_table(spark, directory, name, fmt) for name in TABLE_SCHEMAS}
+    """All standard tables; an optional one that was never written reads as an empty table."""
+    out = {}
+    for name, schema in TABLE_SCHEMAS.items():
+        try:
+            out[name] = read_standard_table(spark, directory, name, fmt)
+        except AnalysisException as exc:
+            if name not in OPTIONAL_TABLES or exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out[name] = spark.createDataFrame([], T.StructType.fromDDL(schema))
+    return out
 
 
 def read_raw_table(

@@ -92,3 +92,41 @@ def test_pair_corr_guards_constants(spark):
 def test_rounded_keeps_other_columns(spark):
     row = rounded(spark.createDataFrame([(1, 0.123456)], "a int, b double"), 3).first()
     assert row["a"] == 1 and row["b"] == 0.123
+
+
+INF = float("inf")
+ODD = [
+    ("up", v) for v in (1.0, 2.0, 2.0, 3.0, INF, INF, INF)] + [("down", v) for v in (-INF, -INF, 0.5, None)] + [("both", v) for v in (-INF, INF)] + [
+    ("nan", v) for v in (float("nan"), 4.0, 5.0, None)] + [("void", None)] + [("ties", float(i % 3)) for i in range(50)] + [("third", 0.1 + 0.2 * i) for i in range(10)]
+PATHS = [dict(max_group=50), dict(), dict(split_rows=3), dict(split_rows=10)]
+
+
+def test_quantiles_are_the_same_on_every_path(spark):
+    """Infinite values, ties, NULLs, NaN and no id columns: identical to the last bit."""
+    df = spark.createDataFrame(ODD, "g string, v double")
+    got = [
+        sorted(map(tuple, groups.group_quantiles(df, ["g"], F.col("v"), (0.0, 0.05, 0.5, 0.95, 1.0), list("abcde"), **o).collect())) for o in PATHS
+    ]
+    assert all(g == got[0] for g in got)
+    by = {r[0]: r[1:] for r in got[0]}
+    assert by["up"] == (1.0, pytest.approx(1.3), 3.0, INF, INF) and by["void"] == (None,) * 5
+    assert by["both"] == (-INF, None, None, None, INF) and by["nan"][2] == 4.5
+
+
+@pytest.mark.parametrize("options", PATHS)
+def test_ranks_without_id_columns(spark, options):
+    df = spark.createDataFrame(ODD, "k string, w double")
+    out = groups.with_ranks(df, ["k"], F.when(~F.isnan("w"), F.col("w")), minimum="lo", average="avg", dense="dense", size="n", **options).toPandas()
+    want = pd.DataFrame(ODD, columns=["k", "w"])
+    for name, method in (("lo", "min"), ("avg", "average"), ("dense", "dense")):
+        want[name] = want.groupby("k")["w"].rank(method=method)
+    key = ["k", "w", "lo"]
+    np.testing.assert_allclose(out.sort_values(key)[["lo", "avg", "dense"]].astype(float), want.sort_values(key)[["lo", "avg", "dense"]])
+
+
+def test_lower_bound_of_large_and_missing_arrays(spark):
+    row = spark.range(1).select(
+        groups.lower_bound(F.sequence(F.lit(0), F.lit(200_000)), F.lit(123_456)).alias("a"), groups.lower_bound(F.array().cast("array<int>"), F.lit(1)).alias("b"),
+        groups.lower_bound(F.lit(None).cast("array<int>"), F.lit(1)).alias("c"), groups.lower_bound(F.array(F.lit(1)), F.lit(5)).alias("d"),
+    ).first()
+    assert tuple(row) == (123_456, 0, 0, 1)
