@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +68,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build):
+    """What a Python worker keeps from task to task, one thing at a time: workers serve all stages, and memories add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with a function of this package; every column may hold nulls."""
     ship(df.sparkSession)

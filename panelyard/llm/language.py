@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_and_text, keep_rows, map_arrow, remainder_of_id
+from panelyard.llm.common import held, id_and_text, keep_rows, map_arrow, remainder_of_id
 
 UNKNOWN = "und"
 BLOCK = 256
@@ -165,15 +165,9 @@ def sample(docs: DataFrame, lang_col: str = "lang", max_rows: int = 400, row_cha
     return {k: v for k, v in out.items() if v}
 
 
-_MODELS: dict[tuple, Model] = {}
-
-
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     """The model of these samples, built once in a worker."""
-    if samples not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples] = Model(dict(samples))
-    return _MODELS[samples]
+    return held(("language", samples), lambda: Model(dict(samples)))
 
 
 def identify(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -26,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_and_text, map_arrow
+from panelyard.llm.common import held, id_and_text, map_arrow
 
 MARK = "▁"
 MINUS = float("-inf")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: distinct words that a task remembers; beyond it the memory starts anew
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 class Pieces:
@@ -211,9 +210,9 @@ def _replaced(raw: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    """The model of a worker."""
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,10 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.storage import materialize
 from panelyard.llm import files
-from panelyard.llm.common import id_and_text, map_arrow, scratch_path, ship
+from panelyard.llm.common import held, id_and_text, map_arrow, scratch_path, ship
 
 #: chunks and pre-tokens that a task remembers
-REMEMBER = 500_000
+REMEMBER = 300_000
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 KEYS_PER_PART = 100_000
 #: payload that one task reads back
@@ -98,9 +97,9 @@ class Encoder:
         return [b"".join([known[c] for c in chunks]) + stop for chunks in split]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The encoder of a worker."""
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def write_payload(docs: DataFrame, tokenizer_path: str, end: int, folder: str) -> DataFrame:

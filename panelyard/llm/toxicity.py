@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import network as net
-from panelyard.llm.common import id_and_text, keep_rows, map_arrow, remainder_of_id
+from panelyard.llm.common import held, id_and_text, keep_rows, map_arrow, remainder_of_id
 
 WINDOW, STEP, LONGEST = 16, 8, 24
 CHARS, CHAR_INPUT, CHAR_HIDDEN, WORD_INPUT, WORD_HIDDEN = 192, 8, 10, 4, 8
 #: words whose inputs a task remembers
-REMEMBER = 300_000
+REMEMBER = 150_000
 THRESHOLD = 0.7
 _WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
@@ -249,18 +249,10 @@ def _parts(model: Model | None):
     return None if model is None else (model.chars, model.words, model.vocabulary)
 
 
-_HELD: dict[int, tuple[object, Model]] = {}
-
-
 def _model_of(shared) -> Model | None:
     """The task's model: built once for each broadcast in a worker, so that its memory of words lasts."""
     parts = shared.value
-    if parts is None:
-        return None
-    if shared.__dict__.get("_path") not in _HELD:
-        _HELD.clear()
-        _HELD[shared.__dict__.get("_path")] = Model(*parts)
-    return _HELD[shared.__dict__.get("_path")]
+    return None if parts is None else held(("toxicity", shared.__dict__.get("_path")), lambda: Model(*parts))
 
 
 def apply_model(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -23,7 +23,8 @@ def plain_components(fps):
 
     def find(x):
         while parent[x] != x:
-            x = parent[x] = parent[parent[x]]
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     every = np.array(sorted(parent), np.uint64)
