@@ -149,13 +149,18 @@ class Model:
 def sample(docs: DataFrame, lang_col: str = "lang", max_rows: int = 400, row_chars: int = 1000, max_chars: int = 60_000, max_languages: int = 500) -> dict[str, str]:
     """Normalised text by language of the rows that may be learnt from; bounded by the parameters."""
     fit = docs.where(docs[lang_col].isNotNull() & docs["text"].isNotNull() & (remainder_of_id(docs["doc_id"], 4) != 2))
-    fit = fit.select(docs[lang_col].alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    # ids first: the limit of a group also holds before the exchange, and only chosen rows carry text
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = fit.select("lang", "doc_id", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= max_rows)
-    languages = chosen.select("lang").distinct().limit(max_languages + 1).count()
+    fit = fit.select(docs[lang_col].cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    counts = fit.groupBy("lang").agg(F.count("*").alias("rows")).limit(max_languages + 1).collect()
+    languages = len(counts)
     if languages > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    if not languages:
+        return {}
+    # hashes are even, so about three times max_rows lie under a limit known from the count, and only these are ranked
+    limits = [(r["lang"], -(2**63) + min(2**64 - 1, 2**64 * 3 * max_rows // r["rows"])) for r in counts]
+    near = fit.select("lang", "doc_id", "h").join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long")), "lang").where("h <= below")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = near.select("lang", "doc_id", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= max_rows)
     texts = fit.join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"]).select("lang", "h", "doc_id", F.substring("text", 1, row_chars).alias("text")).distinct()
     out: dict[str, str] = {}
     for r in texts.orderBy("lang", "h", "doc_id", "text").limit(max_rows * max(1, languages)).collect():
