@@ -51,6 +51,8 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_dir(spark)}/{what}/{uuid.uuid4().hex}"
 
 
+#: rows of one Arrow batch
+BATCH_ROWS = 1_000
 _SHIPPED: set[str] = set()
 
 
@@ -81,8 +83,15 @@ def held(key: tuple, build):
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with a function of this package; every column may hold nulls."""
+    """mapInArrow with a function of this package; every column may hold nulls.
+
+    Rows are whole documents, so the session's batches are limited to BATCH_ROWS rows, which bounds what the executor and
+    its Python workers hold.
+    """
     ship(df.sparkSession)
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
     if isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
     return df.mapInArrow(run, schema)

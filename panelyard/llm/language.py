@@ -30,7 +30,7 @@ from panelyard.llm.common import held, id_and_text, keep_rows, map_arrow, remain
 UNKNOWN = "und"
 BLOCK = 256
 #: symbols of the parse: the blank, and the commonest letters of all samples; rarer ones share the last
-SYMBOLS = 64
+SYMBOLS = 48
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -146,7 +146,7 @@ class Model:
         return [f[0] for f in found], np.array([f[1] for f in found], np.float64)
 
 
-def sample(docs: DataFrame, lang_col: str = "lang", max_rows: int = 400, row_chars: int = 1000, max_chars: int = 60_000, max_languages: int = 500) -> dict[str, str]:
+def sample(docs: DataFrame, lang_col: str = "lang", max_rows: int = 400, row_chars: int = 1000, max_chars: int = 40_000, max_languages: int = 500) -> dict[str, str]:
     """Normalised text by language of the rows that may be learnt from; bounded by the parameters."""
     fit = docs.where(docs[lang_col].isNotNull() & docs["text"].isNotNull() & (remainder_of_id(docs["doc_id"], 4) != 2))
     fit = fit.select(docs[lang_col].cast("string").alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")

@@ -75,8 +75,8 @@ class Model:
         tables = [net.project(self.chars, self.chars["E"], d) for d in "fb"]
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
-            for i in range(0, len(at), 4096):
-                own = at[i:i + 4096]
+            for i in range(0, len(at), 1024):
+                own = at[i:i + 1024]
                 ids, _ = _char_ids([words[j] for j in own.tolist()])
                 out[own] = net.forward(self.chars, tables[0][ids], tables[1][ids])[0]
         return out
@@ -101,9 +101,9 @@ class Model:
     def window_scores(self, rows: np.ndarray) -> np.ndarray:
         """Scores of windows given as rows of words (n, steps)."""
         out = np.empty(len(rows), np.float32)
-        for i in range(0, len(rows), 8192):
-            x = self.inputs[rows[i:i + 8192].T]
-            out[i:i + 8192] = net._sigmoid(net.forward(self.words, x[:, :, 0], x[:, :, 1])[1])
+        for i in range(0, len(rows), 2048):
+            x = self.inputs[rows[i:i + 2048].T]
+            out[i:i + 2048] = net._sigmoid(net.forward(self.words, x[:, :, 0], x[:, :, 1])[1])
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
