@@ -337,16 +337,15 @@ def similar(sketched: DataFrame, least: float = 0.8, all_pairs: int = 50) -> Dat
 def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, least: float = 0.8) -> DataFrame:
     """Documents of ``docs``, all columns, one row of each component of texts similar by shingles: that of its smallest id.
 
-    Of components without any id one row stays. Texts move once, dealt by id.
+    A row is chosen by id and text key, as an id may be on several texts; of components without any id one row stays.
+    Texts move once, dealt by component, and only those of chosen ids and keys.
     """
     sketched = materialize(sketches(docs, width))
     roots = materialize(components(similar(sketched, least)))
-    distinct = sketched.groupBy("key").agg(F.min("doc_id").alias("low"))
-    rooted = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "low", F.coalesce("root", "key").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("head"))
-    rooted = materialize(rooted.join(named, "root"))
-    heads = rooted.where("head is not null").select(F.col("head").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(heads, F.expr("doc_id = __id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = rooted.where("head is null").select(F.col("key").alias("__key"), F.col("root").alias("__root"))
-    rest = docs.where("doc_id is null").withColumn("__key", text_key(F.col("text"))).join(nameless, "__key")
-    return named.unionByName(rest.dropDuplicates(["__root"]).select(*docs.columns))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "key")
+    distinct = sketched.groupBy("key").agg(F.min(first).alias("low"))
+    rooted = distinct.join(roots, distinct["key"] == roots["node"], "left").select("low", F.coalesce("root", "key").alias("__root"))
+    heads = materialize(rooted.groupBy("__root").agg(F.min("low").alias("low")).select("__root", F.col("low.id").alias("__id"), F.col("low.key").alias("__key")))
+    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    chosen = keyed.join(heads, (F.col("__text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return chosen.dropDuplicates(["__root"]).select(*docs.columns)

@@ -148,3 +148,10 @@ def test_kept_rows_have_no_similar_partner(spark):
     assert any((plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[r])).bit_count() > 3 for i, r in root.items())
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == sorted(set(root.values()))
+
+
+def test_one_id_on_different_texts(spark):
+    """Each component keeps its own row, whatever else its id is on."""
+    rows = [(1, "first text of the shared id"), (1, "second text of the shared id"), (1, "second text of the shared id"), (2, "Second  text of the shared id"), (0, "third text"), (1, "third text"), (None, "third text"), (None, "no id at all"), (None, "no id at all")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[4], rows[7]], key=str)
