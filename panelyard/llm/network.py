@@ -63,6 +63,46 @@ def forward(p: Params, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray | None =
     return pooled, pooled @ p["out"] + p["bias"]
 
 
+def sliding(p: Params):
+    """A function of inputs projected for both directions (words, 3h) and n: scores of all windows of n words in a row.
+
+    Equals ``forward`` without a mask. A window's step t is word t of it, so the inputs of a step are a slice of the
+    words; features lead, and of the states only what attention and head make of them is kept.
+    """
+    h = p["Uf"].shape[0]
+    half = np.array([0.5] * 2 * h + [1.0] * h, np.float32)[:, None]  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+    parts = []
+    for k, d in enumerate("fb"):
+        heads = np.stack([p[w][k * h:k * h + h] for w in ("att", "out")]).astype(np.float32)
+        parts.append((np.ascontiguousarray(p["U" + d].T * half, np.float32), heads))
+
+    def direction(x: np.ndarray, k: int, n: int) -> np.ndarray:
+        u, heads = parts[k]
+        count = x.shape[1] - n + 1
+        state, out = np.zeros((h, count), np.float32), np.empty((n, 2, count), np.float32)
+        for t in range(n) if k == 0 else reversed(range(n)):
+            g = u @ state
+            zr = x[:2 * h, t:t + count] + g[:2 * h]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c = zr[h:] * g[2 * h:]
+            c += x[2 * h:, t:t + count]
+            np.tanh(c, out=c)
+            state -= c
+            state *= zr[:h]
+            state += c
+            np.matmul(heads, state, out=out[t])
+        return out
+
+    def scores(xf: np.ndarray, xb: np.ndarray, n: int) -> np.ndarray:
+        both = direction(np.ascontiguousarray(xf.T) * half, 0, n) + direction(np.ascontiguousarray(xb.T) * half, 1, n)
+        a = np.exp(both[:, 0] - both[:, 0].max(0))
+        return _sigmoid((a * both[:, 1]).sum(0) / a.sum(0) + p["bias"])
+
+    return scores
+
+
 def _back_direction(dh_all: np.ndarray, u: np.ndarray, kept: list, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     steps, n, h = dh_all.shape
     du, dx, carry = np.zeros_like(u), np.zeros((steps, n, 3 * h), np.float32), np.zeros((n, h), np.float32)

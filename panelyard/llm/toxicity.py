@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network over characters and words, scored on all overlapping windows.
 
 Words are runs of letters, lower-cased. The character net turns a word into a vector, so unseen forms of a known stem
-are recognised; frequent words have an embedding beside it. The word net reads windows of ``WINDOW`` words, one every
-``STEP`` words and one that ends with the text; a document's score is that of its worst window.
+are recognised; frequent words have an embedding beside it. The word net reads every window of ``WINDOW`` words;
+a document's score is that of its worst window. Neighbouring windows share their words' inputs, as slices of one array.
 
 The nets are trained on the driver on at most ``max_toxic`` + ``max_clean`` labelled documents, chosen by a hash of
 the id, and at most ``max_chars`` characters of each. Scores cover whole texts of all rows, with words and windows
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from panelyard.llm import network as net
 from panelyard.llm.common import held, id_and_text, keep_rows, map_arrow, remainder_of_id
 
-WINDOW, STEP, LONGEST = 16, 8, 24
+WINDOW, LONGEST = 16, 24
 CHARS, CHAR_INPUT, CHAR_HIDDEN, WORD_INPUT, WORD_HIDDEN = 192, 8, 10, 4, 8
 #: words whose inputs a task remembers
 REMEMBER = 150_000
@@ -98,12 +98,13 @@ class Model:
             self.inputs = np.concatenate([self.inputs, both])
         return [np.fromiter((known[w] for w in ws), np.int64, len(ws)) for ws in texts]
 
-    def window_scores(self, rows: np.ndarray) -> np.ndarray:
-        """Scores of windows given as rows of words (n, steps)."""
-        out = np.empty(len(rows), np.float32)
-        for i in range(0, len(rows), 2048):
-            x = self.inputs[rows[i:i + 2048].T]
-            out[i:i + 2048] = net._sigmoid(net.forward(self.words, x[:, :, 0], x[:, :, 1])[1])
+    def window_scores(self, rows: np.ndarray, n: int = WINDOW) -> np.ndarray:
+        """Scores of the windows of ``n`` words that begin at each but the last n - 1 words given as rows."""
+        out = np.empty(max(0, len(rows) - n + 1), np.float32)
+        scorer = net.sliding(self.words)
+        for i in range(0, len(out), 2048):
+            x = self.inputs[rows[i:i + 2048 + n - 1]]
+            out[i:i + 2048] = scorer(x[:, 0], x[:, 1], n)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -111,13 +112,12 @@ class Model:
         distinct = list(dict.fromkeys(texts))
         rows = self.word_rows([words_of(t) for t in distinct])
         worst = np.zeros(len(distinct))
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_length: dict[int, list[int]] = {}
         for i, r in enumerate(rows):
             if len(r):
-                by_length.setdefault(min(WINDOW, len(r)), []).append((i, _windows_of(r)))
-        for found in by_length.values():
-            scores = self.window_scores(np.concatenate([w for _, w in found]))
-            np.maximum.at(worst, np.repeat([i for i, _ in found], [len(w) for _, w in found]), scores)
+                by_length.setdefault(min(WINDOW, len(r)), []).append(i)
+        for n, own in by_length.items():
+            worst[own] = _worst_of(self.window_scores(np.concatenate([rows[i] for i in own]), n), [len(rows[i]) for i in own], n)[0]
         at = {t: i for i, t in enumerate(distinct)}
         return worst[[at[t] for t in texts]]
 
@@ -148,10 +148,14 @@ def _train_characters(rng: np.random.Generator, counts: list[tuple[str, int, int
     return p
 
 
-def _windows_of(rows: np.ndarray) -> np.ndarray:
-    """All windows of a text given as rows of words, as indices; a shorter text is one window."""
-    n = min(WINDOW, len(rows))
-    return np.lib.stride_tricks.sliding_window_view(rows, n)[np.append(np.arange(0, len(rows) - n, STEP), len(rows) - n)]
+def _worst_of(scores: np.ndarray, lengths: list[int], n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Score and place of the worst window of each text; windows that reach into the next text don't count."""
+    first = np.cumsum([0, *lengths])[:-1]
+    best, place = np.empty(len(lengths), np.float32), np.empty(len(lengths), np.int64)
+    for i, (a, size) in enumerate(zip(first.tolist(), lengths, strict=True)):
+        place[i] = a + scores[a:a + size - n + 1].argmax()
+        best[i] = scores[place[i]]
+    return best, place
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 300, rounds: int = 6, word_steps: int = 150, vocabulary: int = 20_000) -> Model | None:
@@ -181,28 +185,29 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
     distinct = {w: i for i, w in enumerate(both)}
     vectors = model.vectors(both)
     row = np.array([model.vocabulary.get(w, 0) for w in both])
-    windows = [_windows_of(np.resize(ids, max(WINDOW, len(ids)))) for ids in (np.array([distinct[w] for w in ws]) for ws, _ in docs)]
-    first = np.cumsum([0] + [len(w) for w in windows])[:-1]
-    windows, toxic = np.concatenate(windows), np.array([y for _, y in docs]) == 1
-    of_clean = np.flatnonzero(~np.repeat(toxic, np.diff(np.append(first, len(windows)))))
-    suspect = model.suspicion(both)
-    scores = suspect[windows].max(1)
+    padded = [np.resize(ids, max(WINDOW, len(ids))) for ids in (np.array([distinct[w] for w in ws], np.int32) for ws, _ in docs)]
+    lengths, words = [len(ids) for ids in padded], np.concatenate(padded)
+    toxic = np.array([y for _, y in docs]) == 1
+    starts = np.concatenate([np.arange(a, a + n - WINDOW + 1) for a, n, y in zip(np.cumsum([0, *lengths])[:-1].tolist(), lengths, toxic.tolist(), strict=True) if not y])
+    suspect = model.suspicion(both)[words]
+    scores = suspect[:len(words) - WINDOW + 1].copy()
+    for step in range(1, WINDOW):
+        np.maximum(scores, suspect[step:step + len(scores)], out=scores)
     adam = net.Adam(p, 0.01)
     target = np.concatenate([np.zeros(160, np.float32), np.ones(96, np.float32)])
     for turn in range(rounds):
         if turn:
             x = model.features(both)
             model.inputs = np.stack([net.project(p, x, "f"), net.project(p, x, "b")], axis=1)
-            scores = model.window_scores(windows)
-        best = np.maximum.reduceat(scores, first)
-        worst = np.array([a + int(np.argmax(scores[a:b])) for a, b in zip(first, np.append(first[1:], len(windows)), strict=True)])
+            scores = model.window_scores(words)
+        best, worst = _worst_of(scores, lengths)
         hard, found = worst[~toxic], worst[toxic]
         heavy = best[~toxic] + 0.02
         heavy /= heavy.sum()
         for step in range(word_steps):
             adam.rate = 0.01 * (1 - 0.95 * (turn * word_steps + step) / (rounds * word_steps))
-            own = np.concatenate([rng.choice(of_clean, 64), rng.choice(hard, 96, p=heavy), rng.choice(found, 96)])
-            ids = windows[own].T
+            own = np.concatenate([rng.choice(starts, 64), rng.choice(hard, 96, p=heavy), rng.choice(found, 96)])
+            ids = words[own + np.arange(WINDOW)[:, None]]
             x = np.concatenate([vectors[ids], p["E"][row[ids]]], axis=2)
             keep: dict = {}
             _, logit = net.forward(p, net.project(p, x, "f"), net.project(p, x, "b"), None, keep)

@@ -106,3 +106,16 @@ def test_query_on_held_out_rows(spark):
     rows = queries.op8_recurrent_toxicity(spark, sf).where("held_out").join(labels, "doc_id").collect()
     bad, good = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
     assert len(bad) > 100 and sum(r["predicted"] for r in bad) / len(bad) > 0.7 and sum(r["predicted"] for r in good) / len(good) < 0.01
+
+
+def test_every_window_is_scored_as_alone(model):
+    """The score of a text is the largest of all its windows, each computed by itself, wherever they begin."""
+    rng = random.Random(6)
+    texts = [t for _, t, _ in corpus(seed=3)[:60]] + [" ".join(f"{rng.choice('abc')}{rng.choice('defg')}{rng.choice('hij')}" for _ in range(n)) for n in (1, 2, 15, 16, 17, 18, 40)]
+    for text, found in zip(texts, model.score(texts), strict=True):
+        ws = toxicity.words_of(text)
+        n = min(toxicity.WINDOW, len(ws))
+        x = model.features(ws)
+        f, b = net.project(model.words, x, "f"), net.project(model.words, x, "b")
+        alone = [net._sigmoid(net.forward(model.words, f[i:i + n, None], b[i:i + n, None])[1])[0] for i in range(len(ws) - n + 1)]
+        assert abs(max(alone) - found) < 1e-4
