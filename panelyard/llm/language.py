@@ -194,12 +194,14 @@ def identify(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", te
 
 
 def keep_identified(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs``, all columns, that have a language."""
+    """Rows of ``docs``, all columns, that have a language; with nothing to learn from, those whose text has a letter."""
     labelled = docs.select("doc_id", "text", docs[lang_col].alias("lang"))
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(sample(labelled).items())))
 
     def judge():
         model = _model(shared.value)
+        if not model.languages:
+            return lambda texts: [bool(normalise(t)) for t in texts]
         return lambda texts: [x != UNKNOWN for x in model.predict(texts)[0]]
 
     return keep_rows(docs, judge)

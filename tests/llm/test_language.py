@@ -88,3 +88,8 @@ def test_query_accuracy_on_held_out_rows(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = queries.op4_cross_parsing_language(spark, sf).join(truth, "doc_id").where("held_out").agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("ok")).first()
     assert rows["n"] > 150 and rows["ok"] > 0.97
+
+
+def test_texts_stay_where_there_is_no_model(spark):
+    rows = [(1, "some words", None, 1, ""), (2, "12 !!", None, 1, ""), (3, None, None, 1, "")]
+    assert [r["doc_id"] for r in language.keep_identified(table(spark, rows)).collect()] == [1]
