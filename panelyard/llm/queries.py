@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import decontaminate, language, licenses, media, pieces, sharding, simhash, tokenfile, toxicity, warc
+from panelyard.llm import decontaminate, language, lexical, licenses, media, pieces, secretscan, sharding, simhash, tokenfile, toxicity, vectorcode, warc
 from panelyard.llm.common import remainder_of_id, table
 
 
@@ -71,15 +71,60 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_pivot_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcode.compress(table(spark, sf_dir, "embeddings"))
+    return vectorcode.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
+def op13_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.summary(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_sort_shards, op2_zip_packaged_warc, op3_simhash_pigeonring, op4_cross_parsing_language,
         op5_perfect_hash_token_files, op6_benchmark_decontamination, op7_prefix_table_pieces, op8_recurrent_toxicity,
-        op9_license_set_join, op10_interleaved_media,
+        op9_license_set_join, op10_interleaved_media, op11_bag_search, op12_pivot_vector_codes, op13_assignment_secrets,
     )
 }
 
+
+
+def _vector_code_sql(rounds: int = 4) -> str:
+    """Assignment and update as one pair of CTEs a round."""
+    sql = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS v FROM kept, (SELECT unnest(range(4)) AS p)),
+book0 AS (
+  SELECT p, e, v AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 256)"""
+    for r in range(rounds + 1):
+        sql += f""",
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p, v, arg_min(e, far * 256 + e) AS e, min(far) AS far
+  FROM (SELECT vec_id, p, v, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM parts JOIN book{r} USING (p))
+  GROUP BY vec_id, p, v)"""
+        if r < rounds:
+            sql += f""",
+mean{r} AS (
+  SELECT p, e, list((s - (CASE WHEN s % n < 0 THEN s % n + n ELSE s % n END)) // n ORDER BY i) AS c
+  FROM (SELECT p, e, i, sum(y)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT p, e, unnest(v) AS y, unnest(range(len(v))) AS i FROM near{r}) GROUP BY p, e, i)
+  GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{r}.c, book{r}.c) AS c FROM book{r} LEFT JOIN mean{r} USING (p, e))"""
+    return sql + f""",
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+labelled AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id) JOIN labelled ON kept.label IS NOT DISTINCT FROM labelled.label"""
+
+
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": r"""
 WITH d AS (
@@ -101,6 +146,26 @@ items AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_bag_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+total AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+m AS (SELECT doc_id, 100 - 75 + ((75 * len(w)::BIGINT * n_docs) // n_terms) AS m FROM d, total WHERE len(w) > 0),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+scores AS (
+  SELECT item_id, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN weight USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+WHERE rank <= 10""",
+    "op12_pivot_vector_codes": _vector_code_sql(),
 }
 
 
