@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +40,43 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    note(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def note(spark: SparkSession, path: str) -> str:
+    """Have ``release`` delete a folder that an operator writes itself."""
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders that were written in this application and are still there, oldest first."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def path_of(table: DataFrame) -> str | None:
+    """Where ``materialize`` wrote the table that it returned."""
+    return getattr(table, "_written_path", None)
+
 
+def release(spark: SparkSession, before: Sequence[str] = (), keep: Sequence[DataFrame] = ()) -> int:
+    """Delete what was written in this application (tables of ``materialize``, noted folders), once the results are consumed; their number.
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this application, once their results are consumed; their number."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    Folders at the paths ``before`` (what ``written`` gave earlier) and the tables ``keep`` stay.
+    """
+    spared = {*before, *map(path_of, keep)}
+    app = spark.sparkContext.applicationId
+    paths = [p for p in _WRITTEN.get(app, ()) if p not in spared]
+    _WRITTEN[app] = [p for p in _WRITTEN.get(app, ()) if p in spared]
+    delete(spark, paths)
+    return len(paths)
+
+
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-    return len(paths)
