@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.functions.storage import scratch_dir
+from panelyard.functions.storage import note, scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only
@@ -47,8 +47,8 @@ def remainder_of_id(doc_id: Column, modulus: int) -> Column:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new folder under the folder that driver and executors share."""
-    return f"{scratch_dir(spark)}/{what}/{uuid.uuid4().hex}"
+    """A new folder under the folder that driver and executors share; ``release`` deletes it."""
+    return note(spark, f"{scratch_dir(spark)}/{what}/{uuid.uuid4().hex}")
 
 
 #: rows of one Arrow batch

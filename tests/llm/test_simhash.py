@@ -89,14 +89,11 @@ def test_nulls_ties_and_repeated_rows(spark):
     df = spark.createDataFrame([(*d, 1, "x") for d in DOCS], "doc_id long, text string, fp int, component_id string")
     found = simhash.near_duplicates(df).select("doc_id", "component_id").collect()
     assert sorted(found, key=str) == sorted([(3, 2), (2, 2), (None, 2), (9, 7), (8, 7), (7, 7), (None, None), (None, None), (5, 5), (5, 5)], key=str)
-    kept = simhash.keep_one_of_each(df)
-    assert kept.columns == df.columns
-    assert sorted(kept.select("doc_id", "text").collect(), key=str) == sorted([(2, "a b c d e"), (7, "  "), (5, "quite different text here"), (None, "lonely words without id")], key=str)
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(df).collect() == [] and simhash.keep_one_of_each(df).collect() == []
+    assert simhash.near_duplicates(df).collect() == []
 
 
 def test_query_equals_brute_force(spark):
@@ -112,46 +109,3 @@ def test_query_equals_brute_force(spark):
     rows = queries.op3_simhash_pigeonring(spark, sf).collect()
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows} == {(i, f"{f:016x}", low[root[f]]) for i, f in fp.items()}
     assert len(rows) == len(texts)
-
-
-def plain_similar(texts, width=5):
-    """Keys of components of texts by brute-force Jaccard similarity of 0.8 or more."""
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in texts.items()}
-    sets = {i: {tuple(w[j:j + width]) for j in range(max(1, len(w) - width + 1))} for i, w in words.items()}
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                old, new = sorted((root[a], root[b]), reverse=True)
-                root = {i: new if r == old else r for i, r in root.items()}
-    return root
-
-
-def test_kept_rows_have_no_similar_partner(spark):
-    """Near copies that differ in more bits than SimHash allows go; texts under 0.8 stay, also beside a large group."""
-    rng = random.Random(3)
-    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
-    texts, at = {}, 0
-    for _ in range(20):
-        base = [rng.choice(vocab) for _ in range(120)]
-        for n in (0, 1, 2, 3, 9):
-            own = list(base)
-            for k in range(n):
-                own[5 + 12 * k] = "changed"
-            texts[at], at = " ".join(own), at + 1
-    base = [rng.choice(vocab) for _ in range(200)]
-    for k in range(150):
-        own = list(base)
-        own[k] = f"other{k}"
-        texts[at], at = " ".join(own), at + 1
-    root = plain_similar(texts)
-    assert any((plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[r])).bit_count() > 3 for i, r in root.items())
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == sorted(set(root.values()))
-
-
-def test_one_id_on_different_texts(spark):
-    """Each component keeps its own row, whatever else its id is on."""
-    rows = [(1, "first text of the shared id"), (1, "second text of the shared id"), (1, "second text of the shared id"), (2, "Second  text of the shared id"), (0, "third text"), (1, "third text"), (None, "third text"), (None, "no id at all"), (None, "no id at all")]
-    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[4], rows[7]], key=str)
