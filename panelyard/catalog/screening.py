@@ -112,7 +112,38 @@ def _(spark, d):
     return rounded(sc.vif_diagnostics(reversal(prices, window=2).unionByName(low_volatility(prices, window=4))), 7)
 
 
-@query("variance_inflation_many_factors")
+def inflation_ctes(prefix: str, source: str, wanted: str, k: int) -> None:
+    """Diagonal of the inverse correlation matrix over complete keys, as <prefix>_vif (factor, vif): one sweep a factor."""
+    cte(
+        f"{prefix}_full", source,
+        f"""SELECT date, asset, factor, value FROM ({wanted}) WHERE value IS NOT NULL QUALIFY count(*) OVER (PARTITION BY date, asset) = {k}""",
+    )
+    cte(f"{prefix}_no", f"{prefix}_full", f"SELECT factor, row_number() OVER (ORDER BY factor) AS i FROM (SELECT DISTINCT factor FROM {prefix}_full)")
+    cte(
+        f"{prefix}_s0", f"{prefix}_full {prefix}_no",
+        f"""SELECT m.i, n.i AS j, corr(p.value, q.value) AS v FROM {prefix}_full p JOIN {prefix}_full q ON p.date = q.date AND p.asset = q.asset
+        JOIN {prefix}_no m ON m.factor = p.factor JOIN {prefix}_no n ON n.factor = q.factor GROUP BY 1, 2""",
+    )
+    for t in range(1, k + 1):
+        last = f"{prefix}_s{t - 1}"
+        cte(
+            f"{prefix}_s{t}", last,
+            f"""SELECT a.i, a.j, CASE WHEN a.i = {t} AND a.j = {t} THEN -1 / d.v WHEN a.i = {t} OR a.j = {t} THEN a.v / d.v ELSE a.v - r.v * c.v / d.v END AS v
+            FROM {last} a JOIN {last} d ON d.i = {t} AND d.j = {t} JOIN {last} r ON r.i = a.i AND r.j = {t} JOIN {last} c ON c.i = {t} AND c.j = a.j""",
+        )
+    cte(f"{prefix}_vif", f"{prefix}_s{k} {prefix}_no", f"SELECT factor, -v AS vif FROM {prefix}_s{k} s JOIN {prefix}_no n ON s.i = n.i AND s.j = n.i")
+
+
+inflation_ctes("many", "signals mom6", "SELECT * FROM signals UNION ALL SELECT * FROM mom6", 4)
+inflation_ctes("three", "signals", "SELECT * FROM signals", 3)
+
+
+@query("variance_inflation_three_factors", sql_with("three_vif", "SELECT factor, round(vif, 6) AS vif FROM three_vif"))
+def _(spark, d):
+    return rounded(sc.vif_diagnostics(stored_signals(spark, d)), 6)
+
+
+@query("variance_inflation_many_factors", sql_with("many_vif", "SELECT factor, round(vif, 5) AS vif FROM many_vif"))
 def _(spark, d):
     return rounded(sc.vif_diagnostics(stored_signals(spark, d).unionByName(momentum(px(spark, d), window=6))), 5)
 
@@ -155,7 +186,7 @@ cte(
 
 
 def decisions(spark, d):
-    """Screening decisions without the VIF gate, which SQL cannot express."""
+    """Screening decisions without the VIF gate."""
     f = pool(spark, d)
     stats = sc.univariate_factor_stats(f, fwd1(spark, d), max_group=assets_per_date(spark, d))
     merged = stats.join(sc.pairwise_redundancy(f)["max_abs_corr"], "factor", "left").withColumn("vif", F.lit(None).cast("double"))
@@ -167,10 +198,29 @@ def _(spark, d):
     return decisions(spark, d).select("factor", "coverage_pass", "monotonicity_pass", "redundancy_pass", "decision")
 
 
-@query("screening_with_vif_gate")
+# two factors are the same up to sign: both are inflated without bound, and the others are as without one of the two
+inflation_ctes("gate", "pool rev3", "SELECT * FROM pool WHERE factor NOT IN (SELECT factor FROM rev3)", 5)
+cte(
+    "gate_all", "gate_vif mom3x rev3",
+    "SELECT factor, CASE WHEN factor IN (SELECT factor FROM mom3x) THEN cast('inf' as double) ELSE vif END AS vif FROM gate_vif UNION ALL SELECT DISTINCT factor, cast('inf' as double) FROM rev3",
+)
+
+
+@query(
+    "screening_with_vif_gate",
+    sql_with(
+        "pool_uni pool_max gate_all",
+        """SELECT u.factor, round(coverage, 8) AS coverage, round(abs_monotonicity, 8) AS abs_monotonicity, round(max_abs_corr, 7) AS max_abs_corr, CASE WHEN vif < 1e6 THEN round(vif, 5) ELSE vif END AS vif,
+        CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.8 OR abs_monotonicity < 0.45 THEN 'weak_factor'
+        WHEN max_abs_corr > 0.9 OR vif > 10 THEN 'redundant_factor' ELSE 'candidate_factor' END AS decision,
+        CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'missing_ic_or_monotonicity' WHEN coverage < 0.8 OR abs_monotonicity < 0.45 THEN 'coverage_or_monotonicity_gate_failed'
+        WHEN max_abs_corr > 0.9 OR vif > 10 THEN 'correlation_or_vif_gate_failed' ELSE 'all_primary_gates_passed' END AS decision_reason
+        FROM pool_uni u LEFT JOIN pool_max m ON u.factor = m.factor LEFT JOIN gate_all v ON v.factor = u.factor""",
+    ),
+)
 def _(spark, d):
     out = sc.screen_factors(pool(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d), **{**GATES, "max_vif": 10.0})
-    return rounded(out["decisions"].select("factor", "coverage", "abs_monotonicity", "max_abs_corr", "decision", "decision_reason"))
+    return rounded(out["decisions"].select("factor", "coverage", "abs_monotonicity", "max_abs_corr", "vif", "decision", "decision_reason"), 8, max_abs_corr=7, vif=5)
 
 
 cte(

@@ -6,17 +6,20 @@ factor values are bounded by it; rows are never paired across keys.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.functions.columns import clean, pair_corr, ratio
-from panelyard.functions.groups import attach, with_group_stats, with_ranks
+from panelyard.functions.groups import attach, fits, with_group_stats, with_ranks
 from panelyard.functions.storage import materialize
 from panelyard.operators.evaluation import align, compute_ic_summary, compute_rank_ic, rank_ic_of_pairs
+from panelyard.operators.gram import complete_covariance, correlations, inflation, series_means
 
 
 def monotonicity_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None) -> DataFrame:
@@ -54,27 +57,13 @@ def univariate_factor_stats(factors: DataFrame, labels: DataFrame, *, n_quantile
     )
 
 
-def _value_arrays(values: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Per key the (name, value) pairs with a value, in name order."""
-    present = values.select(*keys, F.col(name).cast("string").alias("n"), clean("value").alias("v")).where("v is not null")
-    return present.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("__a"))
-
-
 def pairwise_correlation(values: DataFrame, keys: Sequence[str] = ("date", "asset"), name: str = "factor") -> DataFrame:
     """Pairwise-complete correlation of every two series of a long table: a, b, corr.
 
-    The pairs of one key flow straight into a partial aggregate of one row per pair of series.
-    Pairs without a common key appear with NULL.
+    Moments come from masked products of dense blocks (``gram``). Pairs without a common key appear with NULL; a key with
+    two values of one series raises.
     """
-    arrays = _value_arrays(values, keys, name)
-    later = F.transform(
-        "__a",
-        lambda x, i: F.transform(
-            F.slice("__a", i + 2, F.greatest(F.size("__a") - i - 1, F.lit(0))),
-            lambda y: F.struct(x["n"].alias("a"), y["n"].alias("b"), x["v"].alias("x"), y["v"].alias("y")),
-        ),
-    )
-    found = arrays.select(F.inline(F.flatten(later))).groupBy("a", "b").agg(pair_corr(F.col("x"), F.col("y")).alias("corr"))
+    found = correlations(values, keys, name)
     names = series_names(values, name)
     every = names.select(F.explode(F.transform("names", lambda n, i: F.struct(n.alias("a"), F.slice("names", i + 2, F.greatest(F.size("names") - i - 1, F.lit(0))).alias("r")))).alias("p"))
     every = every.select(F.col("p.a").alias("a"), F.explode("p.r").alias("b"))
@@ -93,59 +82,125 @@ def pairwise_redundancy(factors: DataFrame) -> dict[str, DataFrame]:
     return {"pairs": pairs, "max_abs_corr": ends.groupBy("factor").agg(F.max("c").alias("max_abs_corr"))}
 
 
-def _complete_moments(factors: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """Covariance matrix of the keys on which every factor has a value.
-
-    Spark aggregates the k x k moments; only that matrix reaches the driver.
-    """
-    names = series_names(factors).first()["names"]
-    k = len(names)
-    arrays = _value_arrays(factors, ("date", "asset"), "factor").where(F.size("__a") == k)
-    cells = F.transform(
-        "__a",
-        lambda x, i: F.transform(
-            F.slice("__a", i + 1, k), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), x["v"].alias("x"), y["v"].alias("y"))
-        ),
-    )
-    rows = arrays.select(F.inline(F.flatten(cells))).groupBy("i", "j").agg(
-        F.covar_pop("x", "y").alias("c"), F.count(F.lit(1)).alias("n"), (F.min("x") == F.max("x")).alias("flat")
-    ).collect()
-    cov = np.zeros((k, k))
-    n = 0
-    for r in rows:
-        n = max(n, r["n"])
-        value = 0.0 if r["i"] == r["j"] and r["flat"] else r["c"]
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = value
-    return names, cov, n
+#: factors whose covariance matrix may go to the driver for inflation factors
+MAX_FACTORS = 2_000
 
 
 def vif_diagnostics(factors: DataFrame) -> DataFrame:
-    """Variance inflation per factor over complete keys: 1 / (1 - R2) from the moment matrix."""
-    names, cov, n = _complete_moments(factors)
-    k = len(names)
-    rows: list[tuple[str, float | None]] = []
-    for i, name in enumerate(names):
-        if k == 1:
-            rows.append((name, 1.0))
-        elif n < k + 1 or cov[i, i] <= 0:
-            rows.append((name, None))
-        else:
-            others = [j for j in range(k) if j != i and cov[j, j] > 0]
-            scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-            corr = cov / np.where(scale > 0, scale, 1.0)
-            cross = corr[i, others]
-            r2 = float(cross @ np.linalg.pinv(corr[np.ix_(others, others)]) @ cross) if others else 0.0
-            rows.append((name, float("inf") if r2 >= 0.999999 else 1.0 / (1.0 - r2)))
-    return factors.sparkSession.createDataFrame(rows, "factor string, vif double")
+    """Variance inflation per factor over complete keys: all diagonals of the inverse correlation matrix at once.
+
+    More than ``MAX_FACTORS`` factors raise before their moments are collected.
+    """
+    names, cov, varies, n = complete_covariance(factors, ("date", "asset"), "factor", MAX_FACTORS)
+    if len(names) == 1:
+        values = [1.0]
+    elif n < len(names) + 1:
+        values = [None] * len(names)
+    else:
+        values = [None if np.isnan(v) else float(v) for v in inflation(cov, varies)]
+    return factors.sparkSession.createDataFrame(list(zip(names, values, strict=True)), "factor string, vif double")
 
 
 def marginal_ic_contribution(factors: DataFrame, labels: DataFrame, *, max_group: int | None = None) -> DataFrame:
     """Rank IC of the equal-weight pool with and without each factor.
 
-    The pool is a mean of per-date z-scores; leaving one factor out subtracts its own term, so
-    all k + 1 pools come from one pass. On a date where a factor does not vary its z-score is
-    0 for every asset of that date, whether the asset has a row or not.
+    The pool is a mean of per-date z-scores; leaving one factor out subtracts its own term. On a date where a factor does
+    not vary its z-score is 0 for every asset of that date, whether the asset has a row or not. ``max_group`` is a measured
+    bound of assets per date: if it fits a task, all k + 1 pools of a date are columns of one array and are ranked there,
+    so factors and labels move once, by date. Otherwise pools are ranked as factors of their own, split by value ranges.
+    A single factor has no pool without it: NULL.
     """
+    names = [n for n, _ in series_means(factors, "factor")]
+    if fits(max_group) and max_group * (len(names) + 1) <= ARRAY_CELLS:
+        ic = _pool_ic_by_date(factors, labels, names)
+    else:
+        ic = _pool_ic_by_ranges(factors, labels, max_group)
+    means = ic.groupBy("factor").agg(F.avg("rank_ic").alias("m"))
+    full = means.where(F.col("factor") == _FULL).select("m").scalar()
+    if len(names) < 2:
+        return factors.sparkSession.createDataFrame([(n, None, None, None) for n in names], "factor string, pool_rank_ic_full double, pool_rank_ic_without_factor double, marginal_delta double")
+    out = means.where(F.col("factor") != _FULL).withColumn("pool_rank_ic_full", full)
+    return out.select(
+        "factor", "pool_rank_ic_full", F.col("m").alias("pool_rank_ic_without_factor"),
+        (F.col("pool_rank_ic_full") - F.col("m")).alias("marginal_delta"),
+    )
+
+
+#: name of the pool of all factors, and cells (assets x pools) of a date that one task may hold
+_FULL, ARRAY_CELLS = "\u0000full", 20_000_000
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks of each column of an array without missing values."""
+    order = np.argsort(x, axis=0, kind="stable")
+    out = np.empty(x.shape)
+    for c in range(x.shape[1]):
+        v = x[order[:, c], c]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        size = np.diff(np.append(first, len(v)))
+        out[order[:, c], c] = np.repeat(first + (size + 1) / 2, size)
+    return out
+
+
+def _pools(x: np.ndarray) -> np.ndarray:
+    """The full pool and the k pools without one factor, as columns, of values (assets, k) of one date; NaN is missing."""
+    k = x.shape[1]
+    with np.errstate(invalid="ignore", divide="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # columns without a value
+        varies = np.nanmin(x, axis=0, initial=np.inf) < np.nanmax(x, axis=0, initial=-np.inf)
+        z = np.where(varies, (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0), 0.0)
+        there = np.isfinite(z)
+        z = np.where(there, z, 0.0)
+        total, count = z.sum(1, keepdims=True), there.sum(1, keepdims=True)
+        sums = np.concatenate([total, total - z], axis=1)
+        counts = np.concatenate([count, count - there], axis=1)
+        return sums / np.where(counts > 0, counts, np.nan) if k else sums
+
+
+def _pool_ic_by_date(factors: DataFrame, labels: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(date, factor: the pool's missing factor, rank_ic): one task a date, which holds all pools of its assets."""
+    at = {n: i for i, n in enumerate(names)}
+    pools = [_FULL, *names]
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        assets = left.column("asset").combine_chunks().dictionary_encode()
+        row = assets.indices.to_numpy(zero_copy_only=False)
+        column = np.array([at[n] for n in left.column("factor").to_pylist()])
+        x = np.full((len(assets.dictionary), len(names)), np.nan)
+        x[row, column] = left.column("v").to_numpy(zero_copy_only=False)
+        pool = _pools(x)
+        number = {a: i for i, a in enumerate(assets.dictionary.to_pylist())}
+        own = np.array([number.get(a, -1) for a in right.column("asset").to_pylist()], np.int64)
+        y = right.column("y").to_numpy(zero_copy_only=False)[own >= 0]
+        found = _all_rank_correlations(pool[own[own >= 0]], y)  # a row for each pair of an asset and a label
+        n = len(pools) if len(y) else 0
+        return pa.table({"date": pa.array([key[0].as_py()] * n, pa.date32()), "factor": pa.array(pools[:n], pa.string()), "rank_ic": pa.array(found[:n], pa.float64())})
+
+    left = factors.select("date", F.col("asset").cast("string").alias("asset"), F.col("factor").cast("string").alias("factor"), clean("value").alias("v"))
+    right = labels.select("date", F.col("asset").cast("string").alias("asset"), clean("value").alias("y"))
+    return left.groupBy("date").cogroup(right.groupBy("date")).applyInArrow(run, "date date, factor string, rank_ic double")
+
+
+def _all_rank_correlations(pools: np.ndarray, y: np.ndarray) -> list[float | None]:
+    """Rank correlation of every column with the label; columns that miss the same rows are ranked together."""
+    there = np.isfinite(pools) & np.isfinite(y)[:, None]
+    out: list[float | None] = [None] * pools.shape[1]
+    masks, of = np.unique(there, axis=1, return_inverse=True)
+    for m in range(masks.shape[1]):
+        keep, columns = masks[:, m], np.flatnonzero(of.ravel() == m)
+        if keep.sum() < 2:
+            continue
+        r = _average_ranks(np.column_stack([y[keep], pools[np.ix_(keep, columns)]]))
+        r -= r.mean(0)
+        norm = (r * r).sum(0)
+        for c, s, v in zip(columns.tolist(), r[:, 0] @ r[:, 1:], norm[1:], strict=True):
+            if v > 0 and norm[0] > 0:
+                out[c] = float(s / np.sqrt(v * norm[0]))
+    return out
+
+
+def _pool_ic_by_ranges(factors: DataFrame, labels: DataFrame, max_group: int | None) -> DataFrame:
+    """As ``_pool_ic_by_date`` for dates that no task may hold: pools are factors of a long table."""
     keys = ["date", "factor"]
     v = clean("value")
     stats = factors.groupBy(*keys).agg(F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"), (F.min(v) < F.max(v)).alias("varies"))
@@ -168,15 +223,8 @@ def marginal_ic_contribution(factors: DataFrame, labels: DataFrame, *, max_group
     total = F.col("s") - F.when(F.col("out").isNotNull() & is_regular, F.coalesce(own, F.lit(0.0))).otherwise(F.lit(0.0))
     gone = F.when(F.col("out").isNull(), 0).when(is_regular, own.isNotNull().cast("int")).otherwise(1)
     n = F.col("p") + F.col("flat") - gone
-    composite = rows.select("date", "asset", F.coalesce("out", F.lit("\u0000full")).alias("factor"), ratio(total, n).alias("value"))
-    ic = rank_ic_of_pairs(align(composite, labels, validate=False), ["date", "factor"], max_group=max_group)
-    means = ic.groupBy("factor").agg(F.avg("rank_ic").alias("m"))
-    full = means.where(F.col("factor") == "\u0000full").select("m").scalar()
-    out = means.where(F.col("factor") != "\u0000full").withColumn("pool_rank_ic_full", full)
-    return out.select(
-        "factor", "pool_rank_ic_full", F.col("m").alias("pool_rank_ic_without_factor"),
-        (F.col("pool_rank_ic_full") - F.col("m")).alias("marginal_delta"),
-    )
+    composite = rows.select("date", "asset", F.coalesce("out", F.lit(_FULL)).alias("factor"), ratio(total, n).alias("value"))
+    return rank_ic_of_pairs(align(composite, labels, validate=False), ["date", "factor"], max_group=max_group)
 
 
 def decide(merged: DataFrame, *, min_coverage: float, min_abs_monotonicity: float, max_pairwise_corr: float, max_vif: float) -> DataFrame:
