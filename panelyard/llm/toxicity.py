@@ -5,7 +5,8 @@ are recognised; frequent words have an embedding beside it. The word net reads e
 a document's score is that of its worst window. Neighbouring windows share their words' inputs, as slices of one array.
 
 The nets are trained on the driver on at most ``max_toxic`` + ``max_clean`` labelled documents, chosen by a hash of
-the id, and at most ``max_chars`` characters of each. Scores cover whole texts of all rows, with words and windows
+the id. Their texts are whole up to ``max_chars`` characters; of a longer one the executors draw ``PIECES`` pieces that
+make up as many, from all over it. Scores cover whole texts of all rows, with words and windows
 computed in batches and distinct words once per task.
 
 Defined cases: texts that are null or have no letter score 0; a text shorter than a window is one window; a run of
@@ -19,10 +20,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import network as net
@@ -37,9 +39,8 @@ _WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words of a text; one that is repeated at once is read once."""
-    words = _WORD.findall(text.lower()) if text else []
-    return words[:1] + [b for a, b in zip(words, words[1:], strict=False) if a != b]
+    """Words of a text, all of them."""
+    return _WORD.findall(text.lower()) if text else []
 
 
 def _char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +55,14 @@ def _char_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 @dataclass
 class Model:
     chars: net.Params
@@ -61,7 +70,7 @@ class Model:
     vocabulary: dict[str, int]
 
     def __post_init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.inputs = np.zeros((0, 2, 3 * WORD_HIDDEN), np.float32)
 
     def suspicion(self, words: list[str]) -> np.ndarray:
@@ -72,13 +81,14 @@ class Model:
         """Character vectors of words; words of one length are computed together."""
         out = np.zeros((len(words), 2 * CHAR_HIDDEN), np.float32)
         length = np.array([len(w) for w in words])
-        tables = [net.project(self.chars, self.chars["E"], d) for d in "fb"]
+        tables = [net.scaled(net.project(self.chars, self.chars["E"], d)) for d in "fb"]
+        pooled = net.pooled_by_table(self.chars)
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
             for i in range(0, len(at), 1024):
                 own = at[i:i + 1024]
                 ids, _ = _char_ids([words[j] for j in own.tolist()])
-                out[own] = net.forward(self.chars, tables[0][ids], tables[1][ids])[0]
+                out[own] = pooled(ids, tables)
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -88,15 +98,13 @@ class Model:
     def word_rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Rows of ``inputs`` for the words of texts; words not met before are computed first."""
         if len(self.known) > REMEMBER:
-            self.known, self.inputs = {}, self.inputs[:0]
-        known = self.known
-        new = list(dict.fromkeys(w for ws in texts for w in ws if w not in known))
-        if new:
+            self.known, self.inputs = _Numbers(), self.inputs[:0]
+        rows = [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in texts]
+        if new := list(islice(self.known, len(self.inputs), None)):
             x = self.features(new)
             both = np.stack([net.project(self.words, x, "f"), net.project(self.words, x, "b")], axis=1)
-            known.update(zip(new, range(len(self.inputs), len(self.inputs) + len(new)), strict=True))
             self.inputs = np.concatenate([self.inputs, both])
-        return [np.fromiter((known[w] for w in ws), np.int64, len(ws)) for ws in texts]
+        return rows
 
     def window_scores(self, rows: np.ndarray, n: int = WINDOW) -> np.ndarray:
         """Scores of the windows of ``n`` words that begin at each but the last n - 1 words given as rows."""
@@ -158,11 +166,12 @@ def _worst_of(scores: np.ndarray, lengths: list[int], n: int = WINDOW) -> tuple[
     return best, place
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 300, rounds: int = 6, word_steps: int = 150, vocabulary: int = 20_000) -> Model | None:
+def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 300, rounds: int = 6, word_steps: int = 150, vocabulary: int = 20_000, mined: int = 2_000) -> Model | None:
     """A model of labelled texts; None if one label is missing.
 
     A toxic document needs one toxic window only, so in each round the word net learns from the worst window of each
-    toxic document, and from the worst of each clean one beside others of them. At first the character net tells which.
+    toxic document, and from the worst of each of ``mined`` clean ones beside others of them. At first the character net
+    tells which.
     """
     rng = np.random.default_rng(seed)
     labelled = dict(zip(texts, labels, strict=True))  # copies count once
@@ -195,14 +204,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
         np.maximum(scores, suspect[step:step + len(scores)], out=scores)
     adam = net.Adam(p, 0.01)
     target = np.concatenate([np.zeros(160, np.float32), np.ones(96, np.float32)])
+    first = np.cumsum([0, *lengths])[:-1]
     for turn in range(rounds):
+        own = np.arange(len(lengths))
         if turn:
-            x = model.features(both)
+            x = np.concatenate([vectors, p["E"][row]], axis=1)
             model.inputs = np.stack([net.project(p, x, "f"), net.project(p, x, "b")], axis=1)
-            scores = model.window_scores(words)
-        best, worst = _worst_of(scores, lengths)
-        hard, found = worst[~toxic], worst[toxic]
-        heavy = best[~toxic] + 0.02
+            own = np.concatenate([rng.permutation(np.flatnonzero(~toxic))[:mined], np.flatnonzero(toxic)])
+            scores = model.window_scores(np.concatenate([padded[i] for i in own]))
+        sizes = [lengths[i] for i in own]
+        best, worst = _worst_of(scores, sizes)
+        worst += first[own] - np.cumsum([0, *sizes])[:-1]  # places among all words
+        hard, found = worst[~toxic[own]], worst[toxic[own]]
+        heavy = best[~toxic[own]] + 0.02
         heavy /= heavy.sum()
         for step in range(word_steps):
             adam.rate = 0.01 * (1 - 0.95 * (turn * word_steps + step) / (rounds * word_steps))
@@ -217,10 +231,23 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
             np.add.at(grads["E"], row[ids].ravel(), dx[:, :, 2 * CHAR_HIDDEN:].reshape(-1, WORD_INPUT))
             grads["E"][0] = 0
             adam.step(grads)
-    model.known, model.inputs = {}, model.inputs[:0]
+    model.known, model.inputs = _Numbers(), model.inputs[:0]
     return model
 
 
+#: pieces of a training text that is longer than the bound
+PIECES = 64
+
+
+def _bounded(text: Column, max_chars: int) -> Column:
+    """A whole text, or pieces from places all over a longer one that make up ``max_chars`` characters."""
+    size = max(1, max_chars // PIECES)
+    places = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    room = F.length(text) - F.lit(size)
+    pieces = F.transform(places, lambda i: F.substring(text, F.floor(room * i / (PIECES - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.array_join(pieces, " "))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> list[tuple[str, int]]:
     """(text, label) of a bounded sample of the labelled rows that may be learnt from."""
     fit = labels.where(labels["doc_id"].isNotNull() & labels["toxic"].isNotNull() & (remainder_of_id(labels["doc_id"], 3) != 1))
@@ -228,17 +255,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     order = F.xxhash64("doc_id")
     some = fit.where("label = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(fit.where("label = 0").orderBy(order, "doc_id").limit(max_clean))
     chosen = docs.join(F.broadcast(some), "doc_id").where("text is not null")  # at most max_toxic + max_clean rows
-    return [(r["text"], r["label"]) for r in chosen.select("doc_id", F.substring("text", 1, max_chars).alias("text"), "label").distinct().orderBy("doc_id", "text").limit(max_toxic + max_clean).collect()]
+    return [(r["text"], r["label"]) for r in chosen.select("doc_id", _bounded(F.col("text"), max_chars).alias("text"), "label").distinct().orderBy("doc_id", "text").limit(max_toxic + max_clean).collect()]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 3000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 200_000) -> DataFrame:
     """doc_id, score, a row per row."""
     docs = id_and_text(docs, id_col, text_col)
     rows = training_rows(docs, labels, max_toxic, max_clean, max_chars)
     return apply_model(docs, train([t for t, _ in rows], [y for _, y in rows]))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 3000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 200_000) -> DataFrame:
     """Rows of ``docs``, all columns, that score under ``threshold``, by a model of their own labelled rows."""
     rows = training_rows(id_and_text(docs), labels, max_toxic, max_clean, max_chars)
     shared = docs.sparkSession.sparkContext.broadcast(_parts(train([t for t, _ in rows], [y for _, y in rows])))

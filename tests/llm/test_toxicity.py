@@ -92,11 +92,24 @@ def test_held_out_labels_are_not_learnt_from(spark):
     rows = corpus(90)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(0, 1, 0)], "doc_id long, toxic int, quality int")
-    found = toxicity.training_rows(docs, labels, 10, 30, 50)
-    allowed = {t[:50] for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    found = toxicity.training_rows(docs, labels, 10, 30, 5000)
+    allowed = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert len(found) == 40 and {t for t, _ in found} <= allowed
 
 
+def test_pieces_of_a_long_training_text(spark):
+    """A text up to the bound is whole; of a longer one pieces from its beginning to its end make up the bound."""
+    texts = [" ".join(f"{i:05d}" for i in range(n)) for n in (10, 100_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short, long = (r[0] for r in docs.orderBy("doc_id").select(toxicity._bounded(docs["text"], 6400)).collect())
+    assert short == texts[0] and len(long) == 6400 + toxicity.PIECES - 1 and long.startswith(texts[1][:100]) and long.endswith(texts[1][-100:])
+    assert all(piece in texts[1] for piece in (long[i:i + 100] for i in range(0, len(long), 101)))
+
+
+def test_all_words_are_read():
+    assert toxicity.words_of("No no NO, was was 3 x") == ["no", "no", "no", "was", "was", "x"] and toxicity.words_of(None) == []
+
+
 def test_query_on_held_out_rows(spark):
     """A few hundred toxic documents to learn from, in four languages: most others are found, clean ones are left alone."""
     from panelyard.llm import queries
