@@ -1,21 +1,25 @@
 """Token ids in raw files, with a minimal perfect hash index for keyed access.
 
-Texts are dealt by ranges of ids, each task encodes its range in ascending order of id and writes one payload file of
-unsigned little-endian ids (16 bits if the vocabulary allows) without separators. The index maps (id, occurrence) to
+Texts are dealt by ranges of ids (rows of one id by their text's hash and place), each task encodes its range in
+ascending order of id and writes one payload file of unsigned little-endian ids (16 bits if the vocabulary allows)
+without separators. The index maps (id, occurrence) to
 file, offset and length. It is cut into parts by a hash of the key; each part has a minimal perfect hash of levels of
 bit sets (a key that shares its place with another goes to the next level), whose rank gives the slot of its entry,
 and the entry keeps a fingerprint that tells foreign keys. A look-up costs a bounded number of probes.
 
 Defined cases: a null or empty text has the end id only; null ids come first; a repeated id has one entry for each of
-its rows, numbered in the order of the text's hash; extra columns are ignored; an empty table gives no rows.
+its rows, numbered in the order of the text's hash, also where they are many and fill several files; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +33,18 @@ from panelyard.llm import files
 from panelyard.llm.common import held, id_and_text, map_arrow, scratch_path, ship
 
 #: chunks and pre-tokens that a task remembers
-REMEMBER = 300_000
+REMEMBER = 800_000
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 KEYS_PER_PART = 100_000
 #: payload that one task reads back
 READ_BYTES = 32 << 20
 
-
-#: chunks that normalisation only lower-cases and pre-tokenisation cuts into one word and marks behind it
-_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+# fixed values: the normaliser and the pre-tokenizer for which texts may be cut at ASCII white space and simple chunks taken apart
+_WORDS_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: words that normalisation only lower-cases, and marks that pre-tokenisation keeps together behind them
+_WORD = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,11 +54,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def cuts_at_white_space(tokenizer: str) -> bool:
+    """Whether a tokenizer (as JSON) drops white space, never looks across it and lower-cases words: read from its file."""
+    t = json.loads(tokenizer)
+    steps = (t["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}]
+    split, letters = steps[0], steps[-1]
+    return (
+        t["normalizer"] == _WORDS_NORMALIZER and len(steps) == 2 and t["post_processor"] is None and t["truncation"] is None and t["padding"] is None
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": _WORDS_PATTERN}, "Removed", True)
+        and (letters.get("type"), letters.get("add_prefix_space"), letters.get("use_regex")) == ("ByteLevel", False, False)
+        and t["model"].get("type") == "BPE" and not t["model"].get("dropout")
+        and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or _WORD.match(x["content"]) for x in t["added_tokens"])
+    )
+
+
 class Encoder:
-    """Encodes by chunks between ASCII white space, which the tokenizer drops and never looks across; distinct chunks once.
+    """Encodes whole texts as the tokenizer does.
 
-    A simple chunk (Latin letters, then ASCII marks) goes to the tokenizer's model as its lower-cased word and its
-    marks, which is what the normaliser and the pre-tokenizer make of it; any other goes through the whole tokenizer.
+    A tokenizer that never looks across white space (``cuts_at_white_space``) encodes the chunks between it, distinct ones
+    once; a simple chunk (Latin letters, then ASCII marks) goes to its model as the lower-cased word and the marks, which
+    is what the normaliser and the pre-tokenizer make of it. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -59,42 +81,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = cuts_at_white_space(self.tokenizer.to_str())
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def part(self, part: str) -> bytes:
-        """Ids of one pre-token."""
-        found = self.parts.get(part)
-        if found is None:
-            spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelt)], self.dtype).tobytes()
+        """Ids of one pre-token that wasn't met before."""
+        spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        found = self.parts[part] = self.pack([t.id for t in self.model.tokenize(spelt)])
         return found
 
     def learn(self, chunks: list[str]) -> None:
-        known, others = self.known, []
+        known, parts, others, word_of = self.known, self.parts, [], _WORD.fullmatch
         for c in chunks:
-            if m := _SIMPLE.fullmatch(c):
-                word, marks = m.groups()
-                known[c] = self.part(word.lower()) + (self.part(marks) if marks else b"")
+            word = c.rstrip(_MARKS)
+            if word_of(word):
+                low = word.lower()
+                ids = parts.get(low) or self.part(low)
+                if len(word) < len(c):
+                    marks = c[len(word):]
+                    ids += parts.get(marks) or self.part(marks)
+                known[c] = ids
             else:
                 others.append(c)
         for at in range(0, len(others), 10_000):
             some = others[at:at + 10_000]
             for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, self.dtype).tobytes()
+                known[chunk] = self.pack(e.ids)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        stop = self.pack([end])
+        if not self.chunked:
+            return [self.pack(e.ids) + stop for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [_CHUNK.findall(t) if t else [] for t in texts]
         if len(self.known) + len(self.parts) > REMEMBER:
             self.known.clear()
             self.parts.clear()
         known = self.known
-        self.learn(list({c for chunks in split for c in chunks if c not in known}))
-        stop = np.array([end], self.dtype).tobytes()
-        return [b"".join([known[c] for c in chunks]) + stop for chunks in split]
+        self.learn([c for c in set().union(*split) if c not in known])
+        return [b"".join(map(known.__getitem__, chunks)) + stop for chunks in split]
 
 
 def encoder(path: str) -> Encoder:
@@ -131,8 +166,24 @@ def write_payload(docs: DataFrame, tokenizer_path: str, end: int, folder: str) -
             if out:
                 out.close()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(map_arrow(ranged, run, schema))
+    place = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(place[0].isNotNull(), *place).alias("place"))
+    entries = materialize(map_arrow(ranged.repartitionByRange("place").sortWithinPartitions("place").select("doc_id", "text"), run, schema))
+    return _numbered_across_files(entries)
+
+
+def _numbered_across_files(entries: DataFrame) -> DataFrame:
+    """Occurrences count on where the rows of an id fill the end of one file and the beginning of the next ones."""
+    id_key = F.struct(F.col("doc_id").isNotNull(), "doc_id")
+    per_file = entries.groupBy("part", "doc_id").agg(F.count("*").alias("rows"))
+    shared = per_file.groupBy("doc_id").agg(F.count("*").alias("files")).where("files > 1").drop("files").withColumn("its_key", id_key)
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("its_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per_file.withColumn("its_key", id_key).join(shared.select("its_key"), "its_key").select("its_key", F.col("part").alias("its_part"), before.alias("before"))
+    offsets = materialize(offsets)  # at most two ids a file
+    if not offsets.limit(1).count():
+        return entries
+    joined = entries.join(F.broadcast(offsets), (entries["part"] == offsets["its_part"]) & (F.struct(F.col("doc_id").isNotNull(), "doc_id") == F.col("its_key")), "left")
+    return materialize(joined.select("doc_id", (F.col("occ") + F.coalesce("before", F.lit(0))).alias("occ"), *entries.columns[2:]))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -290,4 +341,6 @@ class TokenFiles:
 def keys_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, occ): ids with the number of each of their rows."""
     counted = docs.groupBy(docs[id_col].cast("long").alias("doc_id")).agg(F.count("*").alias("rows"))
-    return counted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("occ"))
+    step = 10_000  # an id may hold any number of rows, an array only so many
+    runs = counted.select("doc_id", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / step))).alias("run"))
+    return runs.select("doc_id", F.explode(F.sequence(F.col("run") * step, F.least("rows", (F.col("run") + 1) * step) - 1)).alias("occ"))

@@ -129,3 +129,46 @@ def test_pieces_query(spark, library):
         ids = library.encode(t or "", add_eos=True)
         want.add((d, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
     assert set(map(tuple, queries.op7_prefix_table_pieces(spark, sf).collect())) == want
+
+
+def test_other_tokenizers_get_whole_texts():
+    """A byte-level tokenizer keeps white space and case: the chunks' way is for files that say they drop both."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, whole = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    texts = ["The cat  sat", " leading", "Tab\tand\nline", "", None, "ÀÉ naïve \u00a0 x", "word " * 3000, "it's <|endoftext|> here"]
+    assert not enc.chunked and tokenfile.Encoder(WORDS).chunked
+    for t, blob in zip(texts, enc.encode(texts, 2), strict=True):
+        assert np.frombuffer(blob, enc.dtype).tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def test_settings_that_rule_out_chunks():
+    import json
+
+    plain = json.loads(Tokenizer.from_file(WORDS).to_str())
+    assert tokenfile.cuts_at_white_space(json.dumps(plain))
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"model": {**plain["model"], "dropout": 0.1}}, {"truncation": {"max_length": 5}}, {"added_tokens": [{**plain["added_tokens"][0], "lstrip": True}]}):
+        assert not tokenfile.cuts_at_white_space(json.dumps({**plain, **change}))
+
+
+def test_an_id_on_many_rows_fills_several_files(spark):
+    """Rows of one id, and of no id, are dealt over tasks; their occurrences count on from file to file."""
+    rows = [(7, f"w{i % 50} text") for i in range(400)] + [(None, "same text")] * 300 + [(i, f"own {i}") for i in range(20)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        written = tokenfile.TokenFiles(df, WORDS, end=2)
+        files = {r["part"] for r in written.entries.where("doc_id = 7").select("part").collect()}
+        entries = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["occ"]) for r in written.entries.collect()))
+        found = written.read(tokenfile.keys_of(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+    assert len(files) > 1 and len(entries) == len(set(entries)) == len(found) == 720
+    assert [e[2] for e in entries if not e[0]] == list(range(300)) and [o for _, d, o in entries if d == 7] == list(range(401))
+    by_start = sorted(found, key=lambda r: r["start"])
+    assert [r["start"] for r in by_start] == np.cumsum([0, *(r["n"] for r in by_start)])[:-1].tolist()
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in by_start]
+    assert order == sorted(order)
