@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelyard.llm import language
@@ -16,12 +17,13 @@ def test_automaton_knows_just_the_substrings():
     rng = random.Random(2)
     for _ in range(30):
         text = [rng.randint(0, 2) for _ in range(rng.randint(1, 25))]
-        moves, known = language.automaton(text, 3), substrings("".join(map(str, text)))
+        rows, known = language.automaton(text), substrings("".join(map(str, text)))
+        moves = language.Moves.of(rows, 3)
         for n in range(1, 6):
             for code in range(3**n):
                 word, state = [code // 3**i % 3 for i in range(n)], 0
                 for c in word:
-                    state = moves[state, c] if state >= 0 else -1
+                    state = int(moves.step(np.array([state]), np.array([c]))[0]) if state >= 0 else -1
                 assert (state >= 0) == ("".join(map(str, word)) in known)
 
 
@@ -93,3 +95,40 @@ def test_query_accuracy_on_held_out_rows(spark):
 def test_texts_stay_where_there_is_no_model(spark):
     rows = [(1, "some words", None, 1, ""), (2, "12 !!", None, 1, ""), (3, None, None, 1, "")]
     assert [r["doc_id"] for r in language.keep_identified(table(spark, rows)).collect()] == [1]
+
+
+def test_large_alphabets_keep_all_letters():
+    """Two languages of one alphabet of 900 letters: each letter is a symbol, so texts are told apart."""
+    rng = random.Random(7)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    words = {g: ["".join(rng.choice(han) for _ in range(rng.randint(1, 3))) for _ in range(300)] for g in "ab"}
+    text = lambda g, n: " ".join(rng.choice(words[g]) for _ in range(n))
+    model = language.Model({g: text(g, 6000) for g in "ab"})
+    assert max(len(m.owner) for m in model.moves) < 120_000
+    for g in "ab":
+        found, scores = model.predict([text(g, 20) for _ in range(50)])
+        assert set(found) == {g} and scores.min() > 0
+    texts = [language.normalise(text("a", 60) + " latin words " + text("b", 5))]
+    plain = [phrases(texts[0], model.samples[g]) for g in "ab"]
+    assert model.phrases(texts)[0][0].tolist() == plain
+
+
+def test_the_parse_decides_what_stays():
+    """Texts of a learnt language stay, also short and mixed ones; random letters and other languages go."""
+    rng = random.Random(5)
+    stems = ["ka", "lo", "mi", "ru", "te", "pa", "so", "na"]
+    word = lambda: "".join(rng.choice(stems) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    model = language.Model({"aa": language.normalise(text(6000))[:20_000]})
+    model.calibrate({"aa": [text(150) for _ in range(40)]})
+    clean = [text(rng.choice([1, 2, 5, 20, 100, 400])) for _ in range(400)]
+    assert 0 < model.usual["aa"] < 1 and all(model.belongs(clean))
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)) for _ in range(20)]
+    assert not any(model.belongs(noise)) and model.belongs([None, "", "12 !"]) == [False] * 3
+
+
+def test_share_of_held_out_rows_that_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in language.keep_identified(docs).select("doc_id").collect()}
+    rows = [r["doc_id"] for r in docs.select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(rows) > 150 and sum(i in kept for i in rows) >= 0.98 * len(rows)
