@@ -365,7 +365,7 @@ Q9_THRESHOLDS = vd.SingleFactorThresholds(min_coverage=0.3, min_tradable_ratio=0
     sql_with("q9_m", verdict_sql("q9_m", Q9_BLOCKERS, SINGLE_WARNINGS, SINGLE_EXTERNAL, "factor, round(mean_rank_ic, 6) AS mean_rank_ic, round(ic_ir, 5) AS ic_ir, round(mean_coverage, 7) AS mean_coverage, round(mean_tradable_ratio, 7) AS mean_tradable_ratio, screening_decision")),
 )
 def _(spark, d):
-    spec = wk.SingleFactorSpec(factor_fn=lambda p: reversal(p, window=2), universe_rules=RULES, preprocess=PREP, thresholds=Q9_THRESHOLDS, embargo_periods=1)
+    spec = wk.SingleFactorSpec(factor_fn=lambda p: reversal(p, window=2), horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(**PREP), thresholds=Q9_THRESHOLDS, embargo_periods=1)
     out = wk.run_single_factor_workflow(px(spark, d), spec, **inputs(spark, d))["verdict"]
     cols = ("factor", "mean_rank_ic", "ic_ir", "mean_coverage", "mean_tradable_ratio", "screening_decision", "blocking_issues", "warnings", "verdict")
     return rounded(out.select(*cols), 7, mean_rank_ic=6, ic_ir=5)
@@ -374,7 +374,8 @@ def _(spark, d):
 @query("single_factor_workflow_neutralized_walk_forward")
 def _(spark, d):
     spec = wk.SingleFactorSpec(
-        factor_fn=lambda p: reversal(p, window=2), universe_rules=RULES, preprocess=PREP, neutralization=wk.Neutralization(), label_method="rankpct",
+        factor_fn=lambda p: reversal(p, window=2), horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(**PREP), label_method="rankpct",
+        neutralization=wk.Neutralization(size_col="size_exposure", industry_col="industry", beta_col="beta_exposure"),
         validation_mode="walk_forward", train_size=24, test_size=9, step=6, thresholds=Q9_THRESHOLDS, trial_count=10,
     )
     given = inputs(spark, d)
@@ -429,7 +430,7 @@ _Q10 = dict(mean_rank_ic=6, ic_ir=5, effective_breadth=6, avg_abs_corr=6, adv_fl
 )
 def _(spark, d):
     spec = wk.CompositeSpec(
-        universe_rules=RULES, preprocess=dict(winsorize=False, min_group_size=5, min_coverage=0.2), screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=1.0, max_vif=1e12),
+        horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(winsorize=False, min_group_size=5, min_coverage=0.2), screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=1.0, max_vif=1e12),
         composite_lookback=12, composite_min_history=5, portfolio=wk.pf.Strategy(long_top_k=15, short_bottom_k=10, weighting_method="rank"),
         portfolio_value=1000000.0, adv_window=6, costs=OPTS,
     )

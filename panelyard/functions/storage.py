@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import errno
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
@@ -80,3 +83,53 @@ def delete(spark: SparkSession, paths: Sequence[str]) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, target.getFileSystem(conf), target
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Committed versions of a table of versions: number to folder, in order."""
+    _, _, fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return {}
+    names = [str(s.getPath().getName()) for s in fs.listStatus(target) if s.isDirectory()]
+    return {int(n[1:]): f"{path.rstrip('/')}/{n}" for n in sorted(names) if len(n) == 11 and n[0] == "v" and n[1:].isdigit()}
+
+
+def stage_version(df: DataFrame, path: str) -> str:
+    """Write rows of a coming version aside, where no reader looks."""
+    staged = f"{path.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(staged)
+    return staged
+
+
+def commit_version(spark: SparkSession, staged: str, path: str, version: int) -> bool:
+    """Publish staged rows as ``version`` by one rename that fails if the version is there: whole, or not at all.
+
+    False if another writer has committed this version; the staged rows stay for another try.
+    """
+    target = f"{path.rstrip('/')}/v{version:010d}"
+    jvm, conf, fs, where = _file_system(spark, target)
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.rename(jvm.org.apache.hadoop.fs.Path(staged).toUri().getPath(), where.toUri().getPath())
+        except OSError as error:
+            if error.errno in (errno.ENOTEMPTY, errno.EEXIST):
+                return False
+            raise
+        return True
+    if fs.exists(where):
+        return False
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(staged), where, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    return True

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.columns import clean, gated, pair_corr, ratio
 from panelyard.functions.groups import attach_small, with_ranks
 from panelyard.operators.factors import positive_close
-from panelyard.sources.contracts import require_unique
+from panelyard.sources.contracts import require_unique_tables
 
 DECAY_HORIZONS = (1, 2, 5, 10, 20)
 
@@ -26,8 +26,7 @@ def align(factors: DataFrame, labels: DataFrame, *, validate: bool = True) -> Da
     A repeated key would multiply pairs, so it raises, unless the caller has checked and turns ``validate`` off.
     """
     if validate:
-        require_unique(factors, ("date", "asset", "factor"), "factors")
-        require_unique(labels, ("date", "asset", "factor"), "labels")
+        require_unique_tables({"factors": factors, "labels": labels}, ("date", "asset", "factor"))
     left = factors.select("date", "asset", "factor", clean("value").alias("x"))
     right = labels.select("date", "asset", F.col("factor").alias("label"), clean("value").alias("y"))
     return left.join(right, ["date", "asset"])

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from panelyard.functions.groups import with_ranks
+from panelyard.functions.storage import commit_version, stage_version, versions
 
 # Column lists of the log tables.
 SUMMARY_SCHEMA = (
@@ -41,23 +41,31 @@ def check_schema(df: DataFrame, schema: str, table: str) -> None:
         raise ValueError(f"{table} schema mismatch: expected {wanted}, got {found}")
 
 
-def load_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The stored rows, or an empty table when nothing was stored yet."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
+def _stored(spark: SparkSession, folders: Sequence[str], schema: str, path: str) -> DataFrame:
+    """Rows of committed versions, or an empty table when nothing was committed yet."""
+    if not folders:
         return spark.createDataFrame([], _typed(schema))
+    stored = spark.read.parquet(*folders)
     check_schema(stored, schema, path)
     return stored
 
 
+def load_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all commits to a log."""
+    return _stored(spark, list(versions(spark, path).values()), schema, path)
+
+
 def append_log(df: DataFrame, path: str, schema: str) -> None:
-    """Append after an exact schema check of the new rows and of the stored table."""
+    """Commit new rows after an exact schema check of them and of the stored ones.
+
+    Rows are written once, aside, and take the next free version: writers at the same time lose and double nothing.
+    """
     check_schema(df, schema, "new rows")
-    load_log(df.sparkSession, path, schema)
-    df.write.mode("append").parquet(path)
+    spark = df.sparkSession
+    load_log(spark, path, schema)
+    staged = stage_version(df, path)
+    while not commit_version(spark, staged, path, max(versions(spark, path), default=0) + 1):
+        pass  # another writer was first
 
 
 def append_trial_log(df: DataFrame, path: str) -> None:
@@ -99,22 +107,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "alpha_id") -> DataFrame:
 
 
 def load_alpha_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Latest version of the registry. Versions are partitions; a reader never sees a half-written one."""
-    schema = ALPHA_REGISTRY_SCHEMA + ", version INT"
-    stored = load_log(spark, path, schema)
-    latest = stored.agg(F.max("version")).scalar()
-    return stored.where(F.col("version") == latest).drop("version")
+    """Latest version of the registry; a version appears whole, by a rename."""
+    return _stored(spark, list(versions(spark, path).values())[-1:], ALPHA_REGISTRY_SCHEMA, path)
+
 
+def upsert_alpha_registry(entries: DataFrame, path: str, *, attempts: int = 50) -> DataFrame:
+    """Commit the registry with ``entries`` replaced or added as its next version.
 
-def upsert_alpha_registry(entries: DataFrame, path: str) -> DataFrame:
-    """Write the registry with ``entries`` replaced or added as its next version."""
+    If another writer has committed that version meanwhile, the entries are merged into it and tried as the one after, so
+    no writer undoes another.
+    """
     check_schema(entries, ALPHA_REGISTRY_SCHEMA, "entries")
     spark = entries.sparkSession
-    stored = load_log(spark, path, ALPHA_REGISTRY_SCHEMA + ", version INT")
-    version = (stored.agg(F.max("version").alias("v")).first()["v"] or 0) + 1
-    merged = upsert(load_alpha_registry(spark, path), entries)
-    merged.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
-    return load_alpha_registry(spark, path)
+    for _ in range(attempts):
+        known = versions(spark, path)
+        latest = max(known, default=0)
+        merged = upsert(_stored(spark, list(known.values())[-1:], ALPHA_REGISTRY_SCHEMA, path), entries)
+        if commit_version(spark, stage_version(merged, path), path, latest + 1):
+            return load_alpha_registry(spark, path)
+    raise RuntimeError(f"{path} was changed by other writers {attempts} times")
 
 
 def alpha_entries(summary: DataFrame, half_life: DataFrame, *, stage: str = "candidate", updated_at_utc: str | None = None) -> DataFrame:

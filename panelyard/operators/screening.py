@@ -22,13 +22,13 @@ from panelyard.operators.evaluation import align, compute_ic_summary, compute_ra
 from panelyard.operators.gram import complete_covariance, correlations, inflation, series_means
 
 
-def monotonicity_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None) -> DataFrame:
+def monotonicity_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None, validate: bool = True) -> DataFrame:
     """Pooled mean label of equal-count buckets per factor: rank correlation with the bucket, and spread.
 
     Buckets cut the row number (ties by asset) of each date at equal steps; dates on which the
     factor is constant take no part. This is not the bucketing of the quantile returns.
     """
-    pairs = align(factors, labels).where("x is not null and y is not null")
+    pairs = align(factors, labels, validate=validate).where("x is not null and y is not null")
     keys = ["date", "factor"]
     order = F.struct(F.col("x"), F.col("asset"))
     ranked = with_ranks(pairs, keys, order, minimum="__k", size="__n", max_group=max_group)
@@ -43,9 +43,11 @@ def monotonicity_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: in
     )
 
 
-def univariate_factor_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None) -> DataFrame:
+def univariate_factor_stats(factors: DataFrame, labels: DataFrame, *, n_quantiles: int = 5, max_group: int | None = None, rank_ic: DataFrame | None = None) -> DataFrame:
+    """Coverage, rank IC statistics and pooled monotonicity per factor; ``rank_ic`` of the same pairs, if known, isn't taken again."""
+    rank_ic = compute_rank_ic(factors, labels, max_group=max_group, validate=False) if rank_ic is None else rank_ic
     coverage = factors.groupBy("factor").agg(F.avg(clean("value").isNotNull().cast("double")).alias("coverage"))
-    ic = compute_ic_summary(compute_rank_ic(factors, labels, max_group=max_group, validate=False), value_col="rank_ic", by=("factor",)).select(
+    ic = compute_ic_summary(rank_ic, value_col="rank_ic", by=("factor",)).select(
         "factor", F.col("mean").alias("rank_ic_mean"), F.col("std").alias("rank_ic_std"), F.col("ic_ir").alias("rank_ic_ir"),
         F.col("t_stat").alias("rank_ic_t_stat"),
     )

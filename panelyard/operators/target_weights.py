@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,26 @@ class Construction:
 
 
 def executable_mask(signal: DataFrame, universe: DataFrame, tradability: DataFrame, *, trade_when_not_tradable: bool = False) -> DataFrame:
-    """Signal with both masks; executable = in universe, tradable (or overridden), signal present."""
-    merged = (
-        signal.select("date", "asset", clean("signal_value").alias("signal_value"))
-        .join(universe.select("date", "asset", "in_universe"), ["date", "asset"])
-        .join(tradability.select("date", "asset", "is_tradable"), ["date", "asset"])
+    """Signal with both masks; executable = in universe, tradable (or overridden), signal present.
+
+    The three tables meet one to one in a single exchange by (date, asset), which also counts: a key that is repeated in
+    any of them raises when the result is computed.
+    """
+    columns = {"signal": (signal, clean("signal_value")), "universe": (universe, flag("in_universe")), "tradability": (tradability, flag("is_tradable"))}
+    rows = reduce(DataFrame.unionByName, [
+        df.select("date", "asset", *[(c if n == name else F.lit(None)).cast("double" if n == "signal" else "boolean").alias(n) for n, (_, c) in columns.items()], F.lit(name).alias("table"))
+        for name, (df, _) in columns.items()
+    ])
+    counts = {f"n_{n}": F.count_if(F.col("table") == n) for n in columns}
+    met = rows.where("date is not null and asset is not null").groupBy("date", "asset").agg(
+        *[F.max(n).alias(n) for n in columns], *[c.alias(n) for n, c in counts.items()]
     )
-    tradable = F.lit(True) if trade_when_not_tradable else flag("is_tradable")
-    return merged.select(
-        "date", "asset", "signal_value", flag("in_universe").alias("in_universe"), flag("is_tradable").alias("is_tradable"),
-        (flag("in_universe") & tradable & F.col("signal_value").isNotNull()).alias("is_executable"),
+    once = F.raise_error(F.concat(F.lit("signal, universe and tradability must be one to one, repeated: "), F.col("date").cast("string"), F.lit(" "), F.col("asset"))).cast("boolean")
+    met = met.where(F.when(F.greatest(*counts) > 1, once).otherwise(F.least(*counts) == 1))
+    tradable = F.lit(True) if trade_when_not_tradable else F.col("tradability")
+    return met.select(
+        "date", "asset", F.col("signal").alias("signal_value"), F.col("universe").alias("in_universe"), F.col("tradability").alias("is_tradable"),
+        (F.col("universe") & tradable & F.col("signal").isNotNull()).alias("is_executable"),
     )
 
 

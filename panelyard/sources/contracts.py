@@ -8,6 +8,7 @@ panels reduce to key uniqueness here.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,16 @@ def require_unique(df: DataFrame, key: Sequence[str], table: str) -> None:
     require_rules(df, {}, table, key)
 
 
+def require_unique_tables(tables: Mapping[str, DataFrame], key: Sequence[str]) -> None:
+    """``require_unique`` of several tables with the same key, in one pass over all."""
+    parts = [df.select(F.lit(i).alias("__table"), *key) for i, df in enumerate(tables.values())]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("__table", *key).agg((F.count(F.lit(1)) - 1).alias("n"))
+    broken = counted.groupBy("__table").agg(F.sum("n").alias("n")).where("n > 0").collect()  # a row a table
+    if broken:
+        first = min(broken, key=lambda r: r["__table"])
+        raise ValueError(f"{list(tables)[first['__table']]} breaks its contract: duplicate_key={first['n']}")
+
+
 def price_violations(df: DataFrame) -> DataFrame:
     require_columns(df, ("date", "asset", "close"), "prices")
     rules = {

@@ -133,7 +133,7 @@ def test_ridge_is_applied_through_the_workflow_step(spark):
     df, _ = exposed(spark)
     masks = {"universe": df.select("date", "asset", F.lit(True).alias("in_universe")), "tradability": df.select("date", "asset", F.lit(True).alias("is_tradable"))}
     run = lambda ridge: [r[0] for r in prepare_signals(
-        df.select("date", "asset", "factor", "value"), masks, exposures=df, neutralization=Neutralization(industry_col=None, ridge=ridge)
+        df.select("date", "asset", "factor", "value"), masks, exposures=df, neutralization=Neutralization(size_col="size_exposure", beta_col="beta_exposure", ridge=ridge)
     ).orderBy("asset").select("value").collect()]
     plain, strong = run(1e-8), run(100.0)
     assert None not in strong and max(abs(a - b) for a, b in zip(plain, strong, strict=True)) > 1e-3
@@ -159,3 +159,20 @@ def test_no_panel_is_moved_on_a_date_alone(spark):
         assert "SortMergeJoin" not in exchanges(splits.with_fold(factors, folds))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_masks_and_signal_meet_one_to_one(spark):
+    from panelyard.operators.target_weights import executable_mask
+
+    keys = [(day(1), "a"), (day(1), "b"), (day(2), "a")]
+    signal = spark.createDataFrame([(*k, 1.0) for k in keys], "date date, asset string, signal_value double")
+    universe = spark.createDataFrame([(*k, True) for k in keys[:2]] + [(day(9), "z", None)], "date date, asset string, in_universe boolean")
+    tradable = spark.createDataFrame([(*k, None if k[1] == "b" else True) for k in keys], "date date, asset string, is_tradable boolean")
+    rows = sorted(map(tuple, executable_mask(signal, universe, tradable).collect()))
+    assert rows == [(day(1), "a", 1.0, True, True, True), (day(1), "b", 1.0, True, False, False)]
+    assert all(r["is_executable"] for r in executable_mask(signal, universe, tradable, trade_when_not_tradable=True).collect())
+    tables = [signal, universe, tradable]
+    for i in range(3):
+        twice = [t.unionByName(t.limit(1)) if j == i else t for j, t in enumerate(tables)]
+        with pytest.raises(Exception, match="one to one"):
+            executable_mask(*twice).collect()

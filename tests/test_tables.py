@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import day, factor_table, panel, random_prices
-from panelyard.functions.storage import materialize, scratch_dir
+from panelyard.functions.storage import commit_version, materialize, scratch_dir, stage_version, versions
 from panelyard.operators import registry as reg
 from panelyard.plans.ingest import build_research_inputs, standardize_raw_tables, write_standard_tables
 from panelyard.sources import contracts as ct
@@ -140,3 +140,50 @@ def test_materialized_table_survives_its_source(spark):
     stored = materialize(df)
     assert "parquet" in stored._jdf.queryExecution().executedPlan().toString().lower()
     assert stored.schema == df.schema and stored.count() == 2
+
+
+def test_two_writers_at_once_lose_and_double_nothing(spark, monkeypatch):
+    """Another job commits between the reading of the latest version and the commit of the next one."""
+    path = f"{scratch_dir(spark)}/registry_race_{id(spark)}"
+    entry = lambda name, stage: spark.createDataFrame([(name, stage)], "alpha_id string, lifecycle_stage string").select(
+        *[(F.col(f.name) if f.name in ("alpha_id", "lifecycle_stage") else F.lit(None)).cast(f.dataType).alias(f.name) for f in reg._typed(reg.ALPHA_REGISTRY_SCHEMA).fields]
+    )
+    reg.upsert_alpha_registry(entry("a", "old"), path)
+    stage, between = reg.stage_version, [entry("b", "other writer"), entry("a", "other writer")]
+
+    def interrupted(df, where):
+        staged = stage(df, where)
+        if between:
+            other = between.pop()
+            reg.upsert_alpha_registry(other, path)
+        return staged
+
+    monkeypatch.setattr(reg, "stage_version", interrupted)
+    out = reg.upsert_alpha_registry(entry("c", "mine"), path)
+    assert sorted(map(tuple, out.select("alpha_id", "lifecycle_stage").collect())) == [("a", "other writer"), ("b", "other writer"), ("c", "mine")]
+    assert list(versions(spark, path)) == [1, 2, 3, 4]
+
+
+def test_appends_at_once(spark, monkeypatch):
+    path = f"{scratch_dir(spark)}/trials_race_{id(spark)}"
+    row = reg.trial_rows(spark.createDataFrame([("f", 0.5)], "factor_name string, mean_ic double"), experiment_name="e")
+    stage, others = reg.stage_version, [2]
+
+    def interrupted(df, where):
+        staged = stage(df, where)
+        if others.pop() if others else 0:
+            reg.append_trial_log(row, path)
+            reg.append_trial_log(row, path)
+        return staged
+
+    monkeypatch.setattr(reg, "stage_version", interrupted)
+    reg.append_trial_log(row, path)
+    assert reg.load_trial_log(spark, path).count() == 3 and list(versions(spark, path)) == [1, 2, 3]
+
+
+def test_a_version_is_committed_once(spark):
+    path = f"{scratch_dir(spark)}/commits_{id(spark)}"
+    first, second = (stage_version(spark.range(n), path) for n in (1, 2))
+    assert versions(spark, path) == {}
+    assert commit_version(spark, first, path, 1) and not commit_version(spark, second, path, 1) and commit_version(spark, second, path, 2)
+    assert [spark.read.parquet(f).count() for f in versions(spark, path).values()] == [1, 2]
