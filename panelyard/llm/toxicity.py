@@ -17,7 +17,6 @@ score alike; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -166,6 +165,20 @@ def _worst_of(scores: np.ndarray, lengths: list[int], n: int = WINDOW) -> tuple[
     return best, place
 
 
+def _numbered(labelled: dict[str, int]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Distinct words in order, the numbers of each document's words, and which are toxic; documents without words are left out."""
+    numbers, docs, toxic = _Numbers(), [], []
+    for text, y in labelled.items():
+        ids = np.fromiter(map(numbers.__getitem__, words_of(text)), np.int32)
+        if len(ids):
+            docs.append(ids)
+            toxic.append(y == 1)
+    both = sorted(numbers)
+    place = np.empty(len(both), np.int32)
+    place[[numbers[w] for w in both]] = np.arange(len(both))
+    return both, [place[ids] for ids in docs], np.array(toxic, bool)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int = 300, rounds: int = 6, word_steps: int = 150, vocabulary: int = 20_000, mined: int = 2_000) -> Model | None:
     """A model of labelled texts; None if one label is missing.
 
@@ -174,29 +187,28 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
     tells which.
     """
     rng = np.random.default_rng(seed)
-    labelled = dict(zip(texts, labels, strict=True))  # copies count once
-    docs = [(w, y) for w, y in ((words_of(t), y) for t, y in labelled.items()) if w]
-    if len({y for _, y in docs}) < 2:
+    both, docs, toxic = _numbered(dict(zip(texts, labels, strict=True)))  # copies count once
+    if len(set(toxic.tolist())) < 2:
         return None
-    seen = [Counter(), Counter()]
-    for ws, y in docs:
-        seen[y].update(set(ws))
-    both = sorted(set(seen[0]) | set(seen[1]))
-    counts = [(w, seen[0][w], seen[1][w]) for w in both]
-    repeated = next(c for least in (5, 3, 2, 1) if len(c := [c for c in counts if c[1] + c[2] >= least]) >= 2000 or least == 1)
+    seen = np.zeros((2, len(both)), np.int64)  # clean and toxic documents of each word
+    for ids, y in zip(docs, toxic.tolist(), strict=True):
+        seen[int(y), np.unique(ids)] += 1
+    number = seen.sum(0)
+    chosen = next(c for least in (5, 3, 2, 1) if len(c := np.flatnonzero(number >= least)) >= 2000 or least == 1)
+    repeated = [(both[i], int(seen[0, i]), int(seen[1, i])) for i in chosen]
     model = Model(_train_characters(rng, repeated, char_steps), net.init(rng, 2 * CHAR_HIDDEN + WORD_INPUT, WORD_HIDDEN), {})
-    frequent = sorted((c for c in counts if c[1] + c[2] >= 10), key=lambda c: (-c[1] - c[2], c[0]))[:vocabulary]
-    model.vocabulary = {c[0]: i + 1 for i, c in enumerate(frequent)}
+    frequent = np.flatnonzero(number >= 10)
+    frequent = frequent[np.argsort(-number[frequent], kind="stable")][:vocabulary]  # words are in order
+    model.vocabulary = {both[i]: n + 1 for n, i in enumerate(frequent.tolist())}
     p = model.words
     p["E"] = rng.normal(0, 0.1, (len(frequent) + 1, WORD_INPUT)).astype(np.float32)
     p["E"][0] = 0
 
-    distinct = {w: i for i, w in enumerate(both)}
     vectors = model.vectors(both)
     row = np.array([model.vocabulary.get(w, 0) for w in both])
-    padded = [np.resize(ids, max(WINDOW, len(ids))) for ids in (np.array([distinct[w] for w in ws], np.int32) for ws, _ in docs)]
+    padded = [np.resize(ids, max(WINDOW, len(ids))) for ids in docs]
+    del docs
     lengths, words = [len(ids) for ids in padded], np.concatenate(padded)
-    toxic = np.array([y for _, y in docs]) == 1
     starts = np.concatenate([np.arange(a, a + n - WINDOW + 1) for a, n, y in zip(np.cumsum([0, *lengths])[:-1].tolist(), lengths, toxic.tolist(), strict=True) if not y])
     suspect = model.suspicion(both)[words]
     scores = suspect[:len(words) - WINDOW + 1].copy()
@@ -209,7 +221,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
         own = np.arange(len(lengths))
         if turn:
             x = np.concatenate([vectors, p["E"][row]], axis=1)
-            model.inputs = np.stack([net.project(p, x, "f"), net.project(p, x, "b")], axis=1)
+            model.inputs = np.empty((0, 2, 3 * WORD_HIDDEN), np.float32)  # the old ones go first
+            model.inputs = np.empty((len(both), 2, 3 * WORD_HIDDEN), np.float32)
+            for k, d in enumerate("fb"):
+                model.inputs[:, k] = net.project(p, x, d)
+            del x
             own = np.concatenate([rng.permutation(np.flatnonzero(~toxic))[:mined], np.flatnonzero(toxic)])
             scores = model.window_scores(np.concatenate([padded[i] for i in own]))
         sizes = [lengths[i] for i in own]
