@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelyard.functions.groups import attach, date_axis, lower_bound
-from panelyard.sources.contracts import require_columns, require_rules, rule_counts
+from panelyard.functions.groups import attach_small, date_axis, lower_bound
+from panelyard.functions.storage import materialize
+from panelyard.sources.contracts import require_columns, rule_counts
 
 
 def time_split(df: DataFrame, *, train_end: str, test_start: str, val_start: str | None = None) -> DataFrame:
@@ -131,44 +132,107 @@ def overlapping(samples: DataFrame, test_samples: DataFrame) -> DataFrame:
     return out.where(F.col("__m").isNotNull() & _overlaps(F.col("__m.starts"), F.col("__m.ends"))).drop("__m")
 
 
-def _purged(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, embargo_periods: int, validate: bool, interval_cols: dict) -> DataFrame:
-    if embargo_periods < 0:
-        raise ValueError("embargo_periods must be >= 0")
-    frame = prepare_intervals(samples, **interval_cols)
-    axis = date_axis(frame.select(F.col("decision_date").alias("date")))
+#: test blocks that one word of a bit set tells apart
+_WORD = 62
+
+
+def _bits(groups: Sequence[int], n_groups: int) -> list[int]:
+    """Groups as a bit set of words."""
+    words = [0] * (-(-n_groups // _WORD))
+    for g in groups:
+        words[g // _WORD] |= 1 << g % _WORD
+    return words
+
+
+def _meet(a: Column, b: Column) -> Column:
+    return F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), lambda w: w != 0)
+
+
+def _dated_blocks(frame: DataFrame, n_groups: int, validate: bool) -> tuple[DataFrame, list[int]]:
+    """(decision_date, t, __g): dates numbered and dealt into contiguous blocks, as even as possible; the last number of each block.
+
+    One pass over the samples, to a row a date, finds the dates and what breaks a rule.
+    """
+    rules = interval_rules()
+    per_date = materialize(frame.groupBy("decision_date").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()]))
+    axis = date_axis(per_date.select(F.col("decision_date").alias("date")))
     if validate:
-        require_rules(frame, interval_rules(), "samples")
-        dates = axis.count()
-        if dates < n_groups:
-            raise ValueError(f"{n_groups} folds need as many decision dates, got {dates}")
-    n = axis.agg(F.max("t")).scalar()
-    # Contiguous blocks as even as possible: the first n % k blocks hold one date more.
-    axis = axis.withColumns({"__p": F.col("t") - 1, "__n": n}).withColumns(
-        {"__q": F.expr(f"__n div {n_groups}"), "__r": F.expr(f"__n % {n_groups}")}
-    )
-    block = F.expr("if(__p < __r * (__q + 1), __p div (__q + 1), __r + (__p - __r * (__q + 1)) div greatest(__q, 1))")
-    axis = axis.select(F.col("date").alias("decision_date"), "t", block.cast("int").alias("__g"))
+        found = per_date.agg(*[F.sum(n).alias(n) for n in rules]).first()
+        broken = sorted((n, found[n]) for n in rules if found[n])
+        if broken:
+            raise ValueError("samples breaks its contract: " + ", ".join(f"{n}={k}" for n, k in broken))
+    dates = axis.count()
+    if validate and dates < n_groups:
+        raise ValueError(f"{n_groups} folds need as many decision dates, got {dates}")
+    q, r = divmod(dates, n_groups)  # the first r blocks hold one date more
+    last = [min((g + 1) * q + min(g + 1, r), dates) for g in range(n_groups)]
+    p = "(t - 1)"
+    block = F.expr(f"if({p} < {r} * ({q} + 1), {p} div ({q} + 1), {r} + ({p} - {r} * ({q} + 1)) div greatest({q}, 1))")
+    return axis.select(F.col("date").alias("decision_date"), "t", block.cast("int").alias("__g")), last
+
+
+def _with_block_bits(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, validate: bool, interval_cols: dict) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Samples with t, their block __g and the bit set __met of blocks whose events they overlap; and the folds as bit sets.
+
+    A fold tests some blocks, so a sample overlaps its test events just if it overlaps those of one of its blocks: a role
+    in any number of folds follows from one bit set. The bits are found for the distinct pairs of event dates.
+    """
+    frame = prepare_intervals(samples, **interval_cols)
+    axis, last = _dated_blocks(frame, n_groups, validate)
     rows = frame.join(F.broadcast(axis), "decision_date")
+    days = rows.groupBy("__g", "event_start").agg(F.max("event_end").alias("event_end"))
+    spans = _as_arrays(merge_intervals(days, ["__g"]), ["__g"])
+    blocks = spans.agg(F.collect_list(F.struct("__g", "starts", "ends"))).scalar()  # a value of n_groups spans, for the pairs only
+    events = rows.select("event_start", "event_end").distinct().withColumn("__blocks", blocks)
+
+    def bits_of(word: int) -> Column:
+        """Bits of the blocks of one word whose test events the row's event overlaps."""
+        own = F.filter("__blocks", lambda b: F.floor(b["__g"] / _WORD) == word)
+        bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b["__g"] % _WORD)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, b: F.when(_overlaps(b["starts"], b["ends"]), bits.bitwiseOR(bit(b))).otherwise(bits))
+
+    met = [bits_of(w) for w in range(-(-n_groups // _WORD))]
+    masks = events.select("event_start", "event_end", F.array(*met).alias("__met"))
+    folds = samples.sparkSession.createDataFrame(
+        [(i, _bits(c, n_groups), max(last[g] for g in c)) for i, c in enumerate(combos)], "fold_id int, __tests array<long>, __last int"
+    )
+    return attach_small(rows, masks, ["event_start", "event_end"], "left"), folds, frame.columns
+
 
-    # Folds of every block (a literal of the combinations), and what each fold needs to know.
-    members: dict[int, list[int]] = {g: [] for g in range(n_groups)}
-    for fold_id, combo in enumerate(combos):
-        for g in combo:
-            members[g].append(fold_id)
-    folds_of = F.array(*[F.array(*[F.lit(f) for f in members[g]]) for g in range(n_groups)])
-    days = rows.groupBy("__g", "event_start").agg(F.max("event_end").alias("event_end"), F.max("t").alias("__t"))
-    test_days = days.select(F.explode(F.get(folds_of, F.col("__g"))).alias("fold_id"), "event_start", "event_end", "__t")
-    spans = _as_arrays(merge_intervals(test_days, ["fold_id"]), ["fold_id"])
-    ends = test_days.groupBy("fold_id").agg(F.max("__t").alias("last_t"))
-    folds = spans.join(ends, "fold_id").agg(F.collect_list(F.struct("fold_id", "starts", "ends", "last_t"))).scalar()
-    is_test = F.array_contains(F.get(folds_of, F.col("__g")), F.col("__f.fold_id"))
-    after = F.col("t") - F.col("__f.last_t")
-    role = (
-        F.when(is_test, "test").when(_overlaps(F.col("__f.starts"), F.col("__f.ends")), "purged")
+def _role(embargo_periods: int, n_groups: int) -> Column:
+    own = F.array(*[F.when(F.floor(F.col("__g") / _WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__g") % _WORD)).otherwise(0) for w in range(-(-n_groups // _WORD))])
+    after = F.col("t") - F.col("__last")
+    return (
+        F.when(_meet(own, F.col("__tests")), "test").when(F.coalesce(_meet(F.col("__met"), F.col("__tests")), F.lit(False)), "purged")
         .when((after > 0) & (after <= embargo_periods), "embargoed").otherwise("train")
     )
-    out = rows.withColumn("__folds", folds).withColumn("__f", F.explode("__folds"))
-    return out.select(F.col("__f.fold_id").alias("fold_id"), *frame.columns, role.alias("role"))
+
+
+def _check_embargo(embargo_periods: int) -> None:
+    if embargo_periods < 0:
+        raise ValueError("embargo_periods must be >= 0")
+
+
+def _purged(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, embargo_periods: int, validate: bool, interval_cols: dict) -> DataFrame:
+    """A row for every fold and sample: the samples are repeated here, as asked for, and nowhere before."""
+    _check_embargo(embargo_periods)
+    rows, folds, columns = _with_block_bits(samples, combos, n_groups, validate, interval_cols)
+    out = rows.crossJoin(F.broadcast(folds))  # a row a fold
+    return out.select("fold_id", *columns, _role(embargo_periods, n_groups).alias("role"))
+
+
+def _purged_counts(samples: DataFrame, combos: Sequence[tuple[int, ...]], n_groups: int, embargo_periods: int, validate: bool, interval_cols: dict) -> DataFrame:
+    """``purged_fold_summary`` of all folds from counted bit sets: samples are counted by date and bits before any fold is looked at."""
+    _check_embargo(embargo_periods)
+    rows, folds, _ = _with_block_bits(samples, combos, n_groups, validate, interval_cols)
+    counted = rows.groupBy("decision_date", "t", "__g", "__met").agg(F.count(F.lit(1)).alias("__k"))
+    by_role = counted.crossJoin(F.broadcast(folds)).select("fold_id", "decision_date", "__k", _role(embargo_periods, n_groups).alias("role"))
+    total = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("__k"))), F.lit(0)).cast("long")
+    test_date = F.when(F.col("role") == "test", F.col("decision_date"))
+    return by_role.groupBy("fold_id").agg(
+        total("train").alias("n_train"), total("test").alias("n_test"), total("purged").alias("n_purged"), total("embargoed").alias("n_embargoed"),
+        F.min(test_date).alias("test_start"), F.max(test_date).alias("test_end"),
+    )
 
 
 def purged_kfold_split(samples: DataFrame, *, n_splits: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
@@ -183,10 +247,7 @@ def purged_kfold_split(samples: DataFrame, *, n_splits: int, embargo_periods: in
 
 def combinatorial_purged_split(samples: DataFrame, *, n_groups: int, n_test_groups: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
     """As the purged K-fold, one fold per combination of test blocks; the embargo follows the last test date."""
-    if n_groups < 2:
-        raise ValueError("n_groups must be >= 2")
-    if not 0 < n_test_groups < n_groups:
-        raise ValueError("n_test_groups must be in [1, n_groups - 1]")
+    _check_groups(n_groups, n_test_groups)
     return _purged(samples, list(combinations(range(n_groups), n_test_groups)), n_groups, embargo_periods, validate, interval_cols)
 
 
@@ -203,13 +264,29 @@ def purged_fold_summary(splits: DataFrame) -> DataFrame:
     )
 
 
-def purged_validation_summary(samples: DataFrame, *, n_splits: int, embargo_periods: int = 0, **interval_cols) -> DataFrame:
-    return purged_fold_summary(purged_kfold_split(samples, n_splits=n_splits, embargo_periods=embargo_periods, **interval_cols))
+def purged_validation_summary(samples: DataFrame, *, n_splits: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
+    """Sizes and test dates of the purged folds; the samples aren't repeated."""
+    if n_splits < 2:
+        raise ValueError("n_splits must be >= 2")
+    return _purged_counts(samples, [(g,) for g in range(n_splits)], n_splits, embargo_periods, validate, interval_cols)
+
+
+def combinatorial_validation_summary(samples: DataFrame, *, n_groups: int, n_test_groups: int, embargo_periods: int = 0, validate: bool = True, **interval_cols) -> DataFrame:
+    """Sizes and test dates of all combinatorial folds; the samples aren't repeated."""
+    _check_groups(n_groups, n_test_groups)
+    return _purged_counts(samples, list(combinations(range(n_groups), n_test_groups)), n_groups, embargo_periods, validate, interval_cols)
+
+
+def _check_groups(n_groups: int, n_test_groups: int) -> None:
+    if n_groups < 2:
+        raise ValueError("n_groups must be >= 2")
+    if not 0 < n_test_groups < n_groups:
+        raise ValueError("n_test_groups must be in [1, n_groups - 1]")
 
 
 def with_fold(df: DataFrame, folds: DataFrame, role: str = "test", carry: Sequence[str] = ()) -> DataFrame:
     """Rows of a panel repeated for each fold whose ``role`` dates contain them, with columns of the fold table to carry.
 
-    The fold table has one row per date and fold that overlaps it.
+    The fold table has one row per date and fold that overlaps it; it is written and counted before it is broadcast.
     """
-    return attach(df, folds.where(F.col("role") == role).select("date", "fold_id", *carry), ["date"], "inner")
+    return attach_small(df, folds.where(F.col("role") == role).select("date", "fold_id", *carry), ["date"], "inner")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from datetime import timedelta
 from itertools import combinations
 
 import numpy as np
@@ -134,3 +135,31 @@ def test_weights_fall_back_to_uniform(spark):
     assert c == [0.5, 0.5]
     t = frame(sw.time_decay_weights(df, half_life_periods=1, reference_date="2024-01-01"), "sample_id")["weight_time_decay"].tolist()
     assert t == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("groups, tests", [(6, 3), (12, 6), (70, 1)])
+def test_counts_from_bit_sets_equal_counted_rows(spark, groups, tests):
+    """Also for more blocks than a word has bits, and for 924 folds."""
+    rng = np.random.default_rng(groups)
+    rows = [(i, day(int(rng.integers(0, 90))), int(rng.integers(0, 6)), int(rng.integers(0, 9))) for i in range(250)] + [(1000 + i, day(i), 0, 1) for i in range(90)]
+    samples = spark.createDataFrame([(i, d, d + timedelta(days=a), d + timedelta(days=a + b)) for i, d, a, b in rows], "sample_id int, date date, event_start date, event_end date")
+    counted = splits.combinatorial_validation_summary(samples, n_groups=groups, n_test_groups=tests, embargo_periods=2).orderBy("fold_id").collect()
+    combos = list(combinations(range(groups), tests))
+    assert len(counted) == len(combos)
+    some = combos if groups < 12 else [combos[i] for i in range(0, len(combos), 83)]
+    want = purged(frame(samples), some, groups, 2)
+    by_fold = {c.fold_id: c for c in counted}
+    for n, combo in enumerate(some):
+        roles = [r for (f, _), r in want.items() if f == n]
+        c = by_fold[combos.index(combo)]
+        assert (c.n_train, c.n_test, c.n_purged, c.n_embargoed) == tuple(roles.count(r) for r in ("train", "test", "purged", "embargoed"))
+    if groups == 6:
+        long = splits.purged_fold_summary(splits.combinatorial_purged_split(samples, n_groups=groups, n_test_groups=tests, embargo_periods=2)).orderBy("fold_id").collect()
+        assert [tuple(r) for r in long] == [tuple(r) for r in counted]
+
+
+def test_summary_repeats_no_samples(spark, events):
+    """Samples are counted by date and bits before any fold is looked at."""
+    plan = splits.combinatorial_validation_summary(events, n_groups=6, n_test_groups=3)._jdf.queryExecution().optimizedPlan().toString()
+    cross = plan.index("Join Cross") if "Join Cross" in plan else plan.index("Join Inner")
+    assert plan.index("Aggregate [decision_date", cross) > cross and "Generate" not in plan
