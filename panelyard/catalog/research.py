@@ -13,9 +13,9 @@ from panelyard.catalog.panels import (
 )
 from panelyard.catalog.portfolio import SPEC, legs_cte, plan_cte, rank_weights_cte, returns_cte, turnover_cte, valid_cte
 from panelyard.catalog.registry import query
-from panelyard.catalog.screening import alpha_ctes, alpha_panel, compose_ctes, mono_ctes, weight_ctes
+from panelyard.catalog.screening import BREADTH, alpha_ctes, alpha_panel, compose_ctes, corr_ctes, ic_t_cte, inflation_ctes, mono_ctes, tail_ctes, weight_ctes
 from panelyard.catalog.transforms import PREP, RULES
-from panelyard.catalog.validation import WF
+from panelyard.catalog.validation import WF, purge_ctes
 from panelyard.functions.columns import rounded
 from panelyard.functions.storage import materialize, scratch_dir
 from panelyard.operators import composite as cp
@@ -348,10 +348,18 @@ cte("prep_gate1", "prep1", "SELECT * FROM prep1 QUALIFY count(value) OVER (PARTI
 cte("q9", "prep_gate1", "SELECT * FROM prep_gate1")
 pair_ctes("q9", "q9", "fwd1")
 mono_ctes("q9", "q9")
+ic_t_cte("q9_t", "q9_ic")
+tail_ctes("q9_t", "q9_t")
 cte(
-    "q9_m", "q9_uni q9_ic q9 fwd1 uni",
+    "q9_iv", "px",
+    "SELECT row_number() OVER () AS sample_id, date AS decision_date, date AS event_start, greatest(coalesce(lead(date) OVER (PARTITION BY asset ORDER BY date), date + 1), date) AS event_end FROM px",
+)
+purge_ctes("q9_folds", [(g,) for g in range(5)], 5, 1, "q9_iv")
+cte("q9_least", "q9_folds", "SELECT min(a) AS n_train, min(b) AS n_test FROM (SELECT count(*) FILTER (role = 'train') AS a, count(*) FILTER (role = 'test') AS b FROM q9_folds GROUP BY fold_id)")
+cte(
+    "q9_m", "q9_uni q9_ic q9 fwd1 uni q9_t_p q9_least",
     """SELECT u.factor, i.r AS mean_rank_ic, i.ir AS ic_ir, cov AS mean_coverage, trd AS mean_tradable_ratio, CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN u.coverage < 0.3 OR abs_monotonicity < 0.1 THEN 'weak_factor' ELSE 'candidate_factor' END AS screening_decision,
-    cast(0 as double) AS adjusted_pvalue, 1 AS min_fold_train, 1 AS min_fold_test FROM q9_uni u, (SELECT avg(rank_ic) AS r, avg(ic) / stddev_samp(ic) AS ir FROM q9_ic) i,
+    (SELECT max(least(p, 1)) FROM q9_t_p) AS adjusted_pvalue, (SELECT n_train FROM q9_least) AS min_fold_train, (SELECT n_test FROM q9_least) AS min_fold_test FROM q9_uni u, (SELECT avg(rank_ic) AS r, avg(ic) / stddev_samp(ic) AS ir FROM q9_ic) i,
     (SELECT avg(nb / nullif(cast(nf as double), 0)) AS cov FROM (SELECT coalesce(f.date, y.date) AS date, count(f.asset) AS nf, count(*) FILTER (f.asset IS NOT NULL AND y.asset IS NOT NULL) AS nb
       FROM (SELECT * FROM q9 WHERE value IS NOT NULL) f FULL JOIN (SELECT * FROM fwd1 WHERE value IS NOT NULL) y ON f.date = y.date AND f.asset = y.asset GROUP BY 1)) c,
     (SELECT avg(tr) AS trd FROM (SELECT count(*) FILTER (is_tradable) / cast(count(DISTINCT asset) as double) AS tr FROM uni GROUP BY date)) t""",
@@ -362,13 +370,13 @@ Q9_THRESHOLDS = vd.SingleFactorThresholds(min_coverage=0.3, min_tradable_ratio=0
 
 @query(
     "single_factor_workflow",
-    sql_with("q9_m", verdict_sql("q9_m", Q9_BLOCKERS, SINGLE_WARNINGS, SINGLE_EXTERNAL, "factor, round(mean_rank_ic, 6) AS mean_rank_ic, round(ic_ir, 5) AS ic_ir, round(mean_coverage, 7) AS mean_coverage, round(mean_tradable_ratio, 7) AS mean_tradable_ratio, screening_decision")),
+    sql_with("q9_m", verdict_sql("q9_m", Q9_BLOCKERS, SINGLE_WARNINGS, SINGLE_EXTERNAL, "factor, round(mean_rank_ic, 6) AS mean_rank_ic, round(ic_ir, 5) AS ic_ir, round(mean_coverage, 7) AS mean_coverage, round(mean_tradable_ratio, 7) AS mean_tradable_ratio, screening_decision, round(adjusted_pvalue, 6) AS adjusted_pvalue, min_fold_train, min_fold_test")),
 )
 def _(spark, d):
     spec = wk.SingleFactorSpec(factor_fn=lambda p: reversal(p, window=2), horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(**PREP), thresholds=Q9_THRESHOLDS, embargo_periods=1)
     out = wk.run_single_factor_workflow(px(spark, d), spec, **inputs(spark, d))["verdict"]
-    cols = ("factor", "mean_rank_ic", "ic_ir", "mean_coverage", "mean_tradable_ratio", "screening_decision", "blocking_issues", "warnings", "verdict")
-    return rounded(out.select(*cols), 7, mean_rank_ic=6, ic_ir=5)
+    cols = ("factor", "mean_rank_ic", "ic_ir", "mean_coverage", "mean_tradable_ratio", "screening_decision", "adjusted_pvalue", "min_fold_train", "min_fold_test", "blocking_issues", "warnings", "verdict")
+    return rounded(out.select(*cols), 7, mean_rank_ic=6, ic_ir=5, adjusted_pvalue=6)
 
 
 @query("single_factor_workflow_neutralized_walk_forward")
@@ -385,7 +393,7 @@ def _(spark, d):
     return rounded(wk.run_single_factor_workflow(px(spark, d), spec, exposures=expo, **given)["verdict"], 6)
 
 
-# Composite workflow, followed step by step in SQL (without the VIF gate).
+# Composite workflow, followed step by step in SQL.
 # No winsorizing here: clipped values tie, and ties of a weighted sum are decided by float noise.
 cte(
     "q10_prep", "masked",
@@ -394,9 +402,12 @@ cte(
 )
 pair_ctes("q10", "q10_prep", "fwd1")
 mono_ctes("q10", "q10_prep")
+corr_ctes("q10_prep", "q10_prep")
+inflation_ctes("q10", "q10_prep", "SELECT * FROM q10_prep", 3)
 cte(
-    "q10_dec", "q10_uni",
-    "SELECT *, CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.2 OR abs_monotonicity < 0.1 THEN 'weak_factor' ELSE 'candidate_factor' END AS decision FROM q10_uni",
+    "q10_dec", "q10_uni q10_prep_max q10_vif",
+    """SELECT u.*, CASE WHEN rank_ic_mean IS NULL OR abs_monotonicity IS NULL THEN 'needs_review' WHEN coverage < 0.2 OR abs_monotonicity < 0.1 THEN 'weak_factor'
+    WHEN max_abs_corr > 0.9 OR vif > 10 THEN 'redundant_factor' ELSE 'candidate_factor' END AS decision FROM q10_uni u LEFT JOIN q10_prep_max m ON m.factor = u.factor LEFT JOIN q10_vif v ON v.factor = u.factor""",
 )
 cte(
     "q10_sel", "q10_dec q10_prep",
@@ -430,7 +441,7 @@ _Q10 = dict(mean_rank_ic=6, ic_ir=5, effective_breadth=6, avg_abs_corr=6, adv_fl
 )
 def _(spark, d):
     spec = wk.CompositeSpec(
-        horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(winsorize=False, min_group_size=5, min_coverage=0.2), screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=1.0, max_vif=1e12),
+        horizon=1, universe_rules=RULES, preprocess=wk.Preprocess(winsorize=False, min_group_size=5, min_coverage=0.2), screening=dict(min_coverage=0.2, min_abs_monotonicity=0.1, max_pairwise_corr=0.9, max_vif=10.0),
         composite_lookback=12, composite_min_history=5, portfolio=wk.pf.Strategy(long_top_k=15, short_bottom_k=10, weighting_method="rank"),
         portfolio_value=1000000.0, adv_window=6, costs=OPTS,
     )
@@ -442,6 +453,6 @@ def _(spark, d):
     return rounded(out.select("n_selected_factors", *_Q10, "blocking_issues", "warnings", "verdict"), 6, **_Q10)
 
 
-@query("alpha_pool_report")
+@query("alpha_pool_report", BREADTH)
 def _(spark, d):
-    return rounded(cp.alpha_pool_diagnostics(alpha_panel(spark, d))["breadth_summary"])
+    return rounded(cp.alpha_pool_diagnostics(alpha_panel(spark, d))["breadth_summary"], 7, effective_breadth=6)

@@ -78,12 +78,18 @@ def _(spark, d):
     return rounded(sc.univariate_factor_stats(pool(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d)), 8, **_UNI_DIGITS)
 
 
-cte(
-    "pool_corr", "pool",
-    f"""SELECT n.a, n.b, corr FROM (SELECT x.factor AS a, y.factor AS b FROM (SELECT DISTINCT factor FROM pool) x JOIN (SELECT DISTINCT factor FROM pool) y ON x.factor < y.factor) n LEFT JOIN (
-    SELECT p.factor AS a, q.factor AS b, {corr_sql('p.value', 'q.value')} AS corr FROM pool p JOIN pool q ON p.date = q.date AND p.asset = q.asset AND p.factor < q.factor
-    WHERE p.value IS NOT NULL AND q.value IS NOT NULL GROUP BY 1, 2) c ON n.a = c.a AND n.b = c.b""",
-)
+def corr_ctes(prefix: str, source: str) -> None:
+    """<prefix>_corr (a, b, corr) of all pairs of factors, and <prefix>_max (factor, max_abs_corr)."""
+    cte(
+        f"{prefix}_corr", source,
+        f"""SELECT n.a, n.b, corr FROM (SELECT x.factor AS a, y.factor AS b FROM (SELECT DISTINCT factor FROM {source}) x JOIN (SELECT DISTINCT factor FROM {source}) y ON x.factor < y.factor) n LEFT JOIN (
+        SELECT p.factor AS a, q.factor AS b, {corr_sql('p.value', 'q.value')} AS corr FROM {source} p JOIN {source} q ON p.date = q.date AND p.asset = q.asset AND p.factor < q.factor
+        WHERE p.value IS NOT NULL AND q.value IS NOT NULL GROUP BY 1, 2) c ON n.a = c.a AND n.b = c.b""",
+    )
+    cte(f"{prefix}_max", f"{prefix}_corr", f"SELECT factor, max(abs(corr)) AS max_abs_corr FROM (SELECT a AS factor, corr FROM {prefix}_corr UNION ALL SELECT b, corr FROM {prefix}_corr) GROUP BY 1")
+
+
+corr_ctes("pool", "pool")
 
 
 @query("pairwise_redundancy", sql_with("pool_corr", "SELECT a AS factor_a, b AS factor_b, round(corr, 7) AS corr FROM pool_corr"))
@@ -91,9 +97,6 @@ def _(spark, d):
     return rounded(sc.pairwise_redundancy(pool(spark, d))["pairs"], 7)
 
 
-cte("pool_max", "pool_corr", "SELECT factor, max(abs(corr)) AS max_abs_corr FROM (SELECT a AS factor, corr FROM pool_corr UNION ALL SELECT b, corr FROM pool_corr) GROUP BY 1")
-
-
 @query("max_pairwise_correlation", sql_with("pool_max", "SELECT factor, round(max_abs_corr, 7) AS max_abs_corr FROM pool_max"))
 def _(spark, d):
     return rounded(sc.pairwise_redundancy(pool(spark, d))["max_abs_corr"], 7)
@@ -270,10 +273,31 @@ def _(spark, d):
     return rounded(sc.effective_trial_count(sc.pairwise_correlation(pool(spark, d))), 7)
 
 
-@query("rank_ic_pvalues")
+def tail_ctes(name: str, source: str, points: int = 20_000) -> None:
+    """Two-sided Student tail <name>_p of rows (factor, t, df): Simpson's rule for cos^(df - 1) after t = sqrt(df) tan(theta)."""
+    area = lambda low: f"sum(w * pow(cos({low} + (pi() / 2 - {low}) * i / {points}), df - 1)) * (pi() / 2 - {low})"
+    cte(
+        f"{name}_p", source,
+        f"""SELECT factor, least(1, far / whole) AS p FROM (SELECT factor, {area("edge")} AS far, {area("0")} AS whole FROM (SELECT factor, df, atan(abs(t) / sqrt(df)) AS edge FROM {source}) a,
+        (SELECT i, CASE WHEN i IN (0, {points}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT cast(unnest(range({points} + 1)) as double) AS i)) g GROUP BY factor, edge)""",
+    )
+
+
+def ic_t_cte(name: str, ic: str) -> None:
+    cte(name, ic, f"SELECT factor, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) * sqrt(cast(count(rank_ic) as double)) AS t, cast(count(rank_ic) - 1 as double) AS df FROM {ic} GROUP BY factor")
+
+
+ic_t_cte("sig_t", "sig_ic")
+tail_ctes("sig_t", "sig_t")
+
+
+@query(
+    "rank_ic_pvalues",
+    sql_with("sig_t sig_t_p", "SELECT t.factor, round(t, 5) AS t_stat, cast(df + 1 as bigint) AS n_obs, round(p, 6) AS p_value, round(least(3 * p, 1), 6) AS adjusted_p_value FROM sig_t t JOIN sig_t_p p ON t.factor = p.factor"),
+)
 def _(spark, d):
     ic = ev.compute_rank_ic(signals(spark, d), fwd1(spark, d), max_group=assets_per_date(spark, d))
-    return sc.ic_pvalues(ev.compute_ic_summary(ic, value_col="rank_ic", by=("factor",)), trial_count=3)
+    return rounded(sc.ic_pvalues(ev.compute_ic_summary(ic, value_col="rank_ic", by=("factor",)), trial_count=3), 6, t_stat=5)
 
 
 # Composite signals.
@@ -385,14 +409,14 @@ def _(spark, d):
     return rounded(cp.alpha_correlations(alpha_panel(spark, d)), 7)
 
 
-@query(
-    "breadth_summary",
-    sql_with(
+BREADTH = sql_with(
         "acorr",
         """SELECT cast(6 as bigint) AS n_alphas, round(avg(abs(corr)), 7) AS avg_abs_corr, round(36 / (6 + 2 * sum(corr * corr)), 6) AS effective_breadth, round(6 / (6 + 2 * sum(corr * corr)), 7) AS breadth_ratio,
         round(sqrt(36 / (6 + 2 * sum(corr * corr))), 7) AS ir_multiplier_bound FROM acorr""",
-    ),
-)
+    )
+
+
+@query("breadth_summary", BREADTH)
 def _(spark, d):
     return rounded(cp.breadth_summary(cp.alpha_correlations(alpha_panel(spark, d))), 7, effective_breadth=6)
 
@@ -442,6 +466,7 @@ def learning_table(spark, d):
     return materialize(imp.contiguous_folds(wide.join(label, ["date", "asset"]).dropna(), order=["date", "asset"]))
 
 
+# no SQL for fitted models: tests hold them against a linear model with known answers
 @query("mdi_importance")
 def _(spark, d):
     df = learning_table(spark, d)

@@ -93,25 +93,25 @@ def _(spark, d):
     return splits.overlapping(iv, test).select("sample_id")
 
 
-def purge_ctes(name: str, combos: list[tuple[int, ...]], groups: int, embargo: int) -> None:
+def purge_ctes(name: str, combos: list[tuple[int, ...]], groups: int, embargo: int, iv: str = "iv") -> None:
     listed = ", ".join(f"({f}, {g})" for f, combo in enumerate(combos) for g in combo)
     cte(
-        f"{name}_axis", "iv",
+        f"{name}_axis", iv,
         f"""SELECT decision_date, t, CASE WHEN t - 1 < r * (q + 1) THEN (t - 1) // (q + 1) ELSE r + (t - 1 - r * (q + 1)) // q END AS g FROM (
-        SELECT decision_date, row_number() OVER (ORDER BY decision_date) AS t, count(*) OVER () // {groups} AS q, count(*) OVER () % {groups} AS r FROM (SELECT DISTINCT decision_date FROM iv))""",
+        SELECT decision_date, row_number() OVER (ORDER BY decision_date) AS t, count(*) OVER () // {groups} AS q, count(*) OVER () % {groups} AS r FROM (SELECT DISTINCT decision_date FROM {iv}))""",
     )
     cte(f"{name}_combo", "", f"SELECT * FROM (VALUES {listed}) AS c(fold_id, g)")
     cte(
-        f"{name}_fold", f"iv {name}_axis {name}_combo",
-        f"SELECT c.fold_id, i.event_start, i.event_end, a.t FROM iv i JOIN {name}_axis a ON i.decision_date = a.decision_date JOIN {name}_combo c ON a.g = c.g",
+        f"{name}_fold", f"{iv} {name}_axis {name}_combo",
+        f"SELECT c.fold_id, i.event_start, i.event_end, a.t FROM {iv} i JOIN {name}_axis a ON i.decision_date = a.decision_date JOIN {name}_combo c ON a.g = c.g",
     )
     cte(f"{name}_span", f"{name}_fold", f"SELECT fold_id, event_start, max(event_end) AS event_end FROM {name}_fold GROUP BY 1, 2")
     cte(
-        name, f"iv {name}_axis {name}_combo {name}_fold {name}_span",
+        name, f"{iv} {name}_axis {name}_combo {name}_fold {name}_span",
         f"""SELECT f.fold_id, i.sample_id, i.decision_date, CASE WHEN c.g IS NOT NULL THEN 'test'
         WHEN EXISTS (SELECT 1 FROM {name}_span s WHERE s.fold_id = f.fold_id AND s.event_start <= i.event_end AND i.event_start <= s.event_end) THEN 'purged'
         WHEN a.t > last_t AND a.t <= last_t + {embargo} THEN 'embargoed' ELSE 'train' END AS role
-        FROM iv i JOIN {name}_axis a ON i.decision_date = a.decision_date CROSS JOIN (SELECT fold_id, max(t) AS last_t FROM {name}_fold GROUP BY 1) f
+        FROM {iv} i JOIN {name}_axis a ON i.decision_date = a.decision_date CROSS JOIN (SELECT fold_id, max(t) AS last_t FROM {name}_fold GROUP BY 1) f
         LEFT JOIN {name}_combo c ON c.fold_id = f.fold_id AND c.g = a.g""",
     )
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from math import isqrt
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.storage import materialize
@@ -44,27 +47,57 @@ def mdi_importance(model: Model, features: Sequence[str], like: DataFrame) -> Da
     return like.sparkSession.createDataFrame(rows, "feature string, mdi_importance double")
 
 
-def _permuted(df: DataFrame, column: str, row_id: Sequence[str], seed: int) -> DataFrame:
-    """Shuffle one column: values numbered in one pseudo-random order meet rows numbered in another.
+def keyed_permutation(k: Column, n: int, seed: int, rounds: int = 6) -> Column:
+    """Place of number ``k`` of 0 .. n - 1 in a pseudo-random permutation of these numbers, by ``k`` alone.
 
-    Numbers come from range partitions and their offsets, so no task sees the whole column.
+    A Feistel network over pairs (k div b, k mod b) permutes a * b numbers, the least such rectangle around n; a number
+    that leaves 0 .. n - 1 is sent on until it is back, which keeps the map one to one.
     """
-    from panelyard.functions.groups import with_ranks
+    a = max(1, isqrt(max(1, n) - 1) + 1)
+    b = max(1, -(-n // a))
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, F.lit(b)).cast("long")
+        for r in range(rounds):
+            if r % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(r), left), F.lit(b)), F.lit(b))
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(r), right), F.lit(a)), F.lit(a))
+        return (left * b + right).cast("long")
+
+    steps = F.sequence(F.lit(1), F.lit(64))  # fewer than sqrt(n) + 1 numbers lie outside, so a walk among them is short
+    return F.aggregate(steps, F.lit(-1).cast("long"), lambda at, i: F.when(i == 1, once(k.cast("long"))).when(at >= n, once(at)).otherwise(at))
 
-    base = df.withColumn("__all", F.lit(1))
 
-    def numbered(salt: int) -> DataFrame:
-        order = F.struct(F.xxhash64(F.lit(salt), *row_id).alias("h"), *[F.col(c) for c in row_id])
-        return with_ranks(base, ["__all"], order, minimum="__k", row_id=list(row_id)).drop("__all")
+def _permuted(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """Rows numbered by ``__k`` with one column shuffled: each takes the value of the row at its permuted number, by one join."""
+    values = df.select(F.col("__k").alias("__from"), F.col(column).alias("__v"))
+    return df.withColumn("__from", keyed_permutation(F.col("__k"), n, seed)).join(values, "__from").withColumn(column, F.col("__v")).drop("__from", "__v")
 
-    values = numbered(2 * seed + 1).select("__k", F.col(column).alias("__v"))
-    return numbered(2 * seed).join(values, "__k").withColumn(column, F.col("__v")).drop("__k", "__v")
+
+def _numbered_folds(df: DataFrame, row_id: Sequence[str]) -> tuple[DataFrame, dict[int, int]]:
+    """The table with rows numbered from 0 in each fold, ranked once and written; and the rows of each fold."""
+    from panelyard.functions.groups import with_ranks
+
+    ranked = with_ranks(df, ["fold"], F.struct(*[F.col(c) for c in row_id]), minimum="__k", row_id=list(row_id))
+    table = materialize(ranked.withColumn("__k", F.col("__k") - 1))
+    return table, {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).orderBy("fold").collect()}
 
 
 def _folds(df: DataFrame) -> list[int]:
     return sorted(r["fold"] for r in df.select("fold").distinct().collect())
 
 
+#: model fits and evaluations that run at a time
+JOBS = 4
+
+
+def _together(spark: SparkSession, tasks: Sequence[Callable[[], tuple]]) -> list[tuple]:
+    """Results of independent fits, a bounded number of them at a time; the cluster shares its slots among their jobs."""
+    with ThreadPoolExecutor(JOBS) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks))
+
+
 def _summary(scores: DataFrame, prefix: str) -> DataFrame:
     return scores.groupBy("feature").agg(
         F.avg("score").alias(f"{prefix}_mean"), F.stddev_samp("score").alias(f"{prefix}_std"), F.count(F.lit(1)).alias("n_folds")
@@ -74,28 +107,39 @@ def _summary(scores: DataFrame, prefix: str) -> DataFrame:
 def mda_importance(
     estimator: Estimator, df: DataFrame, features: Sequence[str], evaluator: Evaluator, *, row_id: Sequence[str], random_state: int = 0
 ) -> DataFrame:
-    """Mean and deviation over folds of the score lost when a feature is permuted (``df`` has a ``fold`` column)."""
-    rows = []
-    for fold in _folds(df):
-        train, test = df.where(F.col("fold") != fold), materialize(df.where(F.col("fold") == fold))
-        model = estimator.fit(assemble(train, features))
-        base = evaluator.evaluate(model.transform(assemble(test, features)))
-        for i, f in enumerate(features):
-            shuffled = _permuted(test, f, row_id, random_state + i)
-            rows.append((f, fold, float(base - evaluator.evaluate(model.transform(assemble(shuffled, features))))))
-    scores = df.sparkSession.createDataFrame(rows, "feature string, fold int, score double")
-    return _summary(scores, "mda_importance")
+    """Mean and deviation over folds of the score lost when a feature is permuted (``df`` has a ``fold`` column).
+
+    Rows are numbered once; a permuted feature is a join on numbers. Folds are fitted together.
+    """
+    table, sizes = _numbered_folds(df, row_id)
+
+    def of_fold(fold: int) -> Callable[[], list[tuple[str, int, float]]]:
+        def run() -> list[tuple[str, int, float]]:
+            train, test = table.where(F.col("fold") != fold), table.where(F.col("fold") == fold)
+            model = estimator.fit(assemble(train, features))
+            score = lambda rows: evaluator.evaluate(model.transform(assemble(rows, features)))
+            base = score(test)
+            return [(f, fold, float(base - score(_permuted(test, f, sizes[fold], random_state + i)))) for i, f in enumerate(features)]
+
+        return run
+
+    rows = [r for found in _together(df.sparkSession, [of_fold(f) for f in sizes]) for r in found]
+    return _summary(df.sparkSession.createDataFrame(rows, "feature string, fold int, score double"), "mda_importance")
 
 
 def sfi_importance(estimator_factory: Callable[[], Estimator], df: DataFrame, features: Sequence[str], evaluator: Evaluator) -> DataFrame:
-    """Score of a model that sees one feature only, over folds."""
-    rows = []
-    for f in features:
-        for fold in _folds(df):
-            model = estimator_factory().fit(assemble(df.where(F.col("fold") != fold), [f]))
-            rows.append((f, fold, float(evaluator.evaluate(model.transform(assemble(df.where(F.col("fold") == fold), [f]))))))
-    scores = df.sparkSession.createDataFrame(rows, "feature string, fold int, score double")
-    return _summary(scores, "sfi_score")
+    """Score of a model that sees one feature only, over folds; all fits are independent and run together."""
+    table = materialize(df.select("fold", *dict.fromkeys([*features, *[c for c in (evaluator.getOrDefault("labelCol"),) if c in df.columns]])))
+
+    def fit(feature: str, fold: int) -> Callable[[], tuple[str, int, float]]:
+        def run() -> tuple[str, int, float]:
+            model = estimator_factory().fit(assemble(table.where(F.col("fold") != fold), [feature]))
+            return feature, fold, float(evaluator.evaluate(model.transform(assemble(table.where(F.col("fold") == fold), [feature]))))
+
+        return run
+
+    rows = _together(df.sparkSession, [fit(f, fold) for fold in _folds(table) for f in features])
+    return _summary(df.sparkSession.createDataFrame(rows, "feature string, fold int, score double"), "sfi_score")
 
 
 def cluster_importance(importance: DataFrame, clusters: DataFrame, *, importance_col: str) -> DataFrame:
