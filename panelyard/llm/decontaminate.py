@@ -123,6 +123,6 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, m
 
         return docs.where(F.element_at(F.transform(F.array(_scan(word_array(docs["text"]), texts)), clean), 1))
     found = find_contamination(docs, items, size, max_windows)
-    bad = found.where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad")).distinct()
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    return marked.join(bad, F.expr("doc_id <=> __id and __mark = __bad"), "left_anti").drop("__mark")
+    bad = found.where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_mark"))
+    return rows.join(bad, F.expr("own_id <=> its_id and own_mark = its_mark"), "left_anti").select("row.*")

@@ -1,7 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
 Template tokens are put in the order of their frequency in the whole corpus, rarest first. A block contains a template
-if it holds at least ``THRESHOLD`` of the template's distinct tokens, so it must hold one of its first
+if it holds at least ``THRESHOLD`` of the template's distinct tokens and the words that name the license, so it must hold one of its first
 |T| - needed + 1 tokens (prefix filter); a block with fewer words than needed can't (length filter); and at each match
 the tokens after it in the order bound what can still come (positional filter). A block is every run of ``2 * n``
 words, one each ``n`` words, n being the most words of a template, so that every passage up to n words is whole in one.
@@ -40,6 +40,11 @@ TEMPLATES = {
     "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
 }
+#: words without which a notice isn't of its license, whatever else of it is there
+NAMES = {
+    "gpl-notice": "gnu", "gpl-header": "gnu", "apache-notice": "apache", "apache-header": "apache", "cc-by-nc-notice": "cc by nc",
+    "cc-by-notice": "creative commons attribution", "mit-notice": "mit",
+}
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits blank
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 _WORDS = _WORDS.translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
@@ -63,11 +68,13 @@ class Index:
     templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
     phrases: dict[str, str] = field(default_factory=lambda: dict(PHRASES))
     threshold: float = THRESHOLD
+    names: dict[str, str] = field(default_factory=lambda: dict(NAMES))
 
     def __post_init__(self) -> None:
         rank = lambda w: (self.counts.get(w.decode(), 0), w)
         self.half = max([1, *(len(t.split()) for t in self.templates.values())])
         self.sets: dict[str, tuple[list[bytes], int]] = {}
+        self.named = {label: set(self.names.get(label, "").encode().split()) for label in self.templates}
         self.prefix: dict[bytes, list[tuple[str, int]]] = {}
         for label, text in self.templates.items():
             tokens = sorted(set(text.encode().split()), key=rank)
@@ -114,7 +121,7 @@ class Index:
                 continue
             block = sets.get(b) or sets.setdefault(b, set(words[start:end]))
             got = self._overlap(tokens, needed, block, first)
-            if got >= needed:
+            if got >= needed and self.named[label] <= block:
                 blocks.append((start, end, label, got / len(tokens)))
         return sorted(set(places)), blocks
 

@@ -71,3 +71,13 @@ def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     ok, message, _ = compare(spark, connect(sf), "op6", queries.op6_benchmark_decontamination, queries.ORACLES["op6_benchmark_decontamination"], sf)
     assert ok, message
+
+
+def test_both_ways_keep_columns_of_any_name(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, passage, "m", "i"), (2, "quite another text", "m", "i"), (None, passage, "m", "i"), (None, None, "m", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __mark string, its_id string")
+    items = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    for most in (100_000, 0):
+        kept = dc.remove_contaminated(docs, items, max_windows=most)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3]], key=str)

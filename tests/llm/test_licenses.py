@@ -19,7 +19,7 @@ def brute(t, threshold=licenses.THRESHOLD):
         block = w[b * half:(b + 2) * half]
         for label, x in licenses.TEMPLATES.items():
             tokens = set(x.split())
-            if len(tokens & set(block)) >= threshold * len(tokens) - 1e-9:
+            if len(tokens & set(block)) >= threshold * len(tokens) - 1e-9 and set(licenses.NAMES.get(label, "").split()) <= set(block):
                 blocks.append((b * half, min(len(w), (b + 2) * half), label, len(tokens & set(block)) / len(tokens)))
     return len(w), places, sorted(blocks)
 
@@ -56,6 +56,14 @@ def test_flat_rows(spark):
     assert rows[5]["labels"] == "bsd-redistribution" and rows[5]["score"] == 1.0 and rows[7]["n_base"] == 0
 
 
+def test_a_notice_needs_the_name_of_its_license(spark):
+    """What a short notice shares with others doesn't make it theirs."""
+    texts = ["released under the apache license", "licensed under cc by 4 0", "licensed under the eclipse license version 2 0", "released under the mit license", "licensed under CC BY-NC 4.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["labels"] for r in licenses.labels(licenses.scan(df)).collect()}
+    assert [rows[i] for i in range(5)] == ["apache", "cc-by", "", "mit,mit-notice", "cc-by,cc-by-nc-notice"]
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
