@@ -35,6 +35,7 @@ REASON_CODES = {
 PERIODS_PER_YEAR = 252.0
 
 
+# Default limits of the impact flags.
 @dataclass(frozen=True)
 class ImpactThresholds:
     high_execution_deviation_mean_abs: float = 0.02

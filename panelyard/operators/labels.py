@@ -13,6 +13,7 @@ from panelyard.functions.groups import with_ranks
 from panelyard.operators.factors import positive_close
 from panelyard.sources.contracts import require_columns
 
+# Columns of the unified label table.
 UNIFIED_LABEL_COLUMNS = (
     "date", "asset", "label_name", "label_type", "label_value", "event_start", "event_end", "trigger",
     "realized_horizon", "confidence",

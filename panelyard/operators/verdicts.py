@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Default thresholds of the verdicts.
 @dataclass(frozen=True)
 class SingleFactorThresholds:
     min_rank_ic_registry: float = 0.01
@@ -68,6 +69,7 @@ def single_factor_verdict(metrics: DataFrame, thresholds: SingleFactorThresholds
     """Columns read: mean_rank_ic, ic_ir, mean_coverage, mean_tradable_ratio, screening_decision,
     adjusted_pvalue, min_fold_train, min_fold_test (the last two NULL without validation folds)."""
     t = thresholds or SingleFactorThresholds()
+    # Codes of blocking issues and warnings.
     blockers = {
         "mean_rank_ic_below_registry_threshold": _below("mean_rank_ic", t.min_rank_ic_registry),
         "ic_ir_below_registry_threshold": _below("ic_ir", t.min_ic_ir_registry),
@@ -87,6 +89,7 @@ def composite_verdict(metrics: DataFrame, thresholds: CompositeThresholds | None
     """Columns read: mean_rank_ic, ic_ir, n_selected_factors, effective_breadth, avg_abs_corr, adv_flag_ratio,
     mean_cost_bps, max_abs_industry_exposure, max_abs_style_exposure, has_capacity, has_cost, has_exposure."""
     t = thresholds or CompositeThresholds()
+    # Codes of blocking issues and warnings.
     blockers = {
         "insufficient_selected_factors": F.col("n_selected_factors") < t.min_selected_factors,
         "composite_rank_ic_below_registry_threshold": _below("mean_rank_ic", t.min_rank_ic_registry),
