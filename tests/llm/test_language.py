@@ -132,3 +132,23 @@ def test_share_of_held_out_rows_that_stay(spark):
     kept = {r["doc_id"] for r in language.keep_identified(docs).select("doc_id").collect()}
     rows = [r["doc_id"] for r in docs.select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert len(rows) > 150 and sum(i in kept for i in rows) >= 0.98 * len(rows)
+
+
+def test_query_row_by_row(spark):
+    """Every text of the table by a plain greedy parse of its own: the same language and score."""
+    from panelyard.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = language.sample(docs.select("doc_id", "text", "lang"))
+    cost = {g: float(np.log2(max(2, len(s)))) for g, s in samples.items()}
+    found = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in queries.op4_cross_parsing_language(spark, sf).collect()}
+    assert len(found) == docs.count() and len(samples) == 4
+    for i, t in docs.select("doc_id", "text").collect():
+        n = language.normalise(t)
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        if not n:
+            assert found[i] == ("und", 0.0, held)
+            continue
+        bits = sorted((phrases(n, samples[g]) * cost[g], g) for g in sorted(samples))
+        assert found[i][0] == bits[0][1] and abs(found[i][1] - (1 - bits[0][0] / bits[1][0])) < 1e-9 and found[i][2] == held

@@ -67,4 +67,14 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op10_interleaved_media(spark, sf).collect()
-    assert sorted((r["doc_id"], r["payload_sha256"]) for r in rows) == sorted((i, hashlib.sha256(payload(t)).hexdigest()) for i, t in texts.items())
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, t in texts.items():
+        raw, image = payload(t), media.to_image((t or "").encode())
+        want[i] = (len((t or "").encode()), len(raw), digest(raw), zlib.crc32(raw[-32:]), len(image), digest(image))
+    found = {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in rows}
+    assert len(rows) == len(texts) and found == want
+    features = {}
+    for r in rows:
+        features.setdefault(texts[r["doc_id"]] or "", set()).add(r["feature"])
+    assert all(len(f) == 1 and None not in f for f in features.values())

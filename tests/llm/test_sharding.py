@@ -76,3 +76,24 @@ def test_query(spark):
     texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
     assert {r["doc_id"] for r in rows} == set(texts) and {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
     assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
+
+
+def test_query_row_by_row(spark):
+    """Rows lie in the order of text hash and id, whole, gapless in each shard, and cuts are within a row of equal bytes."""
+    import xxhash
+
+    from panelyard.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    signed = lambda n: n - (n >> 63 << 64)
+    size = {i: len((t or "").encode()) + 1 for i, t in docs}
+    order = [i for _, i in sorted((signed(xxhash.xxh64_intdigest(t.encode(), 42)) if t is not None else 42, i) for i, t in docs)]
+    rows = sorted(queries.op1_histogram_sort_shards(spark, sf).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["doc_id"] for r in rows] == order and all(r["size"] == size[r["doc_id"]] for r in rows)
+    total, below = sum(size.values()), 0
+    for shard in range(16):
+        own = [r for r in rows if r["shard"] == shard]
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        below += sum(r["size"] for r in own)
+        assert abs(below - total * (shard + 1) / 16) <= max(size.values()) + 0.001 * total / 16
