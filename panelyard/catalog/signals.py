@@ -21,7 +21,7 @@ def _(spark, d):
 
 @query("momentum_sparse_history", sql_with("px_evt", momentum_sql("px_evt", 5, min_periods=3)))
 def _(spark, d):
-    return factors.momentum(px_evt(spark, d), window=5, min_periods=3)
+    return factors.momentum(px_evt(spark, d), window=5, min_periods=3, positive=False)  # a mean event value may be 0
 
 
 @query("reversal_signal", sql_with("px", momentum_sql("px", 5, "-", "reversal_5d")))

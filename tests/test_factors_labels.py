@@ -23,6 +23,14 @@ def test_momentum_min_periods_and_bad_prices(spark):
         factors.momentum(df, window=2, min_periods=4)
 
 
+def test_momentum_of_levels_that_may_be_zero(spark):
+    df = panel(spark, {"A": [1.0, 0.0, 2.0, 0.0, 0.0, None, 3.0]})
+    got = values(factors.momentum(df, window=1, min_periods=1, positive=False).where("value is not null and not isnan(value)"), "date")
+    assert got == [-1.0, float("inf"), -1.0]
+    assert factors.momentum(df, window=1, min_periods=1, positive=False).where("isnan(value)").select("date").collect() == [(day(4),)]
+    assert values(factors.momentum(df, window=1, min_periods=1), "date") == [None] * 7
+
+
 def test_reversal_is_negative_momentum(spark):
     df = random_prices(spark, 3, 12)
     a, b = factors.momentum(df, window=5), factors.reversal(df, window=5)
