@@ -106,8 +106,10 @@ series_cte("executed", "exe", "exe_to")
 
 def series(spark, d, weights, run):
     daily = weights.join(fwd1(spark, d), ["date", "asset"]).groupBy("date").agg((F.sum(F.col("target_weight") * F.col("value")) * F.lit(0.1)).alias("return"))
-    # One row per date of a run.
-    growth = F.exp(F.sum(F.ln(1 + F.coalesce("return", F.lit(0.0)))).over(W.partitionBy("run_id").orderBy("date")))
+    # One row per date of a run. A loss of all leaves 0, a loss of more than all no equity: NaN from there on.
+    kept = 1 + F.coalesce("return", F.lit(0.0))
+    log = F.when(kept > 0, F.ln(kept)).when(kept == 0, float("-inf")).otherwise(float("nan"))
+    growth = F.exp(F.sum(log).over(W.partitionBy("run_id").orderBy("date")))
     return daily.join(ex.weight_turnover(weights), "date").withColumn("run_id", F.lit(run)).withColumn("equity", growth)
 
 

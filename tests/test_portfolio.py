@@ -132,3 +132,18 @@ def test_performance_summary(spark):
     rows = [("r", day(i), r, e, 0.1) for i, (r, e) in enumerate([(0.1, 1.1), (-0.5, 0.55), (0.2, 0.66)])]
     got = ex.performance_summary(spark.createDataFrame(rows, "run_id string, date date, `return` double, equity double, turnover double")).first()
     assert got["max_drawdown"] == pytest.approx(-0.5) and got["total_return"] == pytest.approx(-0.4) and got["n_periods"] == 3
+
+
+@pytest.mark.parametrize("moves, drawdown", [([0.5, 0.5, -4.0, 0.5], 0.0), ([-0.5, 0.5, -1.0, 0.5], -1.0)])
+def test_equity_after_a_loss_of_all_or_more(spark, monkeypatch, moves, drawdown):
+    from panelyard.catalog import registry
+
+    registry.queries()  # imports the catalog in its order
+    from panelyard.catalog import execution as catalog
+
+    weights = spark.createDataFrame([(day(i), "A", 1.0) for i in range(4)], "date date, asset string, target_weight double")
+    labels = spark.createDataFrame([(day(i), "A", 10 * m) for i, m in enumerate(moves)], "date date, asset string, value double")
+    monkeypatch.setattr(catalog, "fwd1", lambda spark, d: labels)
+    got = ex.performance_summary(catalog.series(spark, "", weights, "r")).first()
+    assert got["max_drawdown"] == pytest.approx(drawdown) and got["n_periods"] == 4
+    assert np.isnan(got["total_return"]) if sum(moves) < -2 else got["total_return"] == -1.0
