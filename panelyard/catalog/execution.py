@@ -10,6 +10,7 @@ from panelyard.catalog.portfolio import turnover_cte
 from panelyard.catalog.registry import query
 from panelyard.catalog.transforms import research_universe
 from panelyard.functions.columns import rounded
+from panelyard.functions.storage import materialize
 from panelyard.operators import execution as ex
 from panelyard.operators import portfolio as pf
 
@@ -33,17 +34,17 @@ def target(spark, d):
     return pf.portfolio_weights(mom3(spark, d), "rank", top_k=15, bottom_k=10).withColumnRenamed("weight", "target_weight")
 
 
-def executed(spark, d):
+def executed(spark, d, of=None):
     tradable = research_universe(spark, d)["tradability"].where("is_tradable")
-    return target(spark, d).join(tradable, ["date", "asset"], "left_semi")
+    return (target(spark, d) if of is None else of).join(tradable, ["date", "asset"], "left_semi")
 
 
-def skipped(spark, d):
+def skipped(spark, d, of=None):
     from panelyard.catalog.panels import mkt_state
 
     reasons = research_universe(spark, d)["exclusion_reasons"].select("date", "asset", "reason")
     locked = mkt_state(spark, d).select("date", "asset", "is_limit_locked")
-    rows = target(spark, d).join(reasons, ["date", "asset"]).join(locked, ["date", "asset"], "left")
+    rows = (target(spark, d) if of is None else of).join(reasons, ["date", "asset"]).join(locked, ["date", "asset"], "left")
     tail = F.when(F.coalesce("is_limit_locked", F.lit(False)), F.lit(" limit_locked_non_executable ;")).otherwise(F.lit("custom_rule"))
     rows = rows.select("date", "asset", F.concat(F.lit(" "), F.upper("reason"), F.lit(";"), tail).alias("source_reason"))
     return rows.withColumn("reason_code", ex.normalize_reason_code(F.col("source_reason")))
@@ -188,8 +189,10 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    e = executed(spark, d)
-    return rounded(ex.build_execution_impact_report(target(spark, d), e, e, skipped(spark, d))["flags"])
+    # The report reads each of them several times; they have some rows per date.
+    t = materialize(target(spark, d))
+    e, s = materialize(executed(spark, d, t)), materialize(skipped(spark, d, t))
+    return rounded(ex.build_execution_impact_report(t, e, e, s)["flags"])
 
 
 _CMP = [("total_return", 5), ("sharpe_annualized", 6), ("max_drawdown", 6), ("mean_turnover", 6)]

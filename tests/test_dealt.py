@@ -53,3 +53,10 @@ def test_the_alpha_panel_is_computed_once(spark, tables, monkeypatch):
     """Correlations read it several times; prices and pairs behind it are taken once."""
     panel = cp.alpha_return_panel(*tables, max_group=20)
     assert panel._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+
+
+def test_report_tables_read_written_pairs(spark):
+    prices = materialize(random_prices(spark, 4, 12))
+    report = ev.build_factor_report(prices, materialize(momentum(prices, window=2)), horizon=1, max_group=4)
+    for name in ("ic", "rank_ic", "quantile_returns"):  # each joined factors with labels of its own before
+        assert "Join" not in report[name]._jdf.queryExecution().optimizedPlan().toString(), name
