@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents. Toxicity, language and decontamination decide row by row and exchange no text. The near-dedup
-stage searches by MinHash bands and decides by exact Jaccard similarity of five-word shingles, as SimHash within three bits
-finds few pairs of similarity 0.8; it moves texts only where what is to go doesn't fit a broadcast. ``run`` deletes what a
+stage searches by SimHash within three bits and, as few pairs of similarity 0.8 are as near as that, by MinHash bands as
+well; it decides by exact Jaccard similarity of five-word shingles and moves texts only where what is to go doesn't fit a
+broadcast. ``run`` deletes what a
 stage wrote for itself once the stage's result is written.
 """
 

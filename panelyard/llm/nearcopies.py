@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of five-word shingles; one row of each group stays.
 
-SimHash within three bits finds few of the pairs of similarity 0.8, so this stage has another candidate search: MinHash
-bands. Everything after it is exact, for bands of any size:
+Candidates come from SimHash, by the operator of ``simhash``: the texts of a component of fingerprints within three bits
+are a band. Few of the pairs of similarity 0.8 are as near as that, so MinHash bands add candidates to these. Everything
+after it is exact, for bands of any size and of either kind:
 
 - Texts are named by a key (hash of their words); copies are one text from there on.
 - In each band every text is compared with the smallest and the largest key. Bands of up to three are whole then; in
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.groups import BROADCAST_ROWS
 from panelyard.functions.storage import materialize, release, written
 from panelyard.llm.common import ASCII_LOWER, map_arrow
-from panelyard.llm.simhash import components
+from panelyard.llm.simhash import components, fingerprint_of, print_roots
 
 #: words of a shingle, bands, and minima of a band: texts of similarity 0.8 share no band once in 37,000 pairs
 SHINGLE, BANDS, ROWS = 5, 20, 4
@@ -79,19 +80,20 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def sketches(named: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, raw, key, size (shingles) and bands, a row per row."""
+    """doc_id, raw, key, size (shingles), fp (SimHash as in ``simhash``, a signed long) and MinHash bands, a row per row."""
     rows = named.select("doc_id", "raw", "text")
-    schema = rows.selectExpr("doc_id", "raw", "0L as key", "0 as size", "cast(array() as array<bigint>) bands").schema
+    schema = rows.selectExpr("doc_id", "raw", "0L as key", "0 as size", "0L as fp", "cast(array() as array<bigint>) bands").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, prints, bands = [], [], [], []
             for words in _texts(batch):
                 hashes = shingle_hashes(words, width)
                 keys.append(key_of(words))
                 sizes.append(len(hashes))
+                prints.append(fingerprint_of(words))
                 bands.append(bands_of(hashes) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "raw", "key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "raw", "key", "size", "fp", "bands"])
 
     return map_arrow(rows, run, schema)
 
@@ -191,9 +193,16 @@ def open_edges(met: DataFrame, roots: DataFrame, held: DataFrame, least: float,
     return rows.groupBy("major", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def simhash_bands(sketched: DataFrame) -> DataFrame:
+    """key, size and band of the texts with words: those of a component of fingerprints within three bits share a band."""
+    texts = sketched.where("size > 0").select("key", "size", "fp")
+    roots = print_roots(materialize(texts.select("fp").distinct()))
+    return texts.join(roots, texts["fp"] == roots["node"], "left").select("key", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("band"))
+
+
 def similar(sketched: DataFrame, named: DataFrame, width: int = SHINGLE, least: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of keys that connect just what texts of similarity ``least`` or more that share a band connect."""
-    members = materialize(sketched.select("key", "size", F.explode("bands").alias("band")).distinct())
+    """Edges (a, b) of keys that connect just what texts of similarity ``least`` or more that share a band of SimHash or MinHash connect."""
+    members = materialize(sketched.select("key", "size", F.explode("bands").alias("band")).unionByName(simhash_bands(sketched)).distinct())
     ends = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("low"), F.max(F.struct("key", "size")).alias("high")).where("n > 1")
     met = materialize(members.join(ends, "band"))
     pair = lambda a, b, x, y: met.where(F.col(a) < F.col(b)).where(_alike(F.least(x, y), F.col(x) + F.col(y), F.lit(least))).select(F.col(a).alias("a"), F.col(b).alias("b"))

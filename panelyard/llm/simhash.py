@@ -36,7 +36,11 @@ _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """SimHash of the shingles of ``width`` words of a whole text, as an unsigned integer."""
-    words = (text or b"").translate(ASCII_LOWER).split()
+    return fingerprint_of((text or b"").translate(ASCII_LOWER).split(), width, seed)
+
+
+def fingerprint_of(words: list[bytes], width: int = 3, seed: int = 42) -> int:
+    """SimHash of a text's words, lower-cased already."""
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
@@ -252,11 +256,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def print_roots(distinct: DataFrame) -> DataFrame:
+    """(node, root) for the fingerprints ``fp`` that link with others: the smallest fingerprint reachable."""
+    return materialize(components(links(distinct)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest id of the component), root (the component's smallest fingerprint), a row per row."""
     prints = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = materialize(components(links(distinct)))
+    roots = print_roots(distinct)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = materialize(rooted.join(named, "root").select("fp", "component_id", "root"))  # a written side lets a hot fingerprint be split

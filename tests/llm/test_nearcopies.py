@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_simhash import plain_fingerprint
 
 from panelyard.llm import nearcopies as nc
@@ -96,6 +97,24 @@ def test_template_families_in_large_bands(spark, block):
     assert len(texts) - len(set(shared.values())) >= 0.9 * gone and gone > 100
 
 
+def test_simhash_finds_candidates(spark):
+    """Texts within three bits of each other meet without any MinHash band; the exact check still decides."""
+    texts = dict(enumerate([*family(9, 30, 2, 3, 400), *family(10, 2, 1, 2, 12)]))
+    prints = {i: plain_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in range(a) if 0 < (prints[a] ^ prints[b]).bit_count() <= 3]
+    want = plain_similar(texts, meet=lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert near and len(set(want.values())) < len(texts)
+    named = nc._named(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    sketched = nc.sketches(named).withColumn("bands", F.expr("cast(array() as array<bigint>)"))
+    key_of = {nc.key_of(nc.words_of(t.encode())): i for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for e in nc.similar(nc.materialize(sketched), named).collect():
+        low, high = sorted((root[key_of[e["a"]]], root[key_of[e["b"]]]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    copies = {i: key_of[nc.key_of(nc.words_of(t.encode()))] for i, t in texts.items()}  # one text has one key
+    assert all(root[copies[a]] == root[copies[b]] for a in texts for b in range(a) if want[a] == want[b])
+
+
 def test_bands_cover_nearly_all_similar_pairs():
     texts = [*family(5, 120, 12, 3), *family(6, 80, 8, 4)]
     sets = [shingles(t) for t in texts]
