@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm import network as net
-from panelyard.llm.common import held, id_and_text, keep_rows, map_arrow, remainder_of_id
+from panelyard.llm.common import give_back, held, id_and_text, keep_rows, map_arrow, remainder_of_id
 
 WINDOW, LONGEST = 16, 24
 CHARS, CHAR_INPUT, CHAR_HIDDEN, WORD_INPUT, WORD_HIDDEN = 192, 8, 10, 4, 8
@@ -209,14 +209,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7, char_steps: int =
     padded = [np.resize(ids, max(WINDOW, len(ids))) for ids in docs]
     del docs
     lengths, words = [len(ids) for ids in padded], np.concatenate(padded)
-    starts = np.concatenate([np.arange(a, a + n - WINDOW + 1) for a, n, y in zip(np.cumsum([0, *lengths])[:-1].tolist(), lengths, toxic.tolist(), strict=True) if not y])
+    first = np.cumsum([0, *lengths])[:-1]
+    padded = [words[a:a + n] for a, n in zip(first.tolist(), lengths, strict=True)]  # parts of one array
+    starts = np.concatenate([np.arange(a, a + n - WINDOW + 1, dtype=np.int32) for a, n, y in zip(first.tolist(), lengths, toxic.tolist(), strict=True) if not y])
     suspect = model.suspicion(both)[words]
     scores = suspect[:len(words) - WINDOW + 1].copy()
     for step in range(1, WINDOW):
         np.maximum(scores, suspect[step:step + len(scores)], out=scores)
+    del suspect
+    give_back()
     adam = net.Adam(p, 0.01)
     target = np.concatenate([np.zeros(160, np.float32), np.ones(96, np.float32)])
-    first = np.cumsum([0, *lengths])[:-1]
     for turn in range(rounds):
         own = np.arange(len(lengths))
         if turn:
@@ -274,17 +277,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     return [(r["text"], r["label"]) for r in chosen.select("doc_id", _bounded(F.col("text"), max_chars).alias("text"), "label").distinct().orderBy("doc_id", "text").limit(max_toxic + max_clean).collect()]
 
 
+def _trained(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> Model | None:
+    """A model of the labelled rows that may be learnt from; the driver then holds no more than the model."""
+    give_back()
+    rows = training_rows(docs, labels, max_toxic, max_clean, max_chars)
+    texts, marks = [t for t, _ in rows], [y for _, y in rows]
+    del rows
+    model = train(texts, marks)
+    del texts, marks
+    give_back()
+    return model
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 200_000) -> DataFrame:
     """doc_id, score, a row per row."""
     docs = id_and_text(docs, id_col, text_col)
-    rows = training_rows(docs, labels, max_toxic, max_clean, max_chars)
-    return apply_model(docs, train([t for t, _ in rows], [y for _, y in rows]))
+    return apply_model(docs, _trained(docs, labels, max_toxic, max_clean, max_chars))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_toxic: int = 1200, max_clean: int = 4800, max_chars: int = 200_000) -> DataFrame:
     """Rows of ``docs``, all columns, that score under ``threshold``, by a model of their own labelled rows."""
-    rows = training_rows(id_and_text(docs), labels, max_toxic, max_clean, max_chars)
-    shared = docs.sparkSession.sparkContext.broadcast(_parts(train([t for t, _ in rows], [y for _, y in rows])))
+    shared = docs.sparkSession.sparkContext.broadcast(_parts(_trained(id_and_text(docs), labels, max_toxic, max_clean, max_chars)))
 
     def judge():
         held = _model_of(shared)

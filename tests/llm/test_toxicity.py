@@ -132,3 +132,18 @@ def test_every_window_is_scored_as_alone(model):
         f, b = net.project(model.words, x, "f"), net.project(model.words, x, "b")
         alone = [net._sigmoid(net.forward(model.words, f[i:i + n, None], b[i:i + n, None])[1])[0] for i in range(len(ws) - n + 1)]
         assert abs(max(alone) - found) < 1e-4
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """What a training frees doesn't stay with the driver for the later stages."""
+    import psutil
+
+    from panelyard.llm.common import give_back
+
+    before = psutil.Process().memory_info().rss
+    held = [bytes(2_000) for _ in range(100_000)]
+    last = held[-1]  # keeps the C library from shrinking its heap by itself
+    assert psutil.Process().memory_info().rss - before > 100e6
+    del held
+    give_back()
+    assert psutil.Process().memory_info().rss - before < 50e6 and len(last) == 2_000
