@@ -70,6 +70,27 @@ def test_quantiles(table, options):
     np.testing.assert_allclose(out.loc[want.index, ["a", "b", "c"]], want)
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_rows_are_searched_in_short_arrays(spark, table, monkeypatch, broadcast):
+    """No array that a row is searched in grows with its group: a group of 600 cuts had one of 600 beside each row."""
+    monkeypatch.setattr(groups, "CUTS", 8)
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", broadcast)
+    lengths = []
+    beside = groups._beside
+
+    def seen(rows, side, keys, held):
+        lengths.append(side.agg(F.max(F.size(side.columns[-1]))).first()[0])
+        return beside(rows, side, keys, held)
+
+    monkeypatch.setattr(groups, "_beside", seen)
+    df, pdf = table
+    out = groups.with_ranks(df, ["g"], F.col("v"), minimum="lo", average="avg", dense="dense", split_rows=7).toPandas()
+    want = pdf.assign(**{n: pdf.groupby("g")["v"].rank(method=m) for n, m in (("lo", "min"), ("avg", "average"), ("dense", "dense"))})
+    got, want = (t.sort_values(["g", "asset"])[["lo", "avg", "dense"]].astype(float) for t in (out, want))
+    np.testing.assert_allclose(got, want)
+    assert len(lengths) == 2 and max(lengths) < 40
+
+
 @pytest.mark.parametrize("max_group", [None, 5000])
 def test_group_stats(table, max_group):
     df, pdf = table
