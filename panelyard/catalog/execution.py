@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelyard.catalog.panels import cte, fwd1, mom3, sql_with
+from panelyard.catalog.panels import cte, fwd1, mkt_state, mom3, px, sql_with
 from panelyard.catalog.portfolio import turnover_cte
 from panelyard.catalog.registry import query
 from panelyard.catalog.transforms import research_universe
@@ -13,6 +13,7 @@ from panelyard.functions.columns import rounded
 from panelyard.functions.storage import materialize
 from panelyard.operators import execution as ex
 from panelyard.operators import portfolio as pf
+from panelyard.operators.factors import momentum
 
 # Target: top/bottom rank portfolio. Executed: its tradable part. Skipped: the rest, one row per exclusion reason.
 cte("tgt", "w_rank", "SELECT date, asset, weight AS target_weight FROM w_rank")
@@ -30,20 +31,18 @@ cte(
 )
 
 
-def target(spark, d):
-    return pf.portfolio_weights(mom3(spark, d), "rank", top_k=15, bottom_k=10).withColumnRenamed("weight", "target_weight")
+def target(spark, d, prices=None):
+    return pf.portfolio_weights(mom3(spark, d) if prices is None else momentum(prices, window=3), "rank", top_k=15, bottom_k=10).withColumnRenamed("weight", "target_weight")
 
 
-def executed(spark, d, of=None):
-    tradable = research_universe(spark, d)["tradability"].where("is_tradable")
+def executed(spark, d, of=None, prices=None, state=None):
+    tradable = research_universe(spark, d, prices, state)["tradability"].where("is_tradable")
     return (target(spark, d) if of is None else of).join(tradable, ["date", "asset"], "left_semi")
 
 
-def skipped(spark, d, of=None):
-    from panelyard.catalog.panels import mkt_state
-
-    reasons = research_universe(spark, d)["exclusion_reasons"].select("date", "asset", "reason")
-    locked = mkt_state(spark, d).select("date", "asset", "is_limit_locked")
+def skipped(spark, d, of=None, prices=None, state=None):
+    reasons = research_universe(spark, d, prices, state)["exclusion_reasons"].select("date", "asset", "reason")
+    locked = (mkt_state(spark, d) if state is None else state).select("date", "asset", "is_limit_locked")
     rows = (target(spark, d) if of is None else of).join(reasons, ["date", "asset"]).join(locked, ["date", "asset"], "left")
     tail = F.when(F.coalesce("is_limit_locked", F.lit(False)), F.lit(" limit_locked_non_executable ;")).otherwise(F.lit("custom_rule"))
     rows = rows.select("date", "asset", F.concat(F.lit(" "), F.upper("reason"), F.lit(";"), tail).alias("source_reason"))
@@ -189,9 +188,11 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
+    # Target, execution and skipped orders read the same prices and states, which are taken from the lines once.
+    prices, state = materialize(px(spark, d)), materialize(mkt_state(spark, d))
     # The report reads each of them several times; they have some rows per date.
-    t = materialize(target(spark, d))
-    e, s = materialize(executed(spark, d, t)), materialize(skipped(spark, d, t))
+    t = materialize(target(spark, d, prices))
+    e, s = materialize(executed(spark, d, t, prices, state)), materialize(skipped(spark, d, t, prices, state))
     return rounded(ex.build_execution_impact_report(t, e, e, s)["flags"])
 
 

@@ -60,3 +60,13 @@ def test_report_tables_read_written_pairs(spark):
     report = ev.build_factor_report(prices, materialize(momentum(prices, window=2)), horizon=1, max_group=4)
     for name in ("ic", "rank_ic", "quantile_returns"):  # each joined factors with labels of its own before
         assert "Join" not in report[name]._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_execution_flags_read_the_lines_twice(spark, monkeypatch):
+    """Once for prices and once for market states; target, execution and skipped orders took both anew before."""
+    from panelyard.catalog import panels, registry
+
+    read, table = [], panels.table
+    monkeypatch.setattr(panels, "table", lambda session, sf_dir, name: (read.append(name), table(session, sf_dir, name))[1])
+    assert registry.queries()["execution_impact_flags"](spark, "/root/testdata/sf0.001").count() == 6
+    assert read.count("lineitem") == 2
