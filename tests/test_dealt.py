@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import frame, random_prices
 from panelyard.functions import groups
@@ -11,6 +12,7 @@ from panelyard.operators import gram
 from panelyard.operators import screening as sc
 from panelyard.operators.factors import momentum, reversal
 from panelyard.operators.labels import forward_return
+from panelyard.operators.transforms import apply_universe_mask
 from panelyard.sources.contracts import require_unique_tables
 
 
@@ -70,3 +72,33 @@ def test_execution_flags_read_the_lines_twice(spark, monkeypatch):
     monkeypatch.setattr(panels, "table", lambda session, sf_dir, name: (read.append(name), table(session, sf_dir, name))[1])
     assert registry.queries()["execution_impact_flags"](spark, "/root/testdata/sf0.001").count() == 6
     assert read.count("lineitem") == 2
+
+
+def test_the_composite_workflow_reads_and_pairs_once(spark, monkeypatch):
+    """Lines were read six times and pairs taken three times before, each with exchanges of its own."""
+    from panelyard.catalog import panels, registry
+
+    read, paired, table, align = [], [], panels.table, ev.align
+    monkeypatch.setattr(panels, "table", lambda session, sf_dir, name: (read.append(name), table(session, sf_dir, name))[1])
+    monkeypatch.setattr(ev, "align", lambda *given, **options: (paired.append(1), align(*given, **options))[1])
+    assert registry.queries()["composite_workflow"](spark, "/root/testdata/sf0.001").count() == 1
+    assert read.count("lineitem") == 2 and len(paired) == 1
+
+
+def test_one_table_of_masks_equals_two(spark, tables):
+    factors, _ = tables
+    keys = factors.select("date", "asset").distinct()
+    masks = keys.where("asset <> 'a03'").select("*", (F.col("asset") < "a15").alias("in_universe"), F.when(F.col("asset") != "a07", F.dayofmonth("date") > 4).alias("is_tradable"))
+    apart = apply_universe_mask(factors, masks.select("date", "asset", "in_universe"), masks.select("date", "asset", "is_tradable"))
+    once = apply_universe_mask(factors, masks, masks)
+    assert frame(once, "date", "asset", "factor").equals(frame(apart, "date", "asset", "factor"))
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # two before
+
+
+def test_a_given_history_gives_the_same_weights(spark, tables):
+    factors, labels = tables
+    history = cp.ic_history(factors, labels, max_group=20)
+    some = factors.where("factor <> 'momentum_4d'")
+    want = cp.composite_weights(some, method="icir", labels=labels, lookback=6, min_history=3, max_group=20)
+    got = cp.composite_weights(some, method="icir", lookback=6, min_history=3, max_group=20, history=history)
+    assert frame(got, "date", "factor").round(9).equals(frame(want, "date", "factor").round(9))
